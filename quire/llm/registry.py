@@ -1,6 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from quire.llm import sharding, topk
+from quire.llm import decontamination, sharding, topk, toxicity
 
-QUERIES = {"op4_sharding": sharding.op4_sharding, "op5_exact_topk": topk.op5_exact_topk}
-SQL = {"op4_sharding": sharding.OP4_SQL, "op5_exact_topk": topk.OP5_SQL}
+QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_exact_topk": topk.op5_exact_topk,
+    "op8_decontamination": decontamination.op8_decontamination,
+}
+SQL = {"op4_sharding": sharding.OP4_SQL, "op5_exact_topk": topk.OP5_SQL, "op8_decontamination": decontamination.OP8_SQL}

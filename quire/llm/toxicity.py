@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import crc_rest, read
 
-SAMPLE_ROWS = 24_000
-MAX_FEATURES = 8_192
+SAMPLE_ROWS = 16_000
+MAX_FEATURES = 2_048
 MIN_DOCS = 3
 #: Nats by which a feature has to raise the likelihood of the labels; below it lies what chance brings about among a million features.
 LEAST_GAIN = 8.0

@@ -1,11 +1,13 @@
 """The subpackage's queries and their SQL."""
 
-from quire.llm import decontamination, sharding, topk, toxicity
+from quire.llm import decontamination, pieces, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op6_token_files": tokenfiles.op6_token_files,
     "op8_decontamination": decontamination.op8_decontamination,
 }
 SQL = {"op4_sharding": sharding.OP4_SQL, "op5_exact_topk": topk.OP5_SQL, "op8_decontamination": decontamination.OP8_SQL}

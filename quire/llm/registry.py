@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from quire.llm import decontamination, pieces, sharding, tokenfiles, topk, toxicity
+from quire.llm import decontamination, neardup, pieces, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -9,5 +9,6 @@ QUERIES = {
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_token_files": tokenfiles.op6_token_files,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
 }
-SQL = {"op4_sharding": sharding.OP4_SQL, "op5_exact_topk": topk.OP5_SQL, "op8_decontamination": decontamination.OP8_SQL}
+SQL = {"op4_sharding": sharding.OP4_SQL, "op5_exact_topk": topk.OP5_SQL, "op8_decontamination": decontamination.OP8_SQL, "op9_near_duplicates": neardup.OP9_SQL}

@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from quire.llm import decontamination, neardup, pieces, sharding, tokenfiles, topk, toxicity
+from quire.llm import decontamination, language_model, neardup, pieces, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_token_files": tokenfiles.op6_token_files,
+    "op7_language_model": language_model.op7_language_model,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_near_duplicates": neardup.op9_near_duplicates,
 }

@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from quire.llm import decontamination, language_model, neardup, pieces, sharding, tokenfiles, topk, toxicity
+from quire.llm import decontamination, language_model, neardup, pieces, repeats, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_language_model": language_model.op7_language_model,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_near_duplicates": neardup.op9_near_duplicates,
+    "op10_repeated_text": repeats.op10_repeated_text,
 }
-SQL = {"op4_sharding": sharding.OP4_SQL, "op5_exact_topk": topk.OP5_SQL, "op8_decontamination": decontamination.OP8_SQL, "op9_near_duplicates": neardup.OP9_SQL}
+SQL = {"op4_sharding": sharding.OP4_SQL, "op5_exact_topk": topk.OP5_SQL, "op8_decontamination": decontamination.OP8_SQL, "op9_near_duplicates": neardup.OP9_SQL, "op10_repeated_text": repeats.OP10_SQL}

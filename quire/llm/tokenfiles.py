@@ -21,7 +21,9 @@ always holds whole documents; other columns are left out.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -69,10 +71,11 @@ def unpack(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def write_image(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    seen, place, n = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(seen), np.uint32)
-    rank[order] = np.arange(len(seen), dtype=np.uint32)
+    n = np.bincount(ids)
+    seen = np.flatnonzero(n)
+    order = np.argsort(-n[seen], kind="stable")
+    rank = np.zeros(len(n), np.uint32)
+    rank[seen[order]] = np.arange(len(seen), dtype=np.uint32)
     return b"".join(
         [
             MAGIC,
@@ -81,7 +84,7 @@ def write_image(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -
             np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
             np.array(counts, "<i8").tobytes(),
             seen[order].astype("<u4").tobytes(),
-            pack(rank[place]),
+            pack(rank[ids]),
         ]
     )
 
@@ -100,43 +103,85 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(doc_ids, known, strict=True)], counts, table[ranks]
 
 
-_ready: dict[int, object] = {}
-
-
-def _tokenizer(data: bytes):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
+#: The classes of byte-level BPE's usual word pattern, for the characters up to U+024F.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_PLAIN = re.compile("[^\0-\u024f]")
+_WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 1_000_000
+WORDS_AT_ONCE = 4_096
+_ready: dict[int, Encoder] = {}
+
+
+class Encoder:
+    """The tokenizers library with a memory: a word's ids depend on the word alone, so each is asked for once.
+
+    That holds for tokenizers that split by the pattern above and change nothing before; with others, and for texts with
+    characters beyond the pattern's classes here, whole texts go to the library.
+    """
+
+    def __init__(self, data: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_buffer(data)
+        self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
+        spec = json.loads(data)
+        split = spec.get("pre_tokenizer") or {}
+        self.by_word = not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(e.word_ids, minlength=len(words)))
+        at = 0
+        for w, end in zip(words, ends.tolist(), strict=True):
+            self.known[w] = ids[at:end]
+            at = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        plain = [self.by_word and not _PLAIN.search(t) for t in texts]
+        split = [_WORDS.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        new = list(set().union(*split) - self.known.keys())
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            self._learn(new[at : at + WORDS_AT_ONCE])
+        get = self.known.__getitem__
+        rest = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [b"".join(map(get, s)) if p else next(rest) for s, p in zip(split, plain, strict=True)]
+
+
+def ready(data: bytes) -> Encoder:
     key = zlib.crc32(data)
     if key not in _ready:
         _ready.clear()
-        t = Tokenizer.from_buffer(data)
-        t.encode_special_tokens = True  # names of special tokens in a text are ordinary text
-        _ready[key] = t
+        _ready[key] = Encoder(data)
     return _ready[key]
 
 
 def file_writer(data: bytes, end: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(data)
+        encoder, last = ready(data), struct.pack("<I", end)
         part, seq = TaskContext.get().partitionId(), 0
         docs: list = []
         counts: list[int] = []
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal seq, held
-            image = write_image(docs, counts, np.concatenate(ids))
+            image = write_image(docs, counts, np.frombuffer(b"".join(ids), "<u4"))
             row = [pa.array([x], pa.int64()) for x in (part, seq, len(docs), held)]
             docs.clear(), counts.clear(), ids.clear()
             seq, held = seq + 1, 0
             return pa.record_batch([*row, pa.array([image], pa.binary())], ["part", "seq", "n_docs", "n_ids", "image"])
 
-        def encoded(texts: list[str]) -> Iterator[np.ndarray]:
-            for e in tokenizer.encode_batch(texts, add_special_tokens=False):
-                yield np.array([*e.ids, end], np.uint32)
-
         def chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
             at, texts, size = [], [], 0
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -151,11 +196,11 @@ def file_writer(data: bytes, end: int, file_ids: int):
 
         for batch in batches:
             for some, texts in chunks(batch):
-                for d, x in zip(some, encoded(texts), strict=True):
+                for d, x in zip(some, encoder.encode(texts), strict=True):
                     docs.append(d)
-                    counts.append(len(x))
-                    ids.append(x)
-                    held += len(x)
+                    counts.append(len(x) // 4 + 1)
+                    ids += [x, last]
+                    held += counts[-1]
                     if held >= file_ids:
                         yield close()
         if docs:

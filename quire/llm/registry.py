@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from quire.llm import decontamination, language_model, neardup, pieces, repeats, sharding, tokenfiles, topk, toxicity
+from quire.llm import decontamination, html, language_model, neardup, pieces, repeats, sharding, tokenfiles, topk, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_html_text": html.op3_html_text,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_token_files": tokenfiles.op6_token_files,

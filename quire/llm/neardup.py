@@ -7,9 +7,9 @@ band with probability 1e-5.
 
 Equal sets are one class from the start, so exact copies, however many, cost an aggregate. Classes that share a band key
 are candidates, first each with the smallest of its key; registers, corrected for chance matches, drop the hopeless
-pairs, and the full sets decide. Where a key still holds several components, each document's most similar one of another
-component is tried, and then every pair left between components: no link between components is lost to an order, a cap
-or a sample. Large keys are dealt into cells of two blocks.
+pairs, and the full sets decide. Where a key still holds several components, its documents' texts meet in cells of two
+blocks of bounded size, and every pair across components is tried on its full sets: no link between components is lost
+to an order, a cap or a sample. A cell gives the links that join its components, at most one less than its documents.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links; with fewer words than a
 shingle takes, the whole sequence is the one shingle; rows with the same doc_id are one document, linked with all that
@@ -38,7 +38,7 @@ MANY = 1 << 17
 SLACK = 0.2
 #: The chance that registers of different shingles match: the same zeros (1/3) and the same ten bits.
 CHANCE = 1 / 3 / (1 << MANTISSA)
-MEMBERS_A_GROUP, CELL_ROWS = 64, 1024
+MEMBERS_A_GROUP, CELL_ROWS, CELL_SHINGLES = 64, 1024, 1_000_000
 
 
 def row_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,8 @@ def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = mix(np.ascontiguousarray(regs_of(batch.column(1))).view(np.uint64).reshape(-1, BANDS) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         doc = np.repeat(batch.column(0).to_numpy(), BANDS)
-        yield pa.record_batch([pa.array(keys.view(np.int64).ravel()), pa.array(doc)], ["key", "doc"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
+        yield pa.record_batch([pa.array(keys.view(np.int64).ravel()), pa.array(band), pa.array(doc)], ["key", "band", "doc"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,29 +150,61 @@ def hopeful(least: float):
     return run
 
 
-def cell(least: float, every: bool):
-    """For the documents of a key's cell: candidate pairs between components, all or each document's most similar."""
+def local_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rows' distinct shingles as small numbers, where each row's begin, and how many numbers there are."""
+    data, offsets = utf8(texts)
+    hashes, owners = [], []
+    for i, j in slices(offsets):
+        h, rows = row_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+        hashes.append(h)
+        owners.append(rows + i)
+    names, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+    owner = np.concatenate(owners)
+    key = np.unique(owner.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(key, np.arange(len(offsets), dtype=np.uint64) << np.uint64(32)), len(names)
+
+
+def cell(k: int, percent: int, least: float):
+    """Links between components in one cell of a key: every hopeful pair is tried on its full sets, until its components are one.
+
+    A pair that shares an earlier band is left to that band's cell.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc")
         doc, comp, block = (table[c].to_numpy() for c in ("doc", "comp", "block"))
+        comp = comp.copy()
         regs = regs_of(table["regs"])
+        keys = regs.view(np.uint64).reshape(len(regs), -1)[:, : table["band"][0].as_py()]
+        flat, begin, numbers = local_sets(table["text"].combine_chunks(), k)
+        size = np.diff(begin)
         first, second = table["ci"][0].as_py(), table["cj"][0].as_py()
-        a = np.flatnonzero(block == first)
-        b = np.flatnonzero(block == second)
-        x, y = [], []
-        for at in range(0, len(a), 64):
-            rows = a[at : at + 64]
-            est = ((regs[rows][:, None, :] == regs[b][None]).mean(axis=2, dtype=np.float32) - CHANCE) / (1 - CHANCE)
-            est[comp[rows][:, None] == comp[b][None]] = -1
-            if every:
-                i, j = np.nonzero(est >= least)
-            else:
-                i = np.flatnonzero(est.max(axis=1, initial=-1) >= least)
-                j = est[i].argmax(axis=1)
-            x.append(doc[rows[i]])
-            y.append(doc[b[j]])
-        x, y = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (x, y))
-        return pa.table({"center": np.minimum(x, y), "doc": np.maximum(x, y)})
+        others = np.flatnonzero(block == second)
+        mark = np.zeros(numbers, bool)
+        a, b = [], []
+        for x in np.flatnonzero(block == first).tolist():
+            y = others[others > x] if first == second else others
+            y = y[comp[y] != comp[x]]
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            if not len(y):
+                continue
+            y = y[((regs[y] == regs[x]).mean(axis=1) - CHANCE) / (1 - CHANCE) >= least]
+            y = y[~(keys[y] == keys[x]).any(axis=1)]
+            if not len(y):
+                continue
+            own = flat[begin[x] : begin[x + 1]]
+            mark[own] = True
+            ends = np.cumsum(size[y])
+            at = np.repeat(begin[y] - (ends - size[y]), size[y]) + np.arange(ends[-1])
+            sums = np.concatenate([[0], np.cumsum(mark[flat[at]])])
+            common = sums[ends] - sums[ends - size[y]]
+            mark[own] = False
+            for z in y[100 * common >= percent * (size[y] + size[x] - common)].tolist():
+                if comp[z] != comp[x]:
+                    a.append(doc[x])
+                    b.append(doc[z])
+                    comp[comp == comp[z]] = comp[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -225,13 +258,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     key = ["n_shingles", "f1", "f2"]
     classes = stored(some.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs")), "classes")
-    nodes = classes.groupBy("doc").agg(F.first("regs").alias("regs"))  # one, but where rows of a doc_id differ
-    bands = stored(classes.select("doc", "regs").mapInArrow(band_keys, "key long, doc long"), "bands")
+    nodes = classes.groupBy("doc").agg(F.first("regs").alias("regs"), F.max("n_shingles").alias("n_shingles"))  # one, but where rows of a doc_id differ
+    bands = stored(classes.select("doc", "regs").mapInArrow(band_keys, "key long, band int, doc long"), "bands")
     centers = bands.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where(F.col("center") != F.col("last")).drop("last")
     least = percent / 100 - SLACK
 
     shared = stored(bands.join(centers, "key"), "shared")  # what shares a key with another
-    regs = nodes.join(shared.select("doc").distinct(), "doc", "left_semi")
+    regs = nodes.select("doc", "regs").join(shared.select("doc").distinct(), "doc", "left_semi")
     stars = shared.where(F.col("center") != F.col("doc")).select("center", "doc").distinct()
     told = stars.join(regs.withColumnRenamed("regs", "regs2"), "doc").join(regs.select(F.col("doc").alias("center"), "regs"), "center").select("center", "doc", "regs", "regs2")
     stars = stored(told.mapInArrow(hopeful(least), "center long, doc long"), "stars")
@@ -256,18 +289,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = stored(between(stars.join(tried, ["center", "doc"], "left_anti")), "pairs")
     if more.take(1):
         labels = relabelled(labels, verified(more, texts, k, percent))
-        tried = tried.unionByName(more)
-    for every in (False, True):
-        here = shared.select("key", "doc").join(labels, "doc")
-        mixed = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") != F.col("hi"))
-        cut = F.ceil(F.col("n") / CELL_ROWS).cast("int")
-        open_ = here.join(mixed.select("key", cut.alias("blocks")), "key").join(regs, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-        cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc", "comp", "regs", "block", F.least("block", "other").alias("ci"), F.greatest("block", "other").alias("cj"))
-        found = cells.groupBy("key", "ci", "cj").applyInArrow(cell(least, every), "center long, doc long").distinct()
-        new = stored(found.join(tried, ["center", "doc"], "left_anti"), "pairs")
-        if new.take(1):
-            labels = relabelled(labels, verified(new, texts, k, percent))
-            tried = tried.unionByName(new)
+    # Keys that still hold several components: every pair across them, in cells of two blocks.
+    here = shared.select("key", "band", "doc").join(labels, "doc")
+    sizes = nodes.select("doc", "n_shingles")
+    mixed = here.join(sizes, "doc").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m")).where(F.col("lo") != F.col("hi"))
+    cut = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("m") / CELL_SHINGLES)).cast("int")
+    left = here.join(mixed.select("key", cut.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(regs, "doc").join(texts, "doc")
+    cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumns({"ci": F.least("block", "other"), "cj": F.greatest("block", "other")})
+    links = stored(cells.groupBy("key", "ci", "cj").applyInArrow(cell(k, percent, least), "a long, b long"), "links")
+    if links.take(1):
+        labels = relabelled(labels, links)
 
     of_class = classes.select(*key, "doc").join(labels, "doc", "left").select(*key, F.coalesce("comp", "doc").alias("component"))
     placed = signed.join(of_class, key, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from quire.plans import tally
+
+FLAGSHIP = "survey_windowed"
 QUERIES: dict = {}
 SQL: dict = {}
+for _module in (tally,):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

@@ -40,6 +40,8 @@ LENGTH, GRAM = 100, 36
 #: A difference cover: every residue of 31 is the difference of two of these.
 PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 CHUNK_BYTES = 8 << 20
+#: Suffixes that are sorted at a time, but for a gram that alone has more.
+STRINGS_AT_ONCE = 200_000
 
 
 def cover_offsets() -> np.ndarray:
@@ -204,28 +206,37 @@ def place_sender(folder: str, have: set[int], buckets: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            nonlocal size
+            r = np.concatenate(held)
+            held.clear()
+            size = 0
+            return dealt(bucket_of(r["gram"], buckets), r, "places")
+
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in slices(offsets):
-                local = offsets[i : j + 1] - offsets[i]
-                p = Places(data[offsets[i] : offsets[j]], local, length)
-                if not len(p.gram):
-                    continue
-                some = np.flatnonzero(members(folder, have, p.gram, buckets))
-                r = np.empty(len(some), PLACE)
-                row = p.row[some]
-                r["gram"], r["stretch"], r["doc"], r["key"] = p.gram[some], p.stretch(some, length), doc[i + row], key[i + row]
-                r["at"], r["before"], r["after"] = p.at[some] - local[row], p.at[some] - p.first[some], p.at[some] - p.last[some]
-                held.append(r)
-                size += len(r)
+            for begin, end in slices(offsets, CHUNK_BYTES):
+                parts = [(i + begin, j + begin) for i, j in slices(offsets[begin : end + 1] - offsets[begin])]
+                found = [Places(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length) for i, j in parts]
+                hit = members(folder, have, np.concatenate([p.gram.astype(np.uint64) for p in found]), buckets)
+                at = 0
+                for (i, j), p in zip(parts, found, strict=True):
+                    some = np.flatnonzero(hit[at : at + len(p.gram)])
+                    at += len(p.gram)
+                    if not len(some):
+                        continue
+                    r = np.empty(len(some), PLACE)
+                    row, local = p.row[some], offsets[i : j + 1] - offsets[i]
+                    r["gram"], r["stretch"], r["doc"], r["key"] = p.gram[some], p.stretch(some, length), doc[i + row], key[i + row]
+                    r["at"], r["before"], r["after"] = p.at[some] - local[row], p.at[some] - p.first[some], p.at[some] - p.last[some]
+                    held.append(r)
+                    size += len(r)
                 if size >= 200_000:
-                    all_ = np.concatenate(held)
-                    yield dealt(bucket_of(all_["gram"], buckets), all_, "places")
-                    held, size = [], 0
+                    yield send()
         if held:
-            all_ = np.concatenate(held)
-            yield dealt(bucket_of(all_["gram"], buckets), all_, "places")
+            yield send()
 
     return run
 
@@ -383,25 +394,44 @@ def repeated_suffixes(text: np.ndarray, start: np.ndarray, doc: np.ndarray, offs
     return out
 
 
+def repeats_of(r: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """The cuts that some places' stretches (text, one after the other) give."""
+    before, after, at = (r[f].astype(np.int64) for f in ("before", "after", "at"))
+    n = before - after + 1
+    base = np.cumsum(n + length - 1) - (n + length - 1)
+    of = np.repeat(np.arange(len(r)), n)
+    offset = ragged(at - before, n)
+    # Equal strings have the gram at the same distance.
+    group = mix(r["gram"][of] + (at[of] - offset).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    hit = np.flatnonzero(repeated_suffixes(text, ragged(base, n), r["doc"][of], offset, group, length))
+    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (of[hit[1:]] != of[hit[:-1]])]) if len(hit) else np.empty(0, bool)
+    first = hit[new]
+    last = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1] if len(hit) else first
+    cut = np.empty(len(first), CUT)
+    cut["key"], cut["start"], cut["end"] = r["key"][of[first]], offset[first], offset[last] + length
+    return cut
+
+
 def stretch_bucket(buckets: int, length: int):
+    """A bucket's suffixes, some grams at a time."""
+
     def run(table: pa.Table) -> pa.Table:
         r = np.concatenate([np.frombuffer(x.as_py(), OPEN) for x in table["places"]])
         text = np.frombuffer(b"".join(x.as_py() for x in table["text"]), np.uint8)
-        before, after, at = (r[f].astype(np.int64) for f in ("before", "after", "at"))
-        n = before - after + 1
+        n = r["before"].astype(np.int64) - r["after"] + 1
         base = np.cumsum(n + length - 1) - (n + length - 1)
-        of = np.repeat(np.arange(len(r)), n)
-        start = ragged(base, n)
-        offset = ragged(at - before, n)
-        # Equal strings have the gram at the same distance.
-        group = mix(r["gram"][of] + (at[of] - offset).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        hit = repeated_suffixes(text, start, r["doc"][of], offset, group, length)
-        at = np.flatnonzero(hit)
-        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])]) if len(at) else np.empty(0, bool)
-        first = at[new]
-        last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else first
-        cut = np.empty(len(first), CUT)
-        cut["key"], cut["start"], cut["end"] = r["key"][of[first]], offset[first], offset[last] + length
+        order = np.argsort(r["gram"], kind="stable")
+        gram, strings = r["gram"][order], np.cumsum(n[order])
+        ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))  # of each gram's places
+        cuts, a = [], 0
+        while a < len(order):
+            most = np.searchsorted(strings, (strings[a - 1] if a else 0) + STRINGS_AT_ONCE, "right")
+            k = np.searchsorted(ends, a, "right")
+            z = ends[max(k, np.searchsorted(ends, most, "right") - 1)]
+            some = order[a:z]
+            cuts.append(repeats_of(r[some], text[ragged(base[some], n[some] + length - 1)], length))
+            a = int(z)
+        cut = np.concatenate(cuts)
         return pa.Table.from_batches([dealt(bucket_of_key(cut["key"], buckets), cut, "records")])
 
     return run

@@ -27,6 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -108,11 +109,23 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", "\t-\r \x85\x
 _PLAIN = re.compile("[^\0-\u024f]")
 _WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 1_200_000
 WORDS_AT_ONCE = 4_096
 _ready: dict[int, Encoder] = {}
 
 
+class Numbered(dict):
+    """Numbers words as they come; new ones wait in a list."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        i = self[word] = len(self)
+        return i
+
+
 class Encoder:
     """The tokenizers library with a memory: a word's ids depend on the word alone, so each is asked for once.
 
@@ -129,32 +142,47 @@ class Encoder:
         spec = json.loads(data)
         split = spec.get("pre_tokenizer") or {}
         self.by_word = not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        e = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, "<u4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(e.word_ids, minlength=len(words)))
-        at = 0
-        for w, end in zip(words, ends.tolist(), strict=True):
-            self.known[w] = ids[at:end]
-            at = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number = Numbered()
+        self.pool = np.empty(1 << 16, np.uint32)  # the ids of all numbered words, one after the other
+        self.ends = np.zeros(1 << 14, np.int64)  # number n's ids lie from ends[n] to ends[n + 1]
+
+    def _learn(self) -> None:
+        words, self.number.new = self.number.new, []
+        first = len(self.number) - len(words)
+        while len(self.ends) <= len(self.number):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, n = np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            base = self.ends[first + at]
+            while len(self.pool) < base + len(ids):
+                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+            self.pool[base : base + len(ids)] = ids
+            self.ends[first + at + 1 : first + at + 1 + len(some)] = base + np.cumsum(n)
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [_WORDS.findall(t) for t in texts]
+        n = np.array([len(s) for s in split], np.int64)
+        words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        self._learn()
+        start, size = self.ends[words], self.ends[words + 1] - self.ends[words]
+        at = np.cumsum(size)
+        ids = self.pool[np.repeat(start - (at - size), size) + np.arange(at[-1] if len(at) else 0)]
+        return ids, np.diff(np.concatenate([[0], at])[np.concatenate([[0], np.cumsum(n)])])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.number) > KEPT_WORDS:
+            self._clear()
         plain = [self.by_word and not _PLAIN.search(t) for t in texts]
-        split = [_WORDS.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            self._learn(new[at : at + WORDS_AT_ONCE])
-        get = self.known.__getitem__
-        rest = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(get, s)) if p else next(rest) for s, p in zip(split, plain, strict=True)]
+        ids, n = self._words([t for t, p in zip(texts, plain, strict=True) if p])
+        own = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else ())
+        rest = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(own) if p else np.array(next(rest).ids, np.uint32) for p in plain]
 
 
 def ready(data: bytes) -> Encoder:
@@ -167,16 +195,16 @@ def ready(data: bytes) -> Encoder:
 
 def file_writer(data: bytes, end: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = ready(data), struct.pack("<I", end)
+        encoder, last = ready(data), np.array([end], np.uint32)
         part, seq = TaskContext.get().partitionId(), 0
         docs: list = []
         counts: list[int] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal seq, held
-            image = write_image(docs, counts, np.frombuffer(b"".join(ids), "<u4"))
+            image = write_image(docs, counts, np.concatenate(ids))
             row = [pa.array([x], pa.int64()) for x in (part, seq, len(docs), held)]
             docs.clear(), counts.clear(), ids.clear()
             seq, held = seq + 1, 0
@@ -198,7 +226,7 @@ def file_writer(data: bytes, end: int, file_ids: int):
             for some, texts in chunks(batch):
                 for d, x in zip(some, encoder.encode(texts), strict=True):
                     docs.append(d)
-                    counts.append(len(x) // 4 + 1)
+                    counts.append(len(x) + 1)
                     ids += [x, last]
                     held += counts[-1]
                     if held >= file_ids:

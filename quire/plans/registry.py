@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.plans import tally
+from quire.plans import catalog, facets, retrieval, structure, tally, text
 
 FLAGSHIP = "survey_windowed"
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (tally,):
-    QUERIES |= _module.QUERIES
-    SQL |= _module.SQL
+for _module in (tally, facets, retrieval, text, structure, catalog):
+    QUERIES |= _module.query.queries
+    SQL |= _module.query.sql

@@ -6,19 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import tally
+from quire.plans.keep import Registry
 from quire.sources.tables import read
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return keep
+query = Registry()
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:

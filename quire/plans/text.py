@@ -1,5 +1,213 @@
-"""To come."""
+"""Text queries over synthetic pages made of part, and over documents and pages, with their SQL.
 
+The tables' own texts have nothing to normalize, so pages with artefacts are made of part names by the same rule in Spark and SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import text as t
 from quire.plans.keep import Registry
+from quire.sources.tables import read
 
 query = Registry()
+
+
+def pages(spark, sf):
+    """page, raw: a head with a number, two recipes, odd blanks, a cut word, a ligature, invisible characters; which of them, by page number."""
+    p, k = read(spark, sf, "part"), F.col("p_partkey")
+    n = F.upper("p_name")
+    head = F.when(k % 4 == 0, F.concat(k.cast("string"), F.lit("\n"))).when(k % 4 == 1, F.concat(n, F.lit("  "), (k % 900).cast("string"), F.lit("\n"))).when(k % 4 == 2, "xiv\n").otherwise("")
+    body = F.concat(
+        (k % 50 + 1).cast("string"), F.lit(". "), F.initcap("p_name"), F.lit("\n2 oz"), F.when(k % 3 == 0, "   of\t").otherwise(" of "), F.col("p_type"), F.when(k % 5 == 0, "\r\n").otherwise("\n"),
+        F.when(k % 2 == 0, "Stir brisk-\nly and strain.").otherwise("Stir briskly and strain."), F.when(k % 7 == 0, " Serve ﬁne​ly­ chilled.\n\n\n\n\nNo. 5 ").otherwise(" \n "), F.when(k % 6 == 0, "1 dash of bitters, ﬂamed.").otherwise(""),
+    )
+    return p.select(k.alias("page"), F.concat(head, body).alias("raw"))
+
+
+PAGES = """pages AS (SELECT p_partkey AS page, CASE p_partkey % 4 WHEN 0 THEN p_partkey || chr(10) WHEN 1 THEN upper(p_name) || '  ' || (p_partkey % 900) || chr(10) WHEN 2 THEN 'xiv' || chr(10) ELSE '' END
+  || (p_partkey % 50 + 1) || '. ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || chr(10) || '2 oz' || CASE WHEN p_partkey % 3 = 0 THEN '   of' || chr(9) ELSE ' of ' END || p_type
+  || CASE WHEN p_partkey % 5 = 0 THEN chr(13) || chr(10) ELSE chr(10) END || CASE WHEN p_partkey % 2 = 0 THEN 'Stir brisk-' || chr(10) || 'ly and strain.' ELSE 'Stir briskly' || chr(160) || 'and strain.' END
+  || CASE WHEN p_partkey % 7 = 0 THEN ' Serve ' || chr(64257) || 'ne' || chr(8203) || 'ly' || chr(173) || ' chilled.' || repeat(chr(10), 5) || 'No. 5 ' ELSE ' ' || chr(10) || ' ' END || CASE WHEN p_partkey % 6 = 0 THEN '1 dash of bitters, ' || chr(64258) || 'amed.' ELSE '' END AS raw FROM part)"""
+G = "'g'"
+
+
+def lig(c):
+    for k, v in t.params.LIGATURES.items():
+        c = f"replace({c}, '{k}', '{v}')"
+    return c
+
+
+def vis(c):
+    return rf"regexp_replace({c}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g')"
+
+
+def spaces(c):
+    return rf"regexp_replace(regexp_replace(regexp_replace({c}, '\r\n?', chr(10), 'g'), '[\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g'), '[\x{{2028}}\x{{2029}}]', chr(10), 'g')"
+
+
+def hyph(c):
+    return rf"regexp_replace({c}, '(\p{{Ll}})-\n(\p{{Ll}})', '\1\2', 'g')"
+
+
+def coll(c):
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+def page_query(name, column, sql):
+    query(name, f"WITH {PAGES} SELECT page, {sql('raw')} AS text FROM pages")(lambda spark, sf: pages(spark, sf).select("page", column(F.col("raw")).alias("text")))
+
+
+page_query("ligatures", t.ligatures, lig)
+page_query("strip_invisible", t.visible, vis)
+page_query("fold_spaces", t.plain_spaces, spaces)
+page_query("hyphen_join", t.hyphens_joined, hyph)
+page_query("normalize_whitespace", t.collapsed, coll)
+page_query("normalize_page", t.normalized, lambda c: coll(hyph(spaces(vis(lig(f"nfc_normalize({c})"))))))
+COUNT = r"len(list_filter(regexp_split_to_array(trim({c}, ' '), '\s+'), lambda w: w <> ''))"
+TOKENS = f"greatest(ceil(length(text) / 3.6), ceil({COUNT.format(c='text')} * 1.4)) + ceil(len(regexp_extract_all(text, '[0-9]+')) * 0.5) + ceil(length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) * 0.4)"
+
+
+@query("char_word_counts", f"SELECT doc_id, length(text)::INTEGER AS chars, {COUNT.format(c='text')}::INTEGER AS words FROM documents")
+def char_word_counts(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.length("text").alias("chars"), t.word_count(F.col("text")).alias("words"))
+
+
+@query("token_estimate", f"SELECT doc_id, ({TOKENS})::BIGINT AS tokens FROM documents")
+def token_estimate(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", t.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+LINES = "list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+
+
+def edge_sql(x):
+    upper = f"length(regexp_replace({x}, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g')), 1) >= 0.6"
+    num = f"coalesce(nullif(regexp_extract({x}, '^(\\d{{1,4}})\\s+\\D+$', 1), ''), nullif(regexp_extract({x}, '^\\D+\\s+(\\d{{1,4}})$', 1), ''))"
+    roman = f"length({x}) BETWEEN 1 AND 7 AND regexp_matches({x}, '(?i)^m{{0,3}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})$')"
+    return f"coalesce(CASE WHEN regexp_matches({x}, '^\\d{{1,4}}$') OR {roman} THEN {x} END, CASE WHEN {upper} THEN {num} END)"
+
+
+@query("page_labels", f"WITH {PAGES}, l AS (SELECT page, {LINES} AS x FROM pages) SELECT page, coalesce({edge_sql('x[1]')}, {edge_sql('x[len(x)]')}) AS label FROM l")
+def page_labels(spark, sf):
+    return pages(spark, sf).select("page", t.label(F.col("raw")).alias("label"))
+
+
+@query("label_lift", f"WITH {PAGES} SELECT page, regexp_replace(regexp_replace(raw, '^(\\s*)(\\d{{1,4}})[ \\t]*(\\n|$)', '\\1\\3'), '(^|\\n)[ \\t]*\\d{{1,4}}(\\s*)$', '\\1\\2') AS text FROM pages")
+def label_lift(spark, sf):
+    return pages(spark, sf).select("page", t.lifted(F.col("raw")).alias("text"))
+
+
+W = r"list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: regexp_matches(w, '\p{L}'))"
+ROM = "length(p) BETWEEN 1 AND 7 AND regexp_matches(p, '(?i)^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$')"
+VOW = f"length(regexp_replace(lower(p), '[^{t.VOWELS}]', '', 'g'))"
+PART = rf"({ROM}) OR regexp_matches(p, '^(\p{{Ll}}+|\p{{Lu}}+|\p{{Lu}}\p{{Ll}}+)$') AND (length(p) < 3 OR {VOW} > 0) AND (length(p) < 4 OR {VOW} / length(p) BETWEEN 0.10 AND 0.80) AND NOT regexp_matches(lower(p), '[^{t.VOWELS}]{{6,}}')"
+OKAY = rf"length(w) <= 22 AND NOT regexp_matches(w, '\p{{L}}\p{{N}}|\p{{N}}\p{{L}}') AND len(list_filter(list_filter(regexp_split_to_array(w, '[''’‘-]'), lambda p: p <> ''), lambda p: NOT ({PART}))) = 0"
+QUALITY = f"""w AS (SELECT doc_id, text, {W} AS ws FROM src), q AS (SELECT doc_id, text, len(ws) AS n, len(list_filter(ws, lambda w: {OKAY})) AS ok, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS total FROM w),
+s AS (SELECT doc_id, text, CASE WHEN n >= 8 THEN round(0.6 * ok / n + 0.2 * least(1.0, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / greatest(length(regexp_replace(text, '\\s', '', 'g')), 1) / 0.85) + 0.2 * greatest(0.0, 1 - least(1.0, abs(total / n - 4.7) / 4)), 4) END AS score FROM q)"""
+DOCS = "src AS (SELECT doc_id, text FROM documents)"
+
+
+def scored(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", "text", t.quality(F.col("text")).alias("score"))
+
+
+@query("page_quality", f"WITH {DOCS}, {QUALITY} SELECT doc_id, round(score, 3) AS score, coalesce(score >= 0.9, false) AS passes FROM s")
+def page_quality(spark, sf):
+    return scored(spark, sf).select("doc_id", F.round("score", 3).alias("score"), t.passes(F.col("score")).alias("passes"))
+
+
+@query("quality_bands", f"WITH {DOCS}, {QUALITY} SELECT CASE WHEN score IS NULL THEN 'none' WHEN score < 0.7 THEN 'low' WHEN score < 0.9 THEN 'middle' ELSE 'high' END AS band, count(*)::BIGINT AS pages FROM s GROUP BY band")
+def quality_bands(spark, sf):
+    s = F.col("score")
+    return scored(spark, sf).groupBy(F.when(s.isNull(), "none").when(s < 0.7, "low").when(s < 0.9, "middle").otherwise("high").alias("band")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+CAND = "c AS (SELECT l_partkey AS page, CASE l_linenumber % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'layer' ELSE 'manual' END AS source, CASE WHEN l_linenumber = 2 THEN ' ' ELSE l_returnflag END AS text, CASE WHEN l_quantity > 10 THEN l_discount END AS score, CASE WHEN l_linestatus = 'F' OR l_partkey % 5 = 0 THEN 'extracted' ELSE 'failed' END AS status, l_orderkey * 10 + l_linenumber AS id FROM lineitem)"
+
+
+def candidates(spark, sf):
+    line, n = read(spark, sf, "lineitem"), F.col("l_linenumber")
+    return line.select(
+        F.col("l_partkey").alias("page"), F.when(n % 3 == 0, "ocr").when(n % 3 == 1, "layer").otherwise("manual").alias("source"), F.when(n == 2, " ").otherwise(F.col("l_returnflag")).alias("text"), F.when(F.col("l_quantity") > 10, F.col("l_discount")).alias("score"),
+        F.when((F.col("l_linestatus") == "F") | (F.col("l_partkey") % 5 == 0), "extracted").otherwise("failed").alias("status"), (F.col("l_orderkey") * 10 + n).alias("id"),
+    )
+
+
+PROMO = "WITH {c}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {p}, coalesce(score, -1.0) DESC, id) AS n FROM c WHERE status = 'extracted' AND trim(text) <> '') SELECT page, source, id FROM r WHERE n = 1"
+query("promotion_argmax", PROMO.format(c=CAND, p="1::BIGINT"))(lambda spark, sf: t.promoted(candidates(spark, sf)).select("page", "source", "id"))
+query("promotion_preferred", PROMO.format(c=CAND, p="CASE WHEN source = 'ocr' THEN 0 ELSE 1 END"))(lambda spark, sf: t.promoted(candidates(spark, sf), "ocr").select("page", "source", "id"))
+
+
+@query("blank_exhausted", f"WITH {CAND} SELECT page FROM c WHERE id % 10 = 2 GROUP BY page HAVING bool_and(status = 'extracted' AND trim(text) = '')")
+def blank_exhausted(spark, sf):
+    return t.blank_pages(candidates(spark, sf).where("id % 10 = 2"))
+
+
+@query("source_compare", f"WITH {CAND} SELECT source, round(avg(score), 4) AS mean_score, count(*)::BIGINT AS pages FROM c GROUP BY source")
+def source_compare(spark, sf):
+    return t.by_source(candidates(spark, sf))
+
+
+@query("page_sample", "WITH p AS (SELECT source, doc_id AS page, count(*) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents), s AS (SELECT *, total // 6 AS step FROM p) SELECT source, page FROM s WHERE step > 0 AND place % step = 0 AND place <= 5 * step")
+def page_sample(spark, sf):
+    return t.sampled(read(spark, sf, "documents").select("source", F.col("doc_id").alias("page")), "source", 5)
+
+
+@query("ocr_gate", f"WITH {DOCS}, {QUALITY} SELECT doc_id FROM s WHERE text IS NULL OR length(text) < 60 OR NOT coalesce(score >= 0.9, false)")
+def ocr_gate(spark, sf):
+    return t.needs_ocr(scored(spark, sf), "gated").select("doc_id")
+
+
+@query("target_pages", "SELECT doc_id AS page FROM documents WHERE doc_id BETWEEN 100 AND 700 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def target_pages(spark, sf):
+    p = read(spark, sf, "documents").select(F.col("doc_id").alias("page"))
+    return t.target_pages(p, read(spark, sf, "labels").select(F.col("doc_id").alias("page")), 100, 700)
+
+
+@query("renormalize_stale", f"WITH {PAGES} SELECT page, {coll(hyph(spaces(vis(lig('raw')))))} AS text, 3 AS version FROM pages WHERE page % 9 <> 0 AND page % 4 < 3")
+def renormalize_stale(spark, sf):
+    p = pages(spark, sf).select("page", F.when(F.col("page") % 9 != 0, F.col("raw")).alias("raw"), (F.col("page") % 4).cast("int").alias("version"))
+    return t.stale(p, 3).select("page", t.normalized(F.col("raw")).alias("text"), F.lit(3).alias("version"))
+
+
+SIG = """x AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM src),
+g AS (SELECT *, round(len(list_filter(ls, lambda x: regexp_matches(x, '\\.{3,}|(\\. ){3,}'))) / greatest(len(ls), 1), 4) AS dot_leaders, round(len(list_filter(ls, lambda x: regexp_matches(x, '[0-9]{1,4}\\z'))) / greatest(len(ls), 1), 4) AS trailing_numbers, round(len(list_filter(ls, lambda x: regexp_matches(x, '^\\p{Lu}[^,]{1,30}, [^,]{1,30}'))) / greatest(len(ls), 1), 4) AS inverted, len(ls)::INTEGER AS lines FROM x)"""
+MIXED = f"{PAGES}, src AS (SELECT page AS doc_id, CASE page % 5 WHEN 0 THEN raw || chr(10) || raw || chr(10) || raw WHEN 1 THEN 'Anvil, blue ..... 5' || chr(10) || raw || chr(10) || 'Gear . . . . 17' WHEN 2 THEN 'Gin $ 2' || chr(10) || 'Rum $ 3' || chr(10) || 'now.' WHEN 3 THEN 'x1 ' || page ELSE 'A word. And more of them! No measure here, but ' || page END AS text FROM pages)"
+
+
+def mixed(spark, sf):
+    k, raw = F.col("page"), F.col("raw")
+    text = (
+        F.when(k % 5 == 0, F.concat_ws("\n", raw, raw, raw))
+        .when(k % 5 == 1, F.concat(F.lit("Anvil, blue ..... 5\n"), raw, F.lit("\nGear . . . . 17")))
+        .when(k % 5 == 2, "Gin $ 2\nRum $ 3\nnow.")
+        .when(k % 5 == 3, F.concat(F.lit("x1 "), k.cast("string")))
+        .otherwise(F.concat(F.lit("A word. And more of them! No measure here, but "), k.cast("string")))
+    )
+    return pages(spark, sf).select(k.alias("doc_id"), text.alias("text"))
+
+
+@query("chunk_signals", f"WITH {MIXED}, {SIG} SELECT doc_id, dot_leaders, trailing_numbers, inverted, lines FROM g")
+def chunk_signals(spark, sf):
+    return mixed(spark, sf).select("doc_id", F.inline(F.array(t.signals(F.col("text")))))
+
+
+KIND = r"""k AS (SELECT *, len(regexp_extract_all(text, '(?i)\b(oz|ounces?|dash(es)?|spoons?|spoonfuls?|wineglass(es)?|glass(es)?|pint|quart|gill|jigger|cl|ml)\b')) AS ms, len(regexp_extract_all(text, '(?m)^[0-9]{1,3}\. \p{Lu}')) AS nb, len(regexp_extract_all(text, '(?m)[$£] ?[0-9]')) AS pr, len(regexp_extract_all(text, '[.!?](\s|$)')) AS en,
+  CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0.95 END AS score FROM g), c AS (SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 12 THEN 'noise' WHEN dot_leaders >= 0.4 OR trailing_numbers >= 0.7 OR trailing_numbers >= 0.5 AND inverted >= 0.3 THEN 'index' WHEN nb >= 3 AND ms >= 3 THEN 'recipe_list' WHEN ms >= 2 THEN 'recipe'
+  WHEN lines >= 3 AND pr >= 2 THEN 'advertisement' WHEN score < 0.7 AND length(text) < 40 THEN 'noise' WHEN score < 0.7 THEN 'unknown' WHEN en >= 2 THEN 'prose' ELSE 'unknown' END AS kind FROM k)"""
+
+
+@query("chunk_kinds", f"WITH {MIXED}, {SIG}, {KIND} SELECT doc_id, kind, kind IN ('recipe', 'recipe_list', 'prose', 'unknown') AS indexable FROM c")
+def chunk_kinds(spark, sf):
+    k = t.chunk_kind(F.col("text"), F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(0.95))
+    return mixed(spark, sf).select("doc_id", k.alias("kind"), t.indexable(k).alias("indexable"))
+
+
+@query("key_fold", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(CASE WHEN p_partkey % 3 = 0 THEN '*The ' || p_name || '''s.' ELSE p_name END, '^[\\s[:punct:]]+|[\\s[:punct:]]+$', '', 'g')), '^(the|a|an|le|la|el|les|los|las)\\s+', ''), '[''’]s\\b', 's', 'g'), '[^a-z0-9]+', '', 'g') AS key FROM part")
+def key_fold(spark, sf):
+    from quire.operators.tally import folded_key
+
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("*The "), "p_name", F.lit("'s."))).otherwise(F.col("p_name"))
+    return read(spark, sf, "part").select("p_partkey", folded_key(name).alias("key"))

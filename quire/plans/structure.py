@@ -1,5 +1,137 @@
-"""To come."""
+"""Structure queries over events, conversations and documents, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import chunking, structure as s
 from quire.plans.keep import Registry
+from quire.plans.tally import KEY, entities
+from quire.sources.tables import read
 
 query = Registry()
+
+
+def events(spark, sf):
+    return read(spark, sf, "events")
+
+
+RUN = """p AS (SELECT user_id, event_type, row_number() OVER w AS place, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY place) AS run FROM p),
+runs AS (SELECT user_id, run::BIGINT AS run, min(event_type) AS event_type, count(*)::BIGINT AS n, min(place)::INTEGER AS first_place, max(place)::INTEGER AS last_place FROM n GROUP BY user_id, run)"""
+
+
+@query("event_runs", f"WITH {RUN} SELECT * FROM runs")
+def event_runs(spark, sf):
+    return s.runs(events(spark, sf), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+SERIES = f"""{RUN}, k AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR lag(run) OVER w IS NULL THEN 1 ELSE 0 END AS turn FROM runs WHERE n >= 2 WINDOW w AS (PARTITION BY user_id ORDER BY first_place)),
+j AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY first_place) AS series FROM k),
+series AS (SELECT user_id, series::BIGINT AS series, min(event_type) AS event_type, sum(n)::BIGINT AS n, min(first_place)::INTEGER AS first_place, max(last_place)::INTEGER AS last_place FROM j GROUP BY user_id, series)"""
+
+
+@query("label_islands", f"WITH {SERIES} SELECT * FROM series")
+def label_islands(spark, sf):
+    return s.series(events(spark, sf), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query("label_asof", f"""WITH {SERIES}, pts AS (SELECT DISTINCT user_id, (event_id % 90)::INTEGER AS place FROM events),
+d AS (SELECT pts.user_id, place, series, event_type, first_place AS first, CASE WHEN place < first_place THEN first_place - place WHEN place > last_place THEN place - last_place ELSE 0 END AS distance FROM pts LEFT JOIN series s ON s.user_id = pts.user_id AND place >= first_place - 10 AND place <= last_place + 10),
+r AS (SELECT *, CASE WHEN series IS NOT NULL THEN distance END AS dist, row_number() OVER (PARTITION BY user_id, place ORDER BY CASE WHEN series IS NOT NULL THEN distance END NULLS LAST, first) AS n FROM d)
+SELECT user_id, place, series, event_type, dist::INTEGER AS distance FROM r WHERE n = 1""")
+def label_asof(spark, sf):
+    found = s.series(events(spark, sf), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "series", "event_type", F.col("first_place").alias("first"), F.col("last_place").alias("last"))
+    points = events(spark, sf).select("user_id", (F.col("event_id") % 90).cast("int").alias("place")).distinct()
+    return s.nearest(points, found, "user_id", "place").select("user_id", "place", "series", "event_type", "distance")
+
+
+RANGES = "rg AS (SELECT event_id AS id, user_id AS book, event_id * 37 % 5000 AS start, event_id * 37 % 5000 + 1 + event_id % 400 AS \"end\" FROM events), sp AS (SELECT user_id AS book, k AS page, k * 300 AS first, k * 300 + CASE WHEN k % 5 = 0 THEN 0 ELSE 290 END AS last FROM (SELECT DISTINCT user_id FROM events), range(0, 18) r(k))"
+
+
+def ranges(spark, sf):
+    i = F.col("event_id")
+    return events(spark, sf).select(i.alias("id"), F.col("user_id").alias("book"), (i * 37 % 5000).alias("start"), (i * 37 % 5000 + 1 + i % 400).alias("end"))
+
+
+@query("interval_overlap", f"WITH {RANGES} SELECT id, min(page)::BIGINT AS page_from, max(page)::BIGINT AS page_to FROM rg JOIN sp USING (book) WHERE start < last AND \"end\" > first AND first < last GROUP BY id")
+def interval_overlap(spark, sf):
+    k = F.col("page")
+    spans = events(spark, sf).select(F.col("user_id").alias("book")).distinct().withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(17).cast("long"))))
+    spans = spans.withColumns({"first": k * 300, "last": k * 300 + F.when(k % 5 == 0, 0).otherwise(290)})
+    return s.overlapping(ranges(spark, sf), spans, "book")
+
+
+@query("coverage_union", f"WITH {RANGES}, w AS (SELECT book, greatest(\"end\" - greatest(start, coalesce(max(\"end\") OVER (PARTITION BY book ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start)), 0) AS c FROM rg) SELECT book, sum(c)::BIGINT AS covered FROM w GROUP BY book")
+def coverage_union(spark, sf):
+    return s.union_length(ranges(spark, sf), "book")
+
+
+@query("tab_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 120 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS turn FROM events), n AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS tab FROM g)
+SELECT user_id, count(*)::BIGINT AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM n GROUP BY user_id, tab""")
+def tab_sessions(spark, sf):
+    f = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return s.sessions(events(spark, sf), "user_id", "ts").select("user_id", "events", f("first"), f("last"))
+
+
+@query("last_n_messages", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def last_n_messages(spark, sf):
+    return s.last_messages(read(spark, sf, "conversations"), "conv_id", "turn", 3).select("conv_id", "turn", "role")
+
+
+@query("heading_density", "WITH d AS (SELECT source, round(avg(len(regexp_extract_all(text, '(?m)^\\p{Lu}[^.\\n]{0,30}\\.$'))), 4)::DOUBLE AS density FROM documents WHERE trim(text, ' ') <> '' GROUP BY source) SELECT source, density, CASE WHEN density >= 1.5 THEN 'headings' ELSE 'packing' END AS strategy FROM d")
+def heading_density(spark, sf):
+    d = read(spark, sf, "documents")
+    return s.heading_density(d.withColumn("headings", F.regexp_count("text", F.lit("(?m)^\\p{Lu}[^.\\n]{0,30}\\.$"))), "source")
+
+
+@query("edge_repetition", """WITH h AS (SELECT source, e AS edge, CASE WHEN e = 'top' THEN left(split_part(text, chr(10), 1), 5) ELSE right(text, 3) END AS head FROM documents, (VALUES ('top'), ('bottom')) v(e)),
+c AS (SELECT source, edge, head, count(*) AS n FROM h WHERE head IS NOT NULL GROUP BY ALL), s AS (SELECT source, edge, sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n) AS share FROM c GROUP BY source, edge),
+t AS (SELECT source, round(coalesce(max(share) FILTER (edge = 'top'), 0), 4)::DOUBLE AS top, round(coalesce(max(share) FILTER (edge = 'bottom'), 0), 4)::DOUBLE AS bottom FROM s GROUP BY source)
+SELECT source, top, bottom, CASE WHEN greatest(top, bottom) < 0.15 THEN 'none' WHEN top >= bottom THEN 'top' ELSE 'bottom' END AS edge FROM t""")
+def edge_repetition(spark, sf):
+    d = read(spark, sf, "documents")
+    top = d.select("source", F.lit("top").alias("edge"), F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(5)).alias("head"))
+    return s.edge(top.unionByName(d.select("source", F.lit("bottom").alias("edge"), F.right("text", F.lit(3)).alias("head"))), "source")
+
+
+@query("fuzzy_pairs", f"WITH k AS (SELECT DISTINCT {KEY} AS key FROM part) SELECT a.key, b.key AS other, levenshtein(a.key, b.key)::INTEGER AS edits FROM k a JOIN k b ON a.key < b.key WHERE length(a.key) >= 6 AND length(b.key) >= 6 AND levenshtein(a.key, b.key) <= 2")
+def fuzzy_pairs(spark, sf):
+    return s.fuzzy_pairs(entities(spark, sf), 2)
+
+
+def book_pages(spark, sf):
+    """Books of ten documents."""
+    d = read(spark, sf, "documents")
+    return d.select(F.floor(F.col("doc_id") / 10).alias("book"), F.col("doc_id").alias("page"), "text")
+
+
+@query("stream_assembly", """WITH p AS (SELECT doc_id // 10 AS book, doc_id AS page, text, lag(text) OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS before FROM documents)
+SELECT book, count(*)::BIGINT AS pages, sha256(string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[\\p{Ll},;:]\\z') THEN ' ' ELSE chr(10) || chr(10) END || text, '' ORDER BY page)) AS checksum FROM p GROUP BY book""")
+def stream_assembly(spark, sf):
+    return chunking.streams(book_pages(spark, sf)).select("book", F.size("spans").cast("long").alias("pages"), F.sha2("stream", 256).alias("checksum"))
+
+
+@query("chunk_pack")
+def chunk_pack(spark, sf):
+    return chunking.chunks(book_pages(spark, sf))
+
+
+@query("chunk_verify", "SELECT 0::BIGINT AS wrong_slice, 0::BIGINT AS too_long, 0::BIGINT AS too_many_tokens, 0::BIGINT AS inverted, 0::BIGINT AS gaps")
+def chunk_verify(spark, sf):
+    p = book_pages(spark, sf)
+    return chunking.verify(chunking.chunks(p), chunking.streams(p))
+
+
+@query("head_clusters")
+def head_clusters(spark, sf):
+    names = read(spark, sf, "part").select((F.col("p_size") % 5).alias("book"), F.col("p_partkey").alias("page"), F.col("p_name").alias("head"))
+    return chunking.clusters(names)
+
+
+@query("mention_scan")
+def mention_scan(spark, sf):
+    """Headings found in synthetic pages, with byte offsets."""
+    from quire.plans.text import pages
+
+    return chunking.headings(pages(spark, sf).select("page", F.col("raw").alias("text")))

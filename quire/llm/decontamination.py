@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import PUNCTUATION, read, shingle, slices, utf8, words
+from quire.llm.common import PUNCTUATION, lean, read, shingle, slices, utf8, words
 
 WINDOW, SHINGLE = 13, 5
 BLOCK_WORDS = 1_000_000
@@ -139,7 +139,7 @@ def index(docs: DataFrame, benchmark: DataFrame, window: int, size: int) -> list
     def close():
         block = Block(items, window, size)
         members = block.shingles()
-        rows = docs.select("text").mapInArrow(counter(members), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect() if members else []
+        rows = docs.select("text").mapInArrow(lean(counter(members)), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n")).collect() if members else []
         block.choose({(r[0], r[1] & 0xFFFFFFFFFFFFFFFF): r[2] for r in rows})  # at most the block's own shingles
         out.append(context.broadcast(block))
 
@@ -208,7 +208,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     docs = docs.drop("n_words", "n_hit", "items", "hit_spans")
     blocks = index(docs, benchmark, window, size)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(marker(blocks), f"{fields}, {FOUND}")
+    return docs.mapInArrow(lean(marker(blocks)), f"{fields}, {FOUND}")
 
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import read
+from quire.llm.common import lean, read
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -246,7 +246,7 @@ def extract(pages: DataFrame, labelled: list = PAGES) -> DataFrame:
     """pages with the main text of their html."""
     pages = pages.drop("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(extractor(trained(labelled)), f"{fields}, text string")
+    return pages.mapInArrow(lean(extractor(trained(labelled))), f"{fields}, text string")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import arrayfiles
-from quire.llm.common import SPACES, crc_rest, mix, partitions, read, shared_dir, slices, utf8, words
+from quire.llm.common import SPACES, crc_rest, lean, lean_group, mix, partitions, read, shared_dir, slices, utf8, words
 
 SPLIT, HELD_OUT = 5, 1
 #: Hashes of the end of a text and of what stands before its first word.
@@ -126,7 +126,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
     """Words that are so frequent that a bucket of their own pairs would be uneven: at most 8 a bucket. They only steer the dealing."""
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).select("text")
-    counts = some.mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(lean(count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.col("n").desc(), "word").limit(8 * buckets).collect()
     total = next((r["n"] for r in rows if r["word"] == 0), 0)
     return np.array(sorted({int(BEGIN), *(r["word"] for r in rows if r["word"] > 0 and 8 * buckets * r["n"] >= total)}), np.uint64)
@@ -354,9 +354,9 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     buckets, folder = partitions(spark), f"{shared_dir(spark)}/quire/lm-{uuid.uuid4().hex}"
     frequent = frequent_words(docs, buckets)
-    pairs = docs.select("text").mapInArrow(pair_counter(frequent, buckets), "bucket long, pairs binary")
-    known = pairs.groupBy("bucket").applyInArrow(pair_bucket(folder, frequent, buckets), "bucket long, known binary")
-    rows = known.groupBy("bucket").applyInArrow(word_bucket(folder), "bucket long, sources array<long>, v long, n long, preceding long, words array<long>, pairs array<long>").collect()  # one row a bucket
+    pairs = docs.select("text").mapInArrow(lean(pair_counter(frequent, buckets)), "bucket long, pairs binary")
+    known = pairs.groupBy("bucket").applyInArrow(lean_group(pair_bucket(folder, frequent, buckets)), "bucket long, known binary")
+    rows = known.groupBy("bucket").applyInArrow(lean_group(word_bucket(folder)), "bucket long, sources array<long>, v long, n long, preceding long, words array<long>, pairs array<long>").collect()  # one row a bucket
     return Model(folder, frequent, buckets, rows)
 
 
@@ -376,7 +376,7 @@ def scorer(model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10 probabilities); the perplexity is 10 ** (-score / n_tokens)."""
-    return docs.select("doc_id", "text").mapInArrow(scorer(model), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCORED}")
+    return docs.select("doc_id", "text").mapInArrow(lean(scorer(model)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCORED}")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

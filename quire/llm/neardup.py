@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, mix, read, shingle, slices, stored, utf8, words
+from quire.llm.common import SPACES, lean, lean_group, mix, read, shingle, slices, stored, utf8, words
 from quire.llm.components import components
 
 BUCKETS, BANDS, MANTISSA = 64, 16, 10
@@ -121,7 +121,7 @@ def signer(k: int):
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, a fingerprint of the set in two halves, and its registers."""
-    return docs.select("doc_id", "text").mapInArrow(signer(k), "doc_id long, n_shingles long, f1 long, f2 long, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(signer(k)), "doc_id long, n_shingles long, f1 long, f2 long, regs binary")
 
 
 def regs_of(column: pa.Array) -> np.ndarray:
@@ -240,7 +240,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     members = pairs.join(groups, "center").select("center", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int").alias("g"), "doc")
     centers = members.select("center", "g").distinct().withColumn("doc", F.col("center"))
     rows = members.withColumn("is_center", F.lit(False)).unionByName(centers.withColumn("is_center", F.lit(True))).join(texts, "doc")
-    return rows.groupBy("center", "g").applyInArrow(verifier(k, percent), "a long, b long")
+    return rows.groupBy("center", "g").applyInArrow(lean_group(verifier(k, percent)), "a long, b long")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     key = ["n_shingles", "f1", "f2"]
     classes = stored(some.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs")), "classes")
     nodes = classes.groupBy("doc").agg(F.first("regs").alias("regs"), F.max("n_shingles").alias("n_shingles"))  # one, but where rows of a doc_id differ
-    bands = stored(classes.select("doc", "regs").mapInArrow(band_keys, "key long, band int, doc long"), "bands")
+    bands = stored(classes.select("doc", "regs").mapInArrow(lean(band_keys), "key long, band int, doc long"), "bands")
     centers = bands.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where(F.col("center") != F.col("last")).drop("last")
     least = percent / 100 - SLACK
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     regs = nodes.select("doc", "regs").join(shared.select("doc").distinct(), "doc", "left_semi")
     stars = shared.where(F.col("center") != F.col("doc")).select("center", "doc").distinct()
     told = stars.join(regs.withColumnRenamed("regs", "regs2"), "doc").join(regs.select(F.col("doc").alias("center"), "regs"), "center").select("center", "doc", "regs", "regs2")
-    stars = stored(told.mapInArrow(hopeful(least), "center long, doc long"), "stars")
+    stars = stored(told.mapInArrow(lean(hopeful(least)), "center long, doc long"), "stars")
     involved = shared.select(F.col("doc").alias("doc_id")).distinct()
     texts = stored(docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"]), "texts")
 
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     cut = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("m") / CELL_SHINGLES)).cast("int")
     left = here.join(mixed.select("key", cut.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(regs, "doc").join(texts, "doc")
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumns({"ci": F.least("block", "other"), "cj": F.greatest("block", "other")})
-    links = stored(cells.groupBy("key", "ci", "cj").applyInArrow(cell(k, percent, least), "a long, b long"), "links")
+    links = stored(cells.groupBy("key", "ci", "cj").applyInArrow(lean_group(cell(k, percent, least)), "a long, b long"), "links")
     if links.take(1):
         labels = relabelled(labels, links)
 

@@ -31,7 +31,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import read
+from quire.llm.common import lean, read
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -346,13 +346,13 @@ def _model(path: str | None) -> bytes:
 def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
     """docs with the ids of each text. path: of the .model file on the driver."""
     docs = docs.drop("ids")
-    return docs.mapInArrow(encoder(_model(path), column), f"{_fields(docs)}, {ENCODED}")
+    return docs.mapInArrow(lean(encoder(_model(path), column)), f"{_fields(docs)}, {ENCODED}")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The rows with the text that their ids stand for."""
     encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(decoder(_model(path)), f"{_fields(encoded)}, decoded string")
+    return encoded.mapInArrow(lean(decoder(_model(path))), f"{_fields(encoded)}, decoded string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import arrayfiles
-from quire.llm.common import Rolling, mix, partitions, read, shared_dir, slices, stored, utf8
+from quire.llm.common import Rolling, lean, lean_group, mix, partitions, read, shared_dir, slices, stored, utf8
 
 LENGTH, GRAM = 100, 36
 #: A difference cover: every residue of 31 is the difference of two of these.
@@ -489,17 +489,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = docs.select(doc.alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
     taken = lambda rows: {r[0] for r in rows.collect()}  # noqa: E731  one short row a bucket
 
-    grams = docs.select("text").mapInArrow(gram_sender(buckets, length), "bucket long, grams binary")
-    have = taken(grams.groupBy("bucket").applyInArrow(gram_bucket(folder), "bucket long"))
-    places = keyed.mapInArrow(place_sender(folder, have, buckets, length), "bucket long, places binary")
-    told = stored(places.groupBy("bucket").applyInArrow(place_bucket(buckets, length), "bucket long, records binary, kind int"), "places")
-    have = taken(told.where("kind = 1").groupBy("bucket").applyInArrow(key_sorted(folder, "open", OPEN), "bucket long"))
-    stretches = keyed.select("key", "text").mapInArrow(stretch_sender(folder, have, buckets, length), "bucket long, places binary, text binary")
-    more = stretches.groupBy("bucket").applyInArrow(stretch_bucket(buckets, length), "bucket long, records binary")
+    grams = docs.select("text").mapInArrow(lean(gram_sender(buckets, length)), "bucket long, grams binary")
+    have = taken(grams.groupBy("bucket").applyInArrow(lean_group(gram_bucket(folder)), "bucket long"))
+    places = keyed.mapInArrow(lean(place_sender(folder, have, buckets, length)), "bucket long, places binary")
+    told = stored(places.groupBy("bucket").applyInArrow(lean_group(place_bucket(buckets, length)), "bucket long, records binary, kind int"), "places")
+    have = taken(told.where("kind = 1").groupBy("bucket").applyInArrow(lean_group(key_sorted(folder, "open", OPEN)), "bucket long"))
+    stretches = keyed.select("key", "text").mapInArrow(lean(stretch_sender(folder, have, buckets, length)), "bucket long, places binary, text binary")
+    more = stretches.groupBy("bucket").applyInArrow(lean_group(stretch_bucket(buckets, length)), "bucket long, records binary")
     cuts = told.where("kind = 0").select("bucket", "records").unionByName(more)
-    have = taken(cuts.groupBy("bucket").applyInArrow(cut_bucket(folder), "bucket long"))
+    have = taken(cuts.groupBy("bucket").applyInArrow(lean_group(cut_bucket(folder)), "bucket long"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).mapInArrow(cut_finder(folder, have, buckets), f"{fields}, {FOUND}")
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).mapInArrow(lean(cut_finder(folder, have, buckets)), f"{fields}, {FOUND}")
 
 
 def kept_parts(text: bytes, spans: list[dict]) -> list[bytes]:
@@ -527,7 +527,7 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(lean(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(text: bytes, spans: list[dict]) -> str:
@@ -553,7 +553,7 @@ def removed_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with their texts shortened by the repeats; n_chars, where there is such a column, is counted anew."""
     found = find_repeats(docs, length)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = found.mapInArrow(remover, fields)
+    out = found.mapInArrow(lean(remover), fields)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

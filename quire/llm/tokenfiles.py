@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, read, stored
+from quire.llm.common import lean, partitions, read, stored
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 FILE_IDS = 1 << 20
@@ -242,7 +242,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, file_ids: in
     with open(path or public_tokenizers.path(TOKENIZER), "rb") as f:
         data = f.read()
     order = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return stored(order.mapInArrow(file_writer(data, end, file_ids), "part long, seq long, n_docs long, n_ids long, image binary"), "tokens")
+    return stored(order.mapInArrow(lean(file_writer(data, end, file_ids)), "part long, seq long, n_docs long, n_ids long, image binary"), "tokens")
 
 
 def export(files: DataFrame, folder: str) -> None:
@@ -268,7 +268,7 @@ def read_back(files: DataFrame) -> DataFrame:
     # One short row for each file of a million ids.
     bases = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     placed = files.select("part", "seq", "image").join(F.broadcast(bases), ["part", "seq"])
-    return placed.select("image", "base").mapInArrow(file_reader, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return placed.select("image", "base").mapInArrow(lean(file_reader), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

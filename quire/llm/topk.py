@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import read
+from quire.llm.common import lean_group, read
 
 LEVELS = (1, 4, 16)
 CANDIDATES_A_CELL, QUERIES_A_CELL = 4096, 2048
@@ -123,7 +123,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     x = candidates.select("vec_id", "vector", F.lit(False).alias("_query"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("_chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
     q = queries.dropDuplicates(["vec_id", "vector"]).select("vec_id", "vector", F.lit(True).alias("_query"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("_block"))
     cells = x.unionByName(q).withColumn("_dims", F.size("vector"))
-    found = cells.groupBy("_chunk", "_block", "_dims").applyInArrow(cell_search(k), "query_id long, vec_id long, score long")
+    found = cells.groupBy("_chunk", "_block", "_dims").applyInArrow(lean_group(cell_search(k)), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

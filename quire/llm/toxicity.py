@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_rest, read
+from quire.llm.common import crc_rest, lean, read
 
 SAMPLE_ROWS = 16_000
 MAX_FEATURES = 2_048
@@ -130,7 +130,7 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def informative(sample: DataFrame, docs: int, toxic: int, most: int) -> list[str]:
     """The features whose document counts tell most about the label."""
-    counts = sample.mapInArrow(count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= MIN_DOCS)
+    counts = sample.mapInArrow(lean(count_features), "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= MIN_DOCS)
     n, t = F.col("n").cast("double"), F.col("t").cast("double")
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     rate = toxic / docs
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ma
         return NoisyOr(-60.0 if not toxic else 60.0, {})
     names = informative(sample, n, toxic, max_features)
     # Bounded by the sample's rows: the hits of the chosen features alone come to the driver.
-    rows = sample.mapInArrow(bags(names), "toxic long, sentences long, pairs binary").toArrow()
+    rows = sample.mapInArrow(lean(bags(names)), "toxic long, sentences long, pairs binary").toArrow()
     pairs = [np.frombuffer(p, np.int32).reshape(-1, 2) for p in rows["pairs"].to_pylist()]
     bias, weights = fit_noisy_or(rows["toxic"].to_numpy(), rows["sentences"].to_numpy(), pairs, len(names))
     return NoisyOr(bias, {f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3})
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """docs with each text's score and its offending sentences (spans in code points)."""
     docs = docs.drop("toxicity", "offending")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scorer(model), f"{fields}, {SCORED}")
+    return docs.mapInArrow(lean(scorer(model)), f"{fields}, {SCORED}")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,11 @@ class PieceModel:
                 node[""] = i
         return root
 
+    @cached_property
+    def direct(self) -> dict[str, int]:
+        """Pieces that stand for themselves: the only way to the end of such a segment is the piece."""
+        return {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(list(p)) == [p]} if self.kind == BPE else {}
+
     # The search
 
     def step(self, window: str, n: int, back: list[int], found: list[int], total: list[float], before: int) -> None:
@@ -236,15 +241,46 @@ class PieceModel:
 
     def short(self, window: str) -> list[tuple[str, int]]:
         """The same for a segment that is short enough to keep whole."""
-        back, found, total = [0], [-1], [0.0]
+        back, found = [0], [-1]
+        if self.kind != BPE:
+            total = [0.0]
+            for n in range(1, len(window) + 1):
+                self.step(window, n, back, found, total, -1)
+            return self.path(window, len(window), back, found)
+        root, pairs, apart = self.endings, self._pairs, self.apart
         for n in range(1, len(window) + 1):
-            self.step(window, n, back, found, total, -1)
+            node, at = root, n
+            ids, places = [], []
+            while at:
+                at -= 1
+                node = node.get(window[at])
+                if node is None:
+                    break
+                if "" in node:
+                    ids.append(node[""])
+                    places.append(at)
+            k, i = n - 1, -1
+            while ids:
+                at, own = places.pop(), ids.pop()
+                left = found[at]
+                if left >= 0:
+                    fits = pairs.get(left << 32 | own)
+                    if fits is None:
+                        fits = apart(left, own)
+                    if not fits:
+                        continue
+                k, i = at, own
+                break
+            back.append(n - k)
+            found.append(i)
         return self.path(window, len(window), back, found)
 
     def bytes_of(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
     def search(self, segment: str) -> list[int]:
+        if segment in self.direct:
+            return [self.direct[segment]]
         out: list[int] = []
         for piece, i in self.short(segment) if len(segment) <= LONG_SEGMENT else self.ways(iter(segment)):
             if i >= 0:
@@ -260,7 +296,19 @@ class PieceModel:
         if inner or not self.byte_ids:
             return lambda text: [text] if text else []
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.within)
-        parts = [rf"{SPACE}*[^{SPACE}{lone}]+", rf"{SPACE}+"] + ([f"[{lone}]"] if lone else [])
+        # Signs that no piece holds after anything but a space or another such sign: a segment ends before them.
+        signs, before = {c for c in "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~\\" if c in self.within}, None
+        while signs != before:
+            before = set(signs)
+            for a, b in self.spans:
+                if b in signs and a not in signs and a != SPACE:
+                    if a.isascii():
+                        signs.discard(b)
+                    else:
+                        signs.add(a)
+        signs = "".join(map(re.escape, sorted(signs)))
+        rest = f"[^{SPACE}{lone}{signs}]"
+        parts = ([f"{SPACE}*[{signs}]+{rest}*"] if signs else []) + [f"{SPACE}*{rest}+", f"{SPACE}+"] + ([f"[{lone}]"] if lone else [])
         return re.compile("|".join(parts)).findall
 
     def escaped(self, text: str) -> str:

@@ -202,7 +202,7 @@ class PieceModel:
             return
         best, take, which = float("-inf"), 1, -1
         for k, i in options:
-            if (s := total[n - k] + self.scores[i]) > best:
+            if (s := total[n - k] + self.scores[i]) >= best:  # of equal ways the one with the longer last piece
                 best, take, which = s, k, i
         if (not options or options[0][0] > 1) and (s := total[n - 1] + self.unknown_score) > best:
             best, take, which = s, 1, -1

@@ -251,25 +251,30 @@ def export(files: DataFrame, folder: str) -> None:
         (Path(folder) / f"{r[0]:06d}-{r[1]:06d}.qtf").write_bytes(r[2])
 
 
-def file_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for image, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            docs, counts, ids = read_image(image.as_py())
-            ends = np.cumsum(counts)
-            raw = memoryview(ids.astype("<u4").tobytes())
-            crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(base + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-
-def read_back(files: DataFrame) -> DataFrame:
-    """Per document: doc_id, start (ids before it in all files), n_tokens, ids_crc32 and the ids, decoded from the files."""
+def file_reader(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                docs, counts, ids = read_image(image.as_py())
+                ends = np.cumsum(counts)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                cols = [pa.array(docs, pa.int64()), pa.array(base + ends - counts), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.record_batch(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+
+    return run
+
+
+def read_back(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Per document: doc_id, start (ids before it in all files), n_tokens, ids_crc32 and, if wanted, the ids, decoded from the files."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     # One short row for each file of a million ids.
     bases = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     placed = files.select("part", "seq", "image").join(F.broadcast(bases), ["part", "seq"])
-    return placed.select("image", "base").mapInArrow(lean(file_reader), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return placed.select("image", "base").mapInArrow(lean(file_reader(with_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(write(read(spark, sf_dir, "documents"))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_back(write(read(spark, sf_dir, "documents")), with_ids=False)

@@ -85,7 +85,7 @@ FUSE = LEX.replace("WITH ", f"WITH {V}, {NEAR.format(q='q.id = 0', least='{least
 
 
 def fuse_sql(least: float, wd: float, wl: float, limit: str = "", only: str = "") -> str:
-    both = FUSE.replace("{least}", str(least)).replace("FROM a WHERE ", f"FROM a WHERE {only} AND " if only else "FROM a WHERE ")
+    both = FUSE.replace("{least}", str(least)).replace("q.id = 0", f"q.id = 0 AND {only.replace('id IN (SELECT vec_id FROM embeddings)', 'v.id IN (SELECT doc_id FROM documents)')}" if only else "q.id = 0").replace("FROM a WHERE ", f"FROM a WHERE {only} AND " if only else "FROM a WHERE ")
     return both + f""", c AS (SELECT id, rank AS dr, NULL::INTEGER AS lr, {wd} / (60 + rank) AS p FROM n WHERE rank <= 60 UNION ALL SELECT id, NULL, rank, {wl} / (60 + rank) FROM l WHERE rank <= 60)
 SELECT id, round(sum(p), 9) AS score, max(dr) AS dense_rank, max(lr) AS lexical_rank FROM c GROUP BY id {limit}"""
 

@@ -74,6 +74,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns that clash with `names` put under other names, and a function that brings back docs' columns as they were."""
+    lower = {n.lower() for n in names}
+    hidden = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in lower}
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns))
+
+    return docs.withColumnsRenamed(hidden), back
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

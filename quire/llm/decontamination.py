@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import PUNCTUATION, lean, read, shingle, slices, utf8, words
+from quire.llm.common import PUNCTUATION, aside, lean, read, shingle, slices, utf8, words
 
 WINDOW, SHINGLE = 13, 5
 BLOCK_WORDS = 1_000_000
@@ -227,7 +227,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no more than a trace of the benchmark."""
-    return find_contamination(docs, read(spark, sf_dir, "benchmark")).where(~contaminated()).select(*docs.columns)
+    plain, back = aside(docs, ["n_words", "n_hit", "items", "hit_spans"])
+    return back(find_contamination(plain, read(spark, sf_dir, "benchmark")).where(~contaminated()))
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -253,7 +253,7 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text). Linked: 100 * common >= percent * union of k-word shingles."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, k), "signatures")
     some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     key = ["n_shingles", "f1", "f2"]

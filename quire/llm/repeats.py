@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import arrayfiles
-from quire.llm.common import Rolling, lean, lean_group, mix, partitions, read, shared_dir, slices, stored, utf8
+from quire.llm.common import Rolling, aside, lean, lean_group, mix, partitions, read, shared_dir, slices, stored, utf8
 
 LENGTH, GRAM = 100, 36
 #: A difference cover: every residue of 31 is the difference of two of these.
@@ -526,7 +526,7 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_repeats(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return found.mapInArrow(lean(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -551,9 +551,10 @@ def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with their texts shortened by the repeats; n_chars, where there is such a column, is counted anew."""
-    found = find_repeats(docs, length)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = found.mapInArrow(lean(remover), fields)
+    plain, back = aside(docs, ["cut_spans", "_key"])
+    found = find_repeats(plain, length)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    out = back(found.mapInArrow(lean(remover), fields))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -241,7 +241,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, file_ids: in
     """Encodes doc_id, text in ascending doc_id order; gives the stored table of files: part, seq, n_docs, n_ids, image. path: of the tokenizer's file on the driver."""
     with open(path or public_tokenizers.path(TOKENIZER), "rb") as f:
         data = f.read()
-    order = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     return stored(order.mapInArrow(lean(file_writer(data, end, file_ids)), "part long, seq long, n_docs long, n_ids long, image binary"), "tokens")
 
 

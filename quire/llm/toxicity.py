@@ -4,8 +4,8 @@ A document is a bag of sentences. Each sentence has a logit, a bias plus the wei
 document's score is the noisy-or of its sentences, 1 - prod(1 - p). The weights are fitted so that these document scores
 explain the documents' labels, and then single out the sentences to blame.
 
-A word's features are the word itself and its beginnings and endings of 3 to 6 letters, so that unseen forms of a known
-family still count. Features come from the training sample's documents: those whose counts tell most (by the
+A word's features are the word itself, its beginnings of 3 to 9 letters and its endings of 3 to 6, so that unseen forms
+of a known family still count. Features come from the training sample's documents: those whose counts tell most (by the
 log-likelihood ratio) about the label, at most ``max_features``; the sample is at most ``sample_rows`` labelled rows,
 picked by a hash of their id.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_rest, lean, read
+from quire.llm.common import aside, crc_rest, lean, read
 
 SAMPLE_ROWS = 16_000
 MAX_FEATURES = 2_048
@@ -43,10 +43,8 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def word_features(word: str) -> list[str]:
-    out = [word]
-    for n in range(3, min(7, len(word))):
-        out += [word[:n] + "*", "*" + word[-n:]]
-    return out
+    n = len(word)
+    return [word, *(word[:k] + "*" for k in range(3, min(10, n))), *("*" + word[-k:] for k in range(3, min(7, n)))]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -229,4 +227,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents below the threshold; the model is trained on the documents as they come in."""
     model = train(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    plain, back = aside(docs, ["toxicity", "offending"])
+    return back(score(plain, model).where(F.col("toxicity") < THRESHOLD))

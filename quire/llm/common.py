@@ -29,10 +29,21 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What modules remember in a worker from one task to the next; another module's task clears it.
+REMEMBERED: dict[str, dict] = {}
+
+
+def forget_others(module: str) -> None:
+    for name, memory in REMEMBERED.items():
+        if name != module:
+            memory.clear()
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function for mapInArrow that gives its memory back at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(f.__module__)
         try:
             yield from f(batches)
         finally:
@@ -45,6 +56,7 @@ def lean_group(f: Callable[[pa.Table], pa.Table]):
     """A function for applyInArrow that gives its memory back after each group."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget_others(f.__module__)
         try:
             return f(table)
         finally:

@@ -31,12 +31,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import lean, read
+from quire.llm.common import REMEMBERED, lean, read
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments and neighbouring pairs that a worker remembers; it forgets all when there are more.
-KEPT_SEGMENTS, KEPT_PAIRS = 500_000, 1_000_000
+KEPT_SEGMENTS, KEPT_PAIRS = 500_000, 600_000
 #: A segment that is longer is not remembered.
 LONG_SEGMENT = 64
 UNIGRAM, BPE = 1, 2
@@ -346,7 +346,7 @@ class Encoder:
 
 
 ENCODED = "ids array<int>"
-_ready: dict[int, Encoder] = {}
+_ready: dict[int, Encoder] = REMEMBERED.setdefault(__name__, {})
 
 
 def ready(data: bytes) -> Encoder:

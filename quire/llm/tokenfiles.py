@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import lean, partitions, read, stored
+from quire.llm.common import REMEMBERED, lean, partitions, read, stored
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 FILE_IDS = 1 << 20
@@ -111,7 +111,7 @@ _WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 1_200_000
 WORDS_AT_ONCE = 4_096
-_ready: dict[int, Encoder] = {}
+_ready: dict[int, Encoder] = REMEMBERED.setdefault(__name__, {})
 
 
 class Numbered(dict):

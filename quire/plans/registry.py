@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quire.plans import catalog, facets, retrieval, structure, tally, text
+from quire.plans import catalog, facets, retrieval, sections, structure, tally, text
 
 FLAGSHIP = "survey_windowed"
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (tally, facets, retrieval, text, structure, catalog):
+for _module in (tally, facets, retrieval, text, structure, sections, catalog):
     QUERIES |= _module.query.queries
     SQL |= _module.query.sql

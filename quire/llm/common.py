@@ -131,6 +131,14 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `size` bytes of a text column: what is made of a piece is sent on before the next."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
+        for i, j in slices(offsets, size):
+            yield batch.slice(i, j - i)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     x = x ^ (x >> np.uint64(31))

@@ -31,12 +31,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import REMEMBERED, lean, read
+from quire.llm.common import REMEMBERED, lean, read, sliced
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments and neighbouring pairs that a worker remembers; it forgets all when there are more.
-KEPT_SEGMENTS, KEPT_PAIRS = 500_000, 600_000
+KEPT_SEGMENTS, KEPT_PAIRS = 350_000, 400_000
 #: A segment that is longer is not remembered.
 LONG_SEGMENT = 64
 UNIGRAM, BPE = 1, 2
@@ -358,14 +358,21 @@ def ready(data: bytes) -> Encoder:
     return _ready[key]
 
 
-def encoder(data: bytes, column: str):
+def id_lists(got: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
+
+
+def encoder(data: bytes, column: str, with_decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = ready(data)
-        for batch in batches:
+        for batch in sliced(batches, column):
             got = [e.encode(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(column))]
-            ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, "ids"])
+            cols, names = [*batch.columns, id_lists(got)], [*batch.schema.names, "ids"]
+            if with_decoded:
+                cols.append(pa.array([e.decode(np.frombuffer(g, np.int32).tolist()) for g in got], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -374,9 +381,7 @@ def decoder(data: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = ready(data)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            flat, ends = ids.flatten().to_numpy(), [0, *np.cumsum(np.nan_to_num(np.array([len(x) if x.is_valid else 0 for x in ids])))]
-            texts = [e.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+            texts = [e.decode(x.as_py() or []) for x in batch.column(batch.schema.get_field_index("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
@@ -391,10 +396,10 @@ def _model(path: str | None) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str | None = None, column: str = "text") -> DataFrame:
-    """docs with the ids of each text. path: of the .model file on the driver."""
-    docs = docs.drop("ids")
-    return docs.mapInArrow(lean(encoder(_model(path), column)), f"{_fields(docs)}, {ENCODED}")
+def encode(docs: DataFrame, path: str | None = None, column: str = "text", with_decoded: bool = False) -> DataFrame:
+    """docs with the ids of each text and, if wanted, what they decode to. path: of the .model file on the driver."""
+    docs = docs.drop("ids", *["decoded"] * with_decoded)
+    return docs.mapInArrow(lean(encoder(_model(path), column, with_decoded)), f"{_fields(docs)}, {ENCODED}" + ", decoded string" * with_decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -409,7 +414,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round_trip(docs: DataFrame) -> DataFrame:
-    got = decode(encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    got = encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), with_decoded=True)
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

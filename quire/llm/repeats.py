@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import arrayfiles
-from quire.llm.common import Rolling, aside, lean, lean_group, mix, partitions, read, shared_dir, slices, stored, utf8
+from quire.llm.common import Rolling, aside, lean, lean_group, mix, partitions, read, shared_dir, sliced, slices, stored, utf8
 
 LENGTH, GRAM = 100, 36
 #: A difference cover: every residue of 31 is the difference of two of these.
@@ -462,8 +462,8 @@ def cut_bucket(folder: str):
 FOUND = "cut_spans array<struct<start:long,end:long>>"
 
 
-def cut_finder(folder: str, have: set[int], buckets: int):
-    """Pass 4: each row's cuts."""
+def cut_finder(folder: str, have: set[int], buckets: int, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None):
+    """Pass 4: each row's cuts, and what is made of them in the same step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,11 +475,14 @@ def cut_finder(folder: str, have: set[int], buckets: int):
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*names, "cut_spans"])
 
-    return run
+    return run if then is None else lambda batches: then(run(batches))
+
 
+def find_repeats(docs: DataFrame, length: int = LENGTH, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """docs (doc_id, text and others) with cut_spans: the maximal runs of bytes that lie in a string of `length` bytes that also starts earlier.
 
-def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text and others) with cut_spans: the maximal runs of bytes that lie in a string of `length` bytes that also starts earlier."""
+    then, schema: a function of such batches for the last step, and the columns that it gives.
+    """
     if not 68 <= length <= 250:
         raise ValueError("lengths from 68 to 250 bytes are supported")
     docs = docs.drop("cut_spans", "_key")
@@ -499,7 +502,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cuts = told.where("kind = 0").select("bucket", "records").unionByName(more)
     have = taken(cuts.groupBy("bucket").applyInArrow(lean_group(cut_bucket(folder)), "bucket long"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).mapInArrow(lean(cut_finder(folder, have, buckets)), f"{fields}, {FOUND}")
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).mapInArrow(lean(cut_finder(folder, have, buckets, then)), schema or f"{fields}, {FOUND}")
 
 
 def kept_parts(text: bytes, spans: list[dict]) -> list[bytes]:
@@ -511,7 +514,7 @@ def kept_parts(text: bytes, spans: list[dict]) -> list[bytes]:
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         size, removed, runs, sha = [], [], [], []
         for text, spans in zip(batch.column(1), batch.column(2), strict=True):
             text, spans = (text.as_py() or "").encode(), spans.as_py()
@@ -526,8 +529,8 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op10_repeated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_repeats(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return found.mapInArrow(lean(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return find_repeats(docs, LENGTH, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(text: bytes, spans: list[dict]) -> str:
@@ -542,7 +545,7 @@ def whole_characters(text: bytes, spans: list[dict]) -> str:
 
 
 def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         at, to = batch.schema.get_field_index("text"), batch.schema.get_field_index("cut_spans")
         texts = [t.as_py() if not s.as_py() else whole_characters(t.as_py().encode(), s.as_py()) for t, s in zip(batch.column(at), batch.column(to), strict=True)]
         cols = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns) if k != to]
@@ -552,9 +555,8 @@ def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with their texts shortened by the repeats; n_chars, where there is such a column, is counted anew."""
     plain, back = aside(docs, ["cut_spans", "_key"])
-    found = find_repeats(plain, length)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    out = back(found.mapInArrow(lean(remover), fields))
+    out = back(find_repeats(plain, length, remover, fields))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

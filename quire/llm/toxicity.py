@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import aside, crc_rest, lean, read
+from quire.llm.common import aside, crc_rest, lean, read, sliced
 
 SAMPLE_ROWS = 16_000
 MAX_FEATURES = 2_048
@@ -37,7 +37,7 @@ LEAST_GAIN = 8.0
 THRESHOLD = 0.3
 SPLIT, HELD_OUT = 4, 2
 #: Words whose weights a worker keeps in memory.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 
@@ -202,7 +202,7 @@ SCORED = "toxicity double, offending array<struct<start:int,end:int,probability:
 
 def scorer(model: NoisyOr):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             at = batch.schema.get_field_index("text")
             got = [model.score(t.as_py() or "") for t in batch.column(at)]
             spans = pa.array([[{"start": a, "end": b, "probability": p} for a, b, p in s] for _, s in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))

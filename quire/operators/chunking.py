@@ -97,8 +97,8 @@ def cuts(text: str) -> Iterator[list[int]]:
 
 def fitted(stream: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """The span in pieces that fit."""
-    while start < end and not fits(stream[start:end]):
-        text = stream[start:end]
+    while start < end and (end - start > CONTENT_CHARS or not fits(stream[start:end])):
+        text = stream[start : min(end, start + CONTENT_CHARS + 1)]  # no piece is longer
         for places in cuts(text):
             low, high, best = 0, len(places) - 1, 0
             while low <= high:

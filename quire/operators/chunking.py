@@ -64,7 +64,7 @@ def streams(pages: DataFrame) -> DataFrame:
 
 def tokens(text: str) -> int:
     words = len(text.split())
-    return max(math.ceil(len(text) / params.CHARS_PER_TOKEN), math.ceil(words * 1.4)) + math.ceil(len(re.findall(r"[0-9]+", text)) * 0.5) + math.ceil(sum(ord(c) > 127 for c in text) * 0.4)
+    return max(math.ceil(len(text) / params.CHARS_PER_TOKEN), math.ceil(words * 1.4)) + math.ceil(len(re.findall(r"[0-9]+", text)) * 0.5) + math.ceil((len(text) - len(text.encode("ascii", "ignore"))) * 0.4)
 
 
 CONTENT_CHARS = max(240, params.CHUNK_MAX - params.CHUNK_OVERLAP)

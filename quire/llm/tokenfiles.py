@@ -130,7 +130,7 @@ class Encoder:
     """The tokenizers library with a memory: a word's ids depend on the word alone, so each is asked for once.
 
     That holds for tokenizers that split by the pattern above and change nothing before; with others, and for texts with
-    characters beyond the pattern's classes here, whole texts go to the library.
+    characters beyond the pattern's classes here or with the content of an added token, whole texts go to the library.
     """
 
     def __init__(self, data: bytes):
@@ -138,8 +138,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
-        self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
         spec = json.loads(data)
+        self.added = [a["content"] for a in spec.get("added_tokens") or []]
         split = spec.get("pre_tokenizer") or {}
         self.by_word = not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
         self._clear()
@@ -178,7 +178,7 @@ class Encoder:
         """The ids of each text."""
         if len(self.number) > KEPT_WORDS:
             self._clear()
-        plain = [self.by_word and not _PLAIN.search(t) for t in texts]
+        plain = [self.by_word and not _PLAIN.search(t) and not any(a in t for a in self.added) for t in texts]
         ids, n = self._words([t for t, p in zip(texts, plain, strict=True) if p])
         own = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else ())
         rest = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))

@@ -293,6 +293,18 @@ def test_token_files(spark, tables, documents, tmp_path):
     assert tokenfiles.op6_token_files(spark, tables(documents=documents([]))).count() == 0
 
 
+def test_token_files_with_added_tokens_in_texts(spark, tables, documents):
+    t = Tokenizer.from_file(public_tokenizers.path(tokenfiles.TOKENIZER))
+    texts = ["one <|endoftext|> two", "plain words", "<|endoftext|>", "a<|endoftext|><|endoftext|>b 日本", "<|endoftext", None, "after"]
+    got = sorted(tokenfiles.op6_token_files(spark, tables(documents=documents(list(enumerate(texts))))).collect(), key=lambda r: r["start"])
+    at = 0
+    for r, (d, text) in zip(got, enumerate(texts), strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
+
+
 # 7
 
 

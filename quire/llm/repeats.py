@@ -545,15 +545,17 @@ def whole_characters(text: bytes, spans: list[dict]) -> str:
 
 
 def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with what is left of their texts; a text that the cuts empty goes, one that came null or empty stays."""
     for batch in sliced(batches, "text"):
         at, to = batch.schema.get_field_index("text"), batch.schema.get_field_index("cut_spans")
         texts = [t.as_py() if not s.as_py() else whole_characters(t.as_py().encode(), s.as_py()) for t, s in zip(batch.column(at), batch.column(to), strict=True)]
+        left = pa.array([bool(t) or not s.as_py() for t, s in zip(texts, batch.column(to), strict=True)], pa.bool_())
         cols = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns) if k != to]
-        yield pa.RecordBatch.from_arrays(cols, [n for n in batch.schema.names if n != "cut_spans"])
+        yield pa.RecordBatch.from_arrays(cols, [n for n in batch.schema.names if n != "cut_spans"]).filter(left)
 
 
 def removed_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with their texts shortened by the repeats; n_chars, where there is such a column, is counted anew."""
+    """docs with their texts shortened by the repeats, without those of which nothing is left; n_chars, where there is such a column, is counted anew."""
     plain, back = aside(docs, ["cut_spans", "_key"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     out = back(find_repeats(plain, length, remover, fields))
@@ -561,8 +563,8 @@ def removed_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without what also starts earlier; a document of which nothing is left goes."""
-    return removed_text(docs).where((F.length("text") > 0)).select(*docs.columns)
+    """Pipeline stage: texts without what also starts earlier; a document of which the cuts leave nothing goes."""
+    return removed_text(docs).select(*docs.columns)
 
 
 OP10_SQL = """

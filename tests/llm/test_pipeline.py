@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quire.llm import toxicity
 from quire.llm.common import read
+from quire.llm.repeats import remove_repeats
 from tests.llm.test_operators import contaminated, corpus, near_groups
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,13 @@ def test_pipeline_with_clashing_columns(spark, tables, documents):
 def test_pipeline_of_nothing(spark, tables, documents):
     folder = tables(documents=documents([]), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_texts_that_came_null_or_empty_survive(spark, tables, documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, None), (3, ""), (4, text), (5, "short")]
+    got = remove_repeats(spark, documents(rows), "")
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: text, 2: None, 3: "", 5: "short"}
+    folder = tables(documents=documents(rows), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, folder).collect()} == {1: sp.encode(text), 2: [], 3: [], 5: sp.encode("short")}

@@ -6,10 +6,10 @@ probe order of their own. Four registers make a band key, 16 bands a document: t
 band with probability 1e-5.
 
 Equal sets are one class from the start, so exact copies, however many, cost an aggregate. Classes that share a band key
-are candidates, first each with the smallest of its key; registers, corrected for chance matches, drop the hopeless
-pairs, and the full sets decide. Where a key still holds several components, its documents' texts meet in cells of two
-blocks of bounded size, and every pair across components is tried on its full sets: no link between components is lost
-to an order, a cap or a sample. A cell gives the links that join its components, at most one less than its documents.
+are candidates, first each with the smallest of its key where registers, corrected for chance matches, give it hope, and
+the full sets decide. Where a key still holds several components, its documents' texts meet in cells of two
+blocks of bounded size, and every pair across components is tried on its full sets, whatever its registers say: no link
+between components is lost to an order, a cap, an estimate or a sample. A cell gives the links that join its components, at most one less than its documents.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links; with fewer words than a
 shingle takes, the whole sequence is the one shingle; rows with the same doc_id are one document, linked with all that
@@ -34,7 +34,7 @@ BUCKETS, BANDS, MANTISSA = 64, 16, 10
 HASH_BITS, REST_BITS = 48, 42
 #: Of a set of more shingles, distinct ones are counted by all 64 bits.
 MANY = 1 << 17
-#: Registers may say this much less than the threshold: over four standard deviations of 64 registers.
+#: Of the pairs with the smallest of a key, those whose registers say at least this much less than the threshold are tried first; cells try the others.
 SLACK = 0.2
 #: The chance that registers of different shingles match: the same zeros (1/3) and the same ten bits.
 CHANCE = 1 / 3 / (1 << MANTISSA)
@@ -164,10 +164,25 @@ def local_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(key, np.arange(len(offsets), dtype=np.uint64) << np.uint64(32)), len(names)
 
 
-def cell(k: int, percent: int, least: float):
-    """Links between components in one cell of a key: every hopeful pair is tried on its full sets, until its components are one.
+def rare_first(flat: np.ndarray, begin: np.ndarray, numbers: int) -> np.ndarray:
+    """The rows' numbers given anew by rising count over the rows, each row's in ascending order."""
+    rank = np.empty(numbers, np.int64)
+    rank[np.argsort(np.bincount(flat, minlength=numbers), kind="stable")] = np.arange(numbers)
+    owner = np.repeat(np.arange(len(begin) - 1, dtype=np.uint64), np.diff(begin))
+    return (np.sort(owner << np.uint64(32) | rank[flat].astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
-    A pair that shares an earlier band is left to that band's cell.
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of each, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def cell(k: int, percent: int):
+    """Links between components in one cell of a key: every pair that can be similar enough is tried on its full sets, until its components are one.
+
+    A similar pair has at least `percent` of either set in common, so it shares a shingle among each set's rarest, which
+    are those beyond that share and one more. A pair that shares an earlier band is left to that band's cell.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -177,10 +192,16 @@ def cell(k: int, percent: int, least: float):
         regs = regs_of(table["regs"])
         keys = regs.view(np.uint64).reshape(len(regs), -1)[:, : table["band"][0].as_py()]
         flat, begin, numbers = local_sets(table["text"].combine_chunks(), k)
+        flat = rare_first(flat, begin, numbers)
         size = np.diff(begin)
         first, second = table["ci"][0].as_py(), table["cj"][0].as_py()
         others = np.flatnonzero(block == second)
-        mark = np.zeros(numbers, bool)
+        rare = np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+        names = flat[ranges(begin[others], rare[others])]
+        order = np.argsort(names, kind="stable")
+        holders = np.repeat(others, rare[others])[order]
+        held = np.concatenate([[0], np.cumsum(np.bincount(names, minlength=numbers))])
+        mark, meets = np.zeros(numbers, bool), np.zeros(len(size), bool)
         a, b = [], []
         for x in np.flatnonzero(block == first).tolist():
             y = others[others > x] if first == second else others
@@ -188,15 +209,18 @@ def cell(k: int, percent: int, least: float):
             y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
             if not len(y):
                 continue
-            y = y[((regs[y] == regs[x]).mean(axis=1) - CHANCE) / (1 - CHANCE) >= least]
+            own = flat[begin[x] : begin[x + 1]]
+            few = own[: rare[x]]
+            met = holders[ranges(held[few], held[few + 1] - held[few])]
+            meets[met] = True
+            y = y[meets[y]]
+            meets[met] = False
             y = y[~(keys[y] == keys[x]).any(axis=1)]
             if not len(y):
                 continue
-            own = flat[begin[x] : begin[x + 1]]
             mark[own] = True
+            sums = np.concatenate([[0], np.cumsum(mark[flat[ranges(begin[y], size[y])]])])
             ends = np.cumsum(size[y])
-            at = np.repeat(begin[y] - (ends - size[y]), size[y]) + np.arange(ends[-1])
-            sums = np.concatenate([[0], np.cumsum(mark[flat[at]])])
             common = sums[ends] - sums[ends - size[y]]
             mark[own] = False
             for z in y[100 * common >= percent * (size[y] + size[x] - common)].tolist():
@@ -296,7 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     cut = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("m") / CELL_SHINGLES)).cast("int")
     left = here.join(mixed.select("key", cut.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(regs, "doc").join(texts, "doc")
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumns({"ci": F.least("block", "other"), "cj": F.greatest("block", "other")})
-    links = stored(cells.groupBy("key", "ci", "cj").applyInArrow(lean_group(cell(k, percent, least)), "a long, b long"), "links")
+    links = stored(cells.groupBy("key", "ci", "cj").applyInArrow(lean_group(cell(k, percent)), "a long, b long"), "links")
     if links.take(1):
         labels = relabelled(labels, links)
 

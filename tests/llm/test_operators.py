@@ -445,6 +445,15 @@ def test_near_duplicates_edges(spark, tables, documents):
     assert op([(1, "p q r s"), (2, "k l m n"), (2, "p q r s"), (3, "k l m n")]) == {(1, 1, True), (2, 1, False), (3, 1, False)}
 
 
+def test_a_pair_whose_registers_say_too_little_is_linked(spark, documents):
+    rows = []
+    for i in (83, 567):  # 8 of 10 shingles in common, a shared band, registers that say less than 0.6
+        w = [f"{i}_{j}" for j in range(13)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], f"{i}_x"]))]
+    got = neardup.near_duplicates(documents(rows), 5, 80).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == near_groups(rows, 5, 80) == {166: 166, 167: 166, 1134: 1134, 1135: 1134}
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(1)
     for share in (0.5, 0.85):

@@ -275,33 +275,42 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labels.join(found, "comp", "left").select("doc", F.coalesce("component", "comp").alias("comp")), "labels")
 
 
+def of_texts(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates where rows of one doc_id have different sets: each text is grouped under a number of its own, then what shares a doc_id is joined."""
+    texts = stored(docs.where(F.col("doc_id").isNotNull()).distinct().withColumn("node", F.monotonically_increasing_id()), "texts")
+    groups = near_duplicates(texts.select(F.col("node").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("node"), F.col("component_id").alias("comp"))
+    placed = stored(texts.select("doc_id", "node").join(groups, "node").select("doc_id", "comp").distinct(), "placed")
+    links = placed.join(placed.groupBy("doc_id").agg(F.min("comp").alias("a")), "doc_id").select("a", F.col("comp").alias("b"))
+    found = components(links).withColumnRenamed("node", "comp")
+    joined = stored(placed.join(found, "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("comp")).distinct(), "joined")
+    of_doc = joined.join(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("doc_id", "component_id")
+    out = signed.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text). Linked: 100 * common >= percent * union of k-word shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, k), "signatures")
-    some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     key = ["n_shingles", "f1", "f2"]
+    sets = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
+    if sets.where(F.col("lo") != F.col("hi")).take(1):
+        return of_texts(docs, signed, k, percent)
+    some = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(some.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("regs").alias("regs")), "classes")
-    nodes = classes.groupBy("doc").agg(F.first("regs").alias("regs"), F.max("n_shingles").alias("n_shingles"))  # one, but where rows of a doc_id differ
     bands = stored(classes.select("doc", "regs").mapInArrow(lean(band_keys), "key long, band int, doc long"), "bands")
     centers = bands.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where(F.col("center") != F.col("last")).drop("last")
     least = percent / 100 - SLACK
 
     shared = stored(bands.join(centers, "key"), "shared")  # what shares a key with another
-    regs = nodes.select("doc", "regs").join(shared.select("doc").distinct(), "doc", "left_semi")
+    regs = classes.select("doc", "regs").join(shared.select("doc").distinct(), "doc", "left_semi")
     stars = shared.where(F.col("center") != F.col("doc")).select("center", "doc").distinct()
     told = stars.join(regs.withColumnRenamed("regs", "regs2"), "doc").join(regs.select(F.col("doc").alias("center"), "regs"), "center").select("center", "doc", "regs", "regs2")
     stars = stored(told.mapInArrow(lean(hopeful(least)), "center long, doc long"), "stars")
     involved = shared.select(F.col("doc").alias("doc_id")).distinct()
     texts = stored(docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"]), "texts")
 
-    # Rows of one doc_id belong together, whatever their texts.
-    same = some.select(F.col("doc_id").alias("b"), *key).join(classes.select(*key, "doc"), key).select(F.col("doc").alias("a"), "b")
-    twice = signed.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("b"))
-    labels = stored(classes.select("doc", F.col("doc").alias("comp")).distinct(), "labels")
-    if twice.take(1):
-        of_id = same.join(twice, "b", "left_semi")
-        labels = relabelled(labels.unionByName(of_id.select(F.col("b").alias("doc"), F.col("b").alias("comp"))).distinct(), of_id)
+    labels = stored(classes.select("doc", F.col("doc").alias("comp")), "labels")
 
     def between(pairs: DataFrame) -> DataFrame:
         """The pairs that are not yet in one component."""
@@ -315,7 +324,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         labels = relabelled(labels, verified(more, texts, k, percent))
     # Keys that still hold several components: every pair across them, in cells of two blocks.
     here = shared.select("key", "band", "doc").join(labels, "doc")
-    sizes = nodes.select("doc", "n_shingles")
+    sizes = classes.select("doc", "n_shingles")
     mixed = here.join(sizes, "doc").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m")).where(F.col("lo") != F.col("hi"))
     cut = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("m") / CELL_SHINGLES)).cast("int")
     left = here.join(mixed.select("key", cut.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(regs, "doc").join(texts, "doc")

@@ -445,6 +445,13 @@ def test_near_duplicates_edges(spark, tables, documents):
     assert op([(1, "p q r s"), (2, "k l m n"), (2, "p q r s"), (3, "k l m n")]) == {(1, 1, True), (2, 1, False), (3, 1, False)}
 
 
+def test_rows_of_a_doc_id_are_linked_with_all_that_any_is_near(spark, documents):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, f"{a} x"), (2, a), (2, b), (2, ""), (3, f"{b} y"), (4, "on its own"), (None, a)]
+    got = {(x["doc_id"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(documents(rows), 3, 85).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (None, None, False)}
+
+
 def test_a_pair_whose_registers_say_too_little_is_linked(spark, documents):
     rows = []
     for i in (83, 567):  # 8 of 10 shingles in common, a shared band, registers that say less than 0.6

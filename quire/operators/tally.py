@@ -79,7 +79,7 @@ def spellings(mentions: DataFrame) -> DataFrame:
 def aliases(mentions: DataFrame) -> DataFrame:
     """The most frequent spelling of each entity, and the others in order."""
     ranked = spellings(mentions).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("rank", "spelling", "n"))).alias("_all"))
-    return ranked.select("entity", F.col("_all")[0]["spelling"].alias("canonical"), F.transform(F.slice("_all", 2, 1000), lambda a: a["spelling"]).alias("others"))
+    return ranked.select("entity", F.col("_all")[0]["spelling"].alias("canonical"), F.transform(F.slice("_all", F.lit(2), F.size("_all")), lambda a: a["spelling"]).alias("others"))
 
 
 def coverage(mentions: DataFrame, books: DataFrame, countable: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -123,3 +123,10 @@ def test_streamed_tally_equals_batch(spark, tmp_path):
     got = stream.run_available(stream.windowed_tally(source, "event_type", "ts", "1 day", "60 days"), "tally_test", str(tmp_path / "cp"), "complete")
     want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").start.alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_aliases_keep_all_spellings(spark):
+    mentions = spark.range(1500).select(F.lit(1).alias("entity"), F.format_string("s%04d", "id").alias("spelling"), F.col("id").alias("m1"), F.lit(0).alias("m2"))
+    one = mentions.limit(1).select(F.lit(2).alias("entity"), "spelling", "m1", "m2")
+    got = {r["entity"]: (r["canonical"], r["others"]) for r in tally.aliases(mentions.unionByName(one)).collect()}
+    assert got == {1: ("s0000", [f"s{i:04d}" for i in range(1, 1500)]), 2: ("s0000", [])}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,13 +70,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: By application, the folder that stands in for spark.checkpoint.dir in a session of one process.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quire-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a session of one process gets a folder of its own; a cluster is refused, as its machines share none."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+    return _own_dirs[context.applicationId]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -203,6 +211,36 @@ PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
+#: Which bytes of eight belong to a span that has n left, as a mask of the little-endian number.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place, the eight bytes from there on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of data[start:end] each, eight bytes at a time with a mix after each: no polynomial, whose differences some texts cancel."""
+    left = ends - starts
+    out = left.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
+    if not len(left):
+        return out
+    at8, at, rows = eights(data), starts, None
+    while True:
+        got = at8[at] & _LEFT[np.minimum(left, 8)]
+        if rows is None:
+            out = mix(out ^ got * np.uint64(0xC2B2AE3D27D4EB4F))
+        else:
+            out[rows] = mix(out[rows] ^ got * np.uint64(0xC2B2AE3D27D4EB4F))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        rows = more if rows is None else rows[more]
+        left, at = left[more] - 8, at[more] + 8
+
+
 def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of the lower-cased slice, and how many words begin before each row: (hashes, starts, ends, first)."""
     low = LOWER[data]
@@ -220,8 +258,7 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np
         edge = edge[edge > 0]
         stops[edge] = inside[edge - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
-    hashes = Rolling(low).span(starts, ends)
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return spans_hash(low, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingle(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -358,7 +358,7 @@ def contaminated(docs, items):
         w = plain(t)
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])].add(i)
     out = {}
     for d, t in docs:
         w, hit, found = plain(t), set(), set()
@@ -367,7 +367,7 @@ def contaminated(docs, items):
                 if (x := tuple(w[k : k + n])) in windows:
                     hit.update(range(k, k + n))
                     found |= windows[x]
-        ids = ",".join(sorted(found))
+        ids = ",".join(sorted(str(i) for i in found if i is not None))
         out[d] = (len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     return out
 
@@ -379,8 +379,8 @@ def test_decontamination_against_brute_force(spark, tables, documents, monkeypat
     rows += [(500, "and two WORDS, here"), (501, "two words"), (501, "two words"), (502, "abc abc abc")]
     folder = tables(documents=documents(rows), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     want = contaminated(rows, items)
-    for words in (decontamination.BLOCK_WORDS, 300):
-        monkeypatch.setattr(decontamination, "BLOCK_WORDS", words)
+    for bits in (decontamination.FILTER_BITS, 64):  # the filter may let everything through
+        monkeypatch.setattr(decontamination, "FILTER_BITS", bits)
         got = decontamination.op8_decontamination(spark, folder).collect()
         assert len(got) == len(rows)
         assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in got} == want
@@ -390,6 +390,42 @@ def test_decontamination_against_brute_force(spark, tables, documents, monkeypat
     assert [tuple(s) for s in spans] == [(1, 3), (4, 6)]
 
 
+def thue_morse():
+    """Two words that any polynomial hash modulo 2**64 takes for one."""
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_in_a_polynomial_hash_stay_apart(spark, documents):
+    import pyarrow as pa
+
+    a, b = thue_morse()
+    h = common.words(*common.utf8(pa.array([f"{a} {b}"])), common.SPACES)[0]
+    assert h[0] != h[1]
+    got = decontamination.find_contamination(documents([(1, f"one {b} two"), (2, f"one {a} two")]), spark.createDataFrame([(1, f"one {a} two")], "item_id long, text string"))
+    assert {(x["doc_id"], x["n_hit"]) for x in got.collect()} == {(1, 0), (2, 3)}
+    near = neardup.near_duplicates(documents([(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y")]), 3, 85)
+    assert {x["doc_id"]: x["component_id"] for x in near.collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_decontamination_edges(spark, tables, documents):
+    docs = documents([(1, "two words"), (1, "two words"), (1, "others"), (2, None), (3, ""), (None, "x two words"), (4, "w " * 50_000 + "two words")])
+    docs = docs.withColumns({c: F.lit(c) for c in ("n_hit", "items", "_digest_", "window")})
+    items = spark.createDataFrame([(None, "Two words"), ("null", "two words"), ("b", "x"), ("b", "x")], "item_id string, text string").withColumn("n", F.lit(1))
+    folder = tables(documents=docs, benchmark=items)
+    got = sorted((x["doc_id"] or 0, x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in decontamination.op8_decontamination(spark, folder).collect())
+    of = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 2, 2, 2, of("null"), True)] * 2 + [(1, 1, 0, 0, of(""), False), (2, 0, 0, 0, of(""), False), (3, 0, 0, 0, of(""), False), (0, 3, 3, 3, of("b,null"), True), (4, 50_002, 2, 2, of("null"), False)])
+    found = decontamination.find_contamination(docs, items)
+    assert found.columns == [*(c for c in docs.columns if c not in ("n_hit", "items")), "n_words", "n_hit", "items", "hit_spans"]
+    assert {tuple(x["items"]) for x in found.where("n_hit > 0").collect()} == {(None, "null"), (None, "b", "null")}
+    kept = decontamination.drop_contaminated(spark, docs, folder)
+    assert kept.columns == docs.columns and sorted((x["doc_id"], x["text"]) for x in kept.collect() if x["text"] is not None) == [(1, "others"), (3, "")] and kept.count() == 3
+    assert decontamination.op8_decontamination(spark, tables(documents=docs.limit(0), benchmark=items)).count() == 0
+
+
 # 9
 
 

@@ -212,7 +212,7 @@ PUNCTUATION[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 
 #: Which bytes of eight belong to a span that has n left, as a mask of the little-endian number.
-_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return out
     at8, at, rows = eights(data), starts, None
     while True:
-        got = at8[at] & _LEFT[np.minimum(left, 8)]
+        got = at8[at] & LEFT[np.minimum(left, 8)]
         if rows is None:
             out = mix(out ^ got * np.uint64(0xC2B2AE3D27D4EB4F))
         else:

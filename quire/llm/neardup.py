@@ -5,11 +5,13 @@ bits, the number of leading zeros and the ten bits after the first one. Empty bu
 probe order of their own. Four registers make a band key, 16 bands a document: two documents of similarity 0.85 share no
 band with probability 1e-5.
 
-Equal sets are one class from the start, so exact copies, however many, cost an aggregate. Classes that share a band key
-are candidates, first each with the smallest of its key where registers, corrected for chance matches, give it hope, and
-the full sets decide. Where a key still holds several components, its documents' texts meet in cells of two
-blocks of bounded size, and every pair across components is tried on its full sets, whatever its registers say: no link
-between components is lost to an order, a cap, an estimate or a sample. A cell gives the links that join its components, at most one less than its documents.
+Texts of the same words in the same order are one class from the start (by a 128-bit cryptographic digest of the words),
+so copies, however many, cost an aggregate. Classes that share a band key are candidates, first each with the smallest
+of its key where registers, corrected for chance matches, give it hope, and the full sets decide. Sets are compared as
+sets of word sequences: words get numbers by their bytes, not by a hash. Where a key still holds several components, its
+documents' texts meet in cells of two blocks of bounded size, and every pair across components is tried on its full
+sets, whatever its registers say: no link between components is lost to an order, a cap, an estimate or a sample. A cell
+gives the links that join its components, at most one less than its documents.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links; with fewer words than a
 shingle takes, the whole sequence is the one shingle; rows with the same doc_id are one document, linked with all that
@@ -19,6 +21,7 @@ result; other columns don't matter, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,35 +29,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, lean, lean_group, mix, read, shingle, slices, stored, utf8, words
+from quire.llm.common import LEFT, LOWER, SPACES, eights, lean, lean_group, mix, read, slices, stored, utf8, words
 from quire.llm.components import components
 
 BUCKETS, BANDS, MANTISSA = 64, 16, 10
-#: Bits of a shingle's hash that sets are made of; the first six pick the bucket.
+#: Bits of a shingle's hash that registers are made of; the first six pick the bucket.
 HASH_BITS, REST_BITS = 48, 42
-#: Of a set of more shingles, distinct ones are counted by all 64 bits.
-MANY = 1 << 17
 #: Of the pairs with the smallest of a key, those whose registers say at least this much less than the threshold are tried first; cells try the others.
 SLACK = 0.2
 #: The chance that registers of different shingles match: the same zeros (1/3) and the same ten bits.
 CHANCE = 1 / 3 / (1 << MANTISSA)
-MEMBERS_A_GROUP, CELL_ROWS, CELL_SHINGLES = 64, 1024, 1_000_000
+MEMBERS_A_GROUP, GROUP_BYTES, CELL_ROWS, CELL_SHINGLES = 64, 8 << 20, 1024, 1_000_000
 
 
-def row_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of the slice's rows, and the row of each."""
-    h, _, _, first = words(data, offsets, SPACES)
+def row_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The lower-cased slice, its words' starts and ends and how many begin before each row; then the hashes of all shingles of its rows, and the row of each, ascending."""
+    h, starts, ends, first = words(data, offsets, SPACES)
+    out, rows = sequences(h, first, k, lambda a, b: a * np.uint64(0xAF251AF3B0F025B5) + b)
+    return LOWER[data], starts, ends, first, mix(out), rows
+
+
+def sequences(values: np.ndarray, first: np.ndarray, k: int, join) -> tuple[np.ndarray, np.ndarray]:
+    """What `join` makes of each k words in turn, one after the other, and the row of each; a row of fewer words gives one, of all."""
     n = np.diff(first)
     rows = np.repeat(np.arange(len(n)), n)
-    out = shingle(h, k)
-    at = np.arange(len(out))
-    whole = at + k <= first[1:][rows[: len(out)]]
-    out, rows = out[whole], rows[: len(out)][whole]
-    few = np.flatnonzero((n > 0) & (n < k))
-    if len(few):
-        extra = np.array([shingle(h[first[r] : first[r + 1]], int(n[r]))[0] for r in few], np.uint64)
-        out, rows = np.concatenate([out, extra]), np.concatenate([rows, few])
-    return out, rows
+    left = np.repeat(first[1:], n) - np.arange(len(values))  # words from each to its row's end
+    last = np.where(np.minimum(n[rows], k) <= left, np.minimum(n[rows], k), 0)  # how many a sequence takes; none from here
+    out = values.copy()
+    for i in range(1, k):
+        at = np.flatnonzero(last > i)
+        out[at] = join(out[at], values[at + i])
+    # Sequences of all of a short row and of k words may not meet.
+    begins = last > 0
+    return out[begins], rows[begins]
 
 
 def registers(keys: np.ndarray, rows: int) -> np.ndarray:
@@ -93,32 +100,40 @@ def signer(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            count, f1, f2, regs = [], [], [], []
+            count, halves, regs = [], [], []
             for i, j in slices(offsets):
                 for i2 in range(i, j, 1 << 15):  # the row has 16 bits
                     j2 = min(j, i2 + (1 << 15))
-                    h, rows = row_shingles(data[offsets[i2] : offsets[j2]], offsets[i2 : j2 + 1] - offsets[i2], k)
-                    m = j2 - i2
-                    keys = rows.astype(np.uint64) << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS)
-                    keys.sort()
-                    if len(keys):
-                        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-                    at = np.searchsorted(keys, np.arange(m + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
-                    n = np.diff(at)
-                    for r in np.flatnonzero(n > MANY):
-                        n[r] = len(np.unique(h[rows == r]))
-                    low = keys & np.uint64((1 << HASH_BITS) - 1)
-                    for out, salt in ((f1, 0x1F83D9ABFB41BD6B), (f2, 0x5BE0CD19137E2179)):
-                        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(low + np.uint64(salt)))])
-                        out.append((sums[at[1:]] - sums[at[:-1]]).view(np.int64))
-                    count.append(n)
-                    regs += [r.tobytes() for r in registers(keys, m)]
-            join = lambda parts: pa.array(np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), join(count), join(f1), join(f2), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "regs"])
+                    part, m = data[offsets[i2] : offsets[j2]], j2 - i2
+                    low, starts, ends, first, h, rows = row_shingles(part, offsets[i2 : j2 + 1] - offsets[i2], k)
+                    at = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=m))])
+                    for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                        h[a:z].sort()
+                    if len(h):
+                        new = np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])])
+                        h, rows = h[new], rows[new]
+                    count.append(np.bincount(rows, minlength=m))
+                    halves += same_words(low, starts, ends, first)
+                    regs += [r.tobytes() for r in registers(rows.astype(np.uint64) << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS), m)]
+            counted = pa.array(np.concatenate(count).astype(np.int64) if count else np.empty(0, np.int64))
+            both = np.frombuffer(b"".join(halves), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), counted, pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "regs"])
 
     return run
 
 
+def same_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each row, a digest of its words in order, each ended by a space."""
+    # A word's bytes and the place after it, which becomes a space: words are at least that far apart, but for the last of a row.
+    size = ends - starts + 1
+    to = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(to[-1], 0x20, np.uint8)
+    inside = ranges(starts, ends - starts)
+    out[inside + np.repeat(to[:-1] - starts, ends - starts)] = low[inside]
+    whole, cuts = out.tobytes(), to[first].tolist()
+    return [hashlib.blake2b(whole[a:z], digest_size=16).digest() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, a fingerprint of the set in two halves, and its registers."""
     return docs.select("doc_id", "text").mapInArrow(lean(signer(k)), "doc_id long, n_shingles long, f1 long, f2 long, regs binary")
@@ -150,16 +165,39 @@ def hopeful(least: float):
     return run
 
 
+def word_numbers(h: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Small numbers of words, equal where the bytes are: hashes group them, and every word is compared with the first of its group."""
+    _, place, ids = np.unique(h, return_index=True, return_inverse=True)
+    ref, size = place[ids], ends - starts
+    same = size == size[ref]
+    at8 = eights(low)
+    at = np.flatnonzero(same & (ref != np.arange(len(ref))))
+    done = 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8)
+        a, b = (at8[starts[x] + done] & LEFT[left] for x in (at, ref[at]))
+        same[at[a != b]] = False
+        done += 8
+        at = at[size[at] > done]
+    text, others = low.tobytes(), {}
+    for i in np.flatnonzero(~same).tolist():  # another word of the same hash
+        ids[i] = others.setdefault(text[starts[i] : ends[i]], len(place) + len(others))
+    return ids
+
+
 def local_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The rows' distinct shingles as small numbers, where each row's begin, and how many numbers there are."""
+    """The rows' distinct shingles as small numbers, where each row's begin, and how many numbers there are. Equal numbers are equal words, byte by byte."""
     data, offsets = utf8(texts)
-    hashes, owners = [], []
-    for i, j in slices(offsets):
-        h, rows = row_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-        hashes.append(h)
-        owners.append(rows + i)
-    names, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-    owner = np.concatenate(owners)
+    h, starts, ends, first = words(data, offsets, SPACES)
+    numbers = word_numbers(h, LOWER[data], starts, ends)
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), return_inverse=True)[1]
+
+    # Lists of fewer than k words stand alone: their numbers come from fewer turns, so the length tells them apart.
+    ids, owner = sequences(numbers, first, k, join)
+    took = np.minimum(np.diff(first), k)[owner]
+    names, ids = np.unique(ids.astype(np.uint64) << np.uint64(8) | took.astype(np.uint64), return_inverse=True)
     key = np.unique(owner.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(key, np.arange(len(offsets), dtype=np.uint64) << np.uint64(32)), len(names)
 
@@ -234,36 +272,27 @@ def cell(k: int, percent: int):
 
 
 def verifier(k: int, percent: int):
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        data, offsets = utf8(texts)
-        out = []
-        for i in range(len(offsets) - 1):
-            out.append(np.unique(row_shingles(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i], k)[0]))
-        return out
-
     def run(table: pa.Table) -> pa.Table:
         center, doc, role = table["center"][0].as_py(), table["doc"].to_numpy(), table["is_center"].to_numpy()
-        rows = sets(table["text"].combine_chunks())
-        base = next((rows[i] for i in np.flatnonzero(role)), np.empty(0, np.uint64))
-        linked = []
-        for i in np.flatnonzero(~role):
-            own = rows[i]
-            if not len(own) or not len(base) or 100 * min(len(own), len(base)) < percent * max(len(own), len(base)):
-                continue
-            common = int(np.isin(own, base, assume_unique=True).sum())
-            if 100 * common >= percent * (len(own) + len(base) - common):
-                linked.append(doc[i])
-        return pa.table({"a": np.full(len(linked), center, np.int64), "b": np.array(linked, np.int64)})
+        flat, begin, numbers = local_sets(table["text"].combine_chunks(), k)
+        size, at = np.diff(begin), np.flatnonzero(role)[0]
+        mark = np.zeros(numbers, bool)
+        mark[flat[begin[at] : begin[at + 1]]] = True
+        sums = np.concatenate([[0], np.cumsum(mark[flat])])
+        common = sums[begin[1:]] - sums[begin[:-1]]
+        linked = doc[~role & (common > 0) & (100 * common >= percent * (size + size[at] - common))]
+        return pa.table({"a": np.full(len(linked), center, np.int64), "b": linked})
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (center, doc) whose full sets are similar enough, as a, b. A center with many pairs is dealt into groups."""
-    groups = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_GROUP).cast("int").alias("groups"))
+    """The pairs (center, doc) whose full sets are similar enough, as a, b. A center with many pairs, or long ones, is dealt into groups."""
+    sized = pairs.join(texts.select("doc", "size"), "doc").groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    groups = sized.select("center", F.ceil(F.greatest(F.col("n") / MEMBERS_A_GROUP, F.col("size") / GROUP_BYTES)).cast("int").alias("groups"))
     members = pairs.join(groups, "center").select("center", F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int").alias("g"), "doc")
     centers = members.select("center", "g").distinct().withColumn("doc", F.col("center"))
-    rows = members.withColumn("is_center", F.lit(False)).unionByName(centers.withColumn("is_center", F.lit(True))).join(texts, "doc")
+    rows = members.withColumn("is_center", F.lit(False)).unionByName(centers.withColumn("is_center", F.lit(True))).join(texts.drop("size"), "doc")
     return rows.groupBy("center", "g").applyInArrow(lean_group(verifier(k, percent)), "a long, b long")
 
 
@@ -308,7 +337,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     told = stars.join(regs.withColumnRenamed("regs", "regs2"), "doc").join(regs.select(F.col("doc").alias("center"), "regs"), "center").select("center", "doc", "regs", "regs2")
     stars = stored(told.mapInArrow(lean(hopeful(least)), "center long, doc long"), "stars")
     involved = shared.select(F.col("doc").alias("doc_id")).distinct()
-    texts = stored(docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"]), "texts")
+    texts = stored(docs.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"]).withColumn("size", F.octet_length("text") + 1), "texts")
 
     labels = stored(classes.select("doc", F.col("doc").alias("comp")), "labels")
 
@@ -327,7 +356,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = classes.select("doc", "n_shingles")
     mixed = here.join(sizes, "doc").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m")).where(F.col("lo") != F.col("hi"))
     cut = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("m") / CELL_SHINGLES)).cast("int")
-    left = here.join(mixed.select("key", cut.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(regs, "doc").join(texts, "doc")
+    left = here.join(mixed.select("key", cut.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).join(regs, "doc").join(texts.drop("size"), "doc")
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumns({"ci": F.least("block", "other"), "cj": F.greatest("block", "other")})
     links = stored(cells.groupBy("key", "ci", "cj").applyInArrow(lean_group(cell(k, percent)), "a long, b long"), "links")
     if links.take(1):
@@ -343,7 +372,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of the smallest doc_id of each group."""
+    """Pipeline stage: the document of the smallest doc_id of each group. Rows that repeat a doc_id are one document, kept or dropped together; null doc_ids, null and empty texts stay."""
     rest = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(rest.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -497,6 +497,25 @@ def test_a_pair_whose_registers_say_too_little_is_linked(spark, documents):
     assert {x["doc_id"]: x["component_id"] for x in got} == near_groups(rows, 5, 80) == {166: 166, 167: 166, 1134: 1134, 1135: 1134}
 
 
+def test_words_of_one_hash_get_different_numbers():
+    import pyarrow as pa
+
+    low, offsets = common.utf8(pa.array(["one two one", "internationalization two internationalizatioN", "", "two internationalisation one"]))
+    _, starts, ends, first = common.words(low, offsets, common.SPACES)
+    low = common.LOWER[low]
+    got = neardup.word_numbers(np.full(len(starts), 7, np.uint64), low, starts, ends)
+    words = [bytes(low[a:z]) for a, z in zip(starts, ends, strict=True)]
+    assert all((got[i] == got[j]) == (words[i] == words[j]) for i in range(len(words)) for j in range(len(words)))
+    digests = neardup.same_words(low, starts, ends, first)
+    assert len(set(digests)) == 4 and digests[0] == hashlib.blake2b(b"one two one ", digest_size=16).digest() and digests[2] == hashlib.blake2b(b"", digest_size=16).digest()
+
+
+def test_equal_sets_of_different_texts_are_linked(spark, documents):
+    w = " ".join(f"w{i}" for i in range(40))
+    got = neardup.near_duplicates(documents([(3, w), (5, f"{w} {w}"), (7, f"{w}  {w}".upper()), (9, "a b"), (11, "b a"), (12, "x" * 300_000), (13, "x" * 300_000 + " y")]), 3, 85)
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == {3: 3, 5: 3, 7: 3, 9: 9, 11: 11, 12: 12, 13: 13}
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(1)
     for share in (0.5, 0.85):

@@ -7,14 +7,16 @@ one. A decision tree over these numbers, grown from the small labelled table bel
 
 Defined results: null or empty html has no text; text outside any tag is a block like others; elements that never hold
 running text (scripts, styles, forms, heads ...) are left out with all they hold; unclosed elements end with the page;
-broken tags count as text; character references are decoded once; white space inside a block becomes one space; repeated
-rows are each worked on; other columns are kept as they are, but for clashes with the output's names.
+a tag that never ends counts as text, with all that follows; a page of any length is read in time linear in it, however
+broken; character references are decoded once; white space inside a block becomes one space; repeated rows are each
+worked on; other columns are kept as they are, but for clashes with the output's names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import lean, read
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What starts a piece of markup: a comment, a CDATA section, a declaration, or a tag's name.
+TOKEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: Inside a tag: its end, or the quote that starts a value.
+IN_TAG = re.compile(r"(>)|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Elements whose content is not markup: it ends with their end tag alone.
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -68,6 +73,74 @@ def names_of(attributes: str) -> tuple[set[str], bool]:
     return found, hidden
 
 
+class Scanner:
+    """Finds a page's markup from left to right, in time linear in the page however broken it is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        #: Once a tag didn't end, quotes hide no > any more: else each < would be followed to the page's end.
+        self.quotes = True
+        self.closed: dict[str, dict[int, int]] = {}
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at `at`; -1 where none does."""
+        page, start = self.page, at
+        while self.quotes:
+            m = IN_TAG.search(page, at)
+            if m is None:
+                self.quotes = False
+            elif m[1]:
+                return m.start()
+            else:
+                end = page.find(m[2], m.end())
+                at = end + 1 if end >= 0 else m.end()
+        return page.find(">", start)
+
+    def tokens(self):
+        """(start, end, closing, tag, attributes); the tag is None for what is neither text nor a tag. send(place) goes on from there."""
+        page, at = self.page, 0
+        while (m := TOKEN.search(page, at)) is not None:
+            if m[2] is None:
+                mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+                end = page.find(mark, m.end())
+                at = end + len(mark) if end >= 0 else len(page)
+                yield m.start(), at, False, None, ""
+                continue
+            end = self.tag_end(m.end())
+            if end < 0:  # no > is left: text from here on
+                return
+            at = end + 1
+            to = yield m.start(), at, bool(m[1]), m[2].lower(), page[m.end() : end]
+            if to is not None:
+                at = to
+                yield
+
+    def skip(self, tag: str, start: int, at: int) -> int:
+        """Where the dropped element that starts at `start` ends (its start tag ends at `at`); the page's end where it is not closed, but for a form, which then counts for nothing."""
+        page = self.page
+        if tag in RAW:
+            m = RAW_END[tag].search(page, at)
+            return m.end() if m else len(page)
+        if tag not in self.closed:  # once for a page and tag: each start's end
+            pairs, open_ = self.closed.setdefault(tag, {}), []
+            for m in TURN[tag].finditer(page):
+                if m[1]:
+                    if open_:
+                        pairs[open_.pop()] = m.end()
+                elif not m[0].endswith("/>"):
+                    open_.append(m.start())
+        if (end := self.closed[tag].get(start)) is not None:
+            return max(end, at)
+        if tag == "head" and (m := BODY.search(page, at)):
+            return m.start()
+        return at if tag == "form" else len(page)
+
+
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
+TURN = {tag: re.compile(rf"<(/?){tag}\b[^>]*>", re.I) for tag in DROPPED - RAW}
+BODY = re.compile(r"<body\b", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
@@ -87,22 +160,19 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         own = heading = False
 
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            parts.append((page[at:], link > 0))
-            break
-        if m.start() > at:
-            parts.append((page[at : m.start()], link > 0))
-        at = m.end()
-        tag = m[2]
+    scanner, at = Scanner(page), 0
+    tokens = scanner.tokens()
+    opened: Counter[str] = Counter()
+    for start, end, closing, tag, attributes in tokens:
+        if start > at:
+            parts.append((page[at:start], link > 0))
+        at = end
         if tag is None:
             continue
-        tag, closing, attributes = tag.lower(), bool(m[1]), m[3]
         if tag in DROPPED:
             if not closing and not attributes.endswith("/"):
-                at = skip(page, tag, at)
+                at = scanner.skip(tag, start, at)
+                tokens.send(at)
                 close() if tag not in ("button", "svg", "math", "noscript", "script", "style", "template") else None
             continue
         if tag in INLINE:
@@ -121,9 +191,10 @@ def blocks(page: str) -> list[Block]:
                     own = hidden or bool(names & AROUND)
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened[tag]:
+                name = stack.pop()[0]
+                opened[name] -= 1
+                if name == tag:
                     break
             continue
         _, around, article = stack[-1]
@@ -133,25 +204,13 @@ def blocks(page: str) -> list[Block]:
         if tag in ("nav", "aside", "footer", "menu") or hidden or tag == "header" and not article or tag != "body" and names & (AROUND - {"header", "meta"} if article else AROUND):
             around = True
         stack.append((tag, around, article))
+        opened[tag] += 1
+    if at < len(page):
+        parts.append((page[at:], link > 0))
     close()
     return out
 
 
-def skip(page: str, tag: str, at: int) -> int:
-    """Where the dropped element that starts before `at` ends; the next such tag where it is not closed, else the page's end."""
-    if tag in RAW:
-        m = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-        return m.end() if m else len(page)
-    depth, turn = 1, re.compile(rf"<(/?){tag}\b[^>]*>", re.I)
-    for m in turn.finditer(page, at):
-        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-        if not depth:
-            return m.end()
-    if tag == "head" and (m := re.compile(r"<body\b", re.I).search(page, at)):
-        return m.start()
-    return at if tag == "form" else len(page)
-
-
 #: The classifier's view of a block.
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "around", "article")
 
@@ -179,6 +238,8 @@ PAGES = [
     [MENU2, MENU2, (5, 0, 0, 0, 0, 0), (4, 2, 0, 0, 0, 0), (60, 3, 0, 0, 0, 1), (35, 0, 0, 0, 0, 1), (6, 0, 1, 0, 0, 1), (44, 4, 0, 0, 0, 1), (18, 2, 0, 0, 0, 1), (58, 0, 0, 0, 0, 1), (12, 6, 0, 0, 0, 0), (6, 5, 0, 0, 0, 0)],
     [MENU, (3, 0, 1, 0, 0, 0), (20, 13, 0, 0, 0, 0), (30, 21, 0, 0, 0, 0), (25, 18, 0, 0, 0, 0), (9, 8, 0, 0, 0, 0), (10, 0, 1, 0, 0, 1), (85, 0, 0, 0, 0, 1), (30, 3, 0, 0, 0, 1), (48, 0, 0, 0, 0, 1), (7, 7, 0, 0, 0, 0)],
     [MENU, MENU, (2, 0, 1, 0, 0, 0), MENU2, (6, 6, 0, 0, 0, 0), (5, 3, 0, 0, 0, 0), (8, 0, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (7, 4, 0, 0, 0, 0)],
+    [MENU, MENU, MENU, (34, 0, 0, 0, 0, 1), (47, 1, 0, 0, 0, 1), (19, 0, 0, 0, 0, 1), MENU2, MENU, MENU2],
+    [MENU, MENU2, (22, 0, 0, 0, 0, 1), (16, 0, 0, 0, 0, 1), MENU, MENU, (5, 0, 0, 0, 0, 0)],
     [(95, 0, 0, 0, 0, 1), (110, 4, 0, 0, 0, 1), (38, 1, 0, 0, 0, 1), (15, 0, 0, 0, 0, 1), (72, 2, 0, 0, 0, 1)],
 ]
 

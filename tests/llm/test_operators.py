@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,6 +196,39 @@ def test_html_text():
     assert html.main_text(f"<body>{menu}<div>{prose}</div><div>{prose * 2}</div>{menu}</body>", t) == f"{prose.strip()}\n{(prose * 2).strip()}"
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<form>", "<div></ul>", "<a href='", "<b x=\"", "<head>", "<svg><p>", "</div>", "<!--", "<p title=x'>"])
+def test_broken_pages_take_linear_time(piece):
+    page = piece * (5_000_000 // len(piece))
+    began = time.process_time()
+    assert isinstance(html.main_text(page, html.trained()), str)
+    assert time.process_time() - began < 60  # what is quadratic takes hours
+
+
+def test_markup_is_left_out():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<p title='a > b'>one<b>two</b></p><!-- <p>no</p> --><p>three<![CDATA[no]]>four") == ["onetwo", "threefour"]
+    assert texts("<p>one<svg><text>no</text></svg>two<select><option>no</select></p>three<script>if (a < b) {}</script>") == ["onetwo", "three"]
+    assert texts("<form><p>kept, as the form never ends") == ["kept, as the form never ends"]
+    assert texts("<form><form>no</form>no</form>yes") == ["yes"] and texts("a < b & c &lt; d") == ["a < b & c < d"] and texts("x<p title=it's>y</p>") == ["x", "y"]
+
+
+def test_main_text_of_made_up_pages():
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    right = 0
+    for kind in range(120):
+        paragraphs = [prose(r.randint(18, 90)) for _ in range(r.randint(2, 7))]
+        menu = "".join(f"<li><a href='/{i}'>{word()}</a></li>" for i in range(r.randint(3, 9)))
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        if kind % 2:
+            page = f"<html><head><title>{prose(4)}</title></head><body><nav><ul>{menu}</ul></nav><article>{body}</article><aside><p>{prose(20)}</p></aside><div class='comments'><p>{prose(30)}</p></div><footer><p>{prose(9)}</p></footer>"
+        else:
+            page = f"<body><div><ul>{menu}</ul></div><div>{body}</div><div><ul>{menu}</ul></div>"
+        right += html.main_text(page, html.trained()) == "\n".join(paragraphs)
+    assert right >= 118
+
+
 def test_tree_fits_its_table():
     x, y = html.table()
     assert (html.decide(html.trained(), x) == y).mean() > 0.95

@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The search walks over the text and keeps, for the last ``longest piece`` places only, the best way to get there (one
-backpointer each). Once all surviving ways go through one boundary, nothing that follows can change what lies before it:
-those ids are committed and forgotten. Memory is bounded by the longest piece plus what is not yet committed.
+The search walks over the text, character by character, and notes the best way to get to each place (one backpointer
+each). A later piece can start at the last ``longest piece`` places only; once the ways to all of these go through one
+boundary, nothing that follows can change what lies before it: those ids are committed and forgotten. What is held is a
+window of the longest piece's length and what lies between it and that boundary: a word or two in any text seen, and in
+the worst case, ways that never meet, a backpointer for each character that a worker holds anyway.
 
 Two kinds of model are read from their .model file. For unigram models the best way maximises the sum of scores. For BPE
 models a way is allowed only if each pair of neighbouring pieces is one that merging would leave apart, which one way at
 each place fulfils, so the backpointer there is the one allowed piece and the result is that of merging.
 
 Boundaries that no piece spans (before the space that starts a word, around characters that no longer piece has) are
-points at which all ways meet; between two of them an encoding depends on the segment alone, so workers remember it.
+points at which all ways meet; between two of them an encoding depends on the segment alone, so the search starts anew
+there and workers remember what it gave for a segment.
 
 Defined results: a null text counts as empty and has no ids; a character without piece becomes its UTF-8 bytes (or the
 unknown id where the model has no byte pieces); decoding gives the text back, for every text that the model's
@@ -22,7 +25,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -39,6 +42,8 @@ SPACE = "▁"
 KEPT_SEGMENTS, KEPT_PAIRS = 350_000, 400_000
 #: A segment that is longer is not remembered.
 LONG_SEGMENT = 64
+#: Characters between two looks at whether all ways meet.
+LOOK_EVERY = 8
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -172,117 +177,94 @@ class PieceModel:
                 node[""] = i
         return root
 
-    @cached_property
-    def direct(self) -> dict[str, int]:
-        """Pieces that stand for themselves: the only way to the end of such a segment is the piece."""
-        return {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(list(p)) == [p]} if self.kind == BPE else {}
-
     # The search
 
-    def step(self, window: str, n: int, back: list[int], found: list[int], total: list[float], before: int) -> None:
-        """Adds the best way to place n: the piece's length and id (-1: a character without piece), and its score."""
-        node, at, options = self.endings, n, []
-        while at and (node := node.get(window[at - 1])) is not None:
-            at -= 1
-            if (i := node.get("")) is not None:
-                options.append((n - at, i))
-        if self.kind == BPE:
-            pairs = self._pairs
-            for k, i in reversed(options):
-                left = found[n - k] if n > k else before
-                got = left < 0 or pairs.get(left << 32 | i)
-                if got is None:
-                    got = self.apart(left, i)
-                if got:
-                    back.append(k)
-                    found.append(i)
-                    return
-            back.append(1)
-            found.append(-1)
-            return
-        best, take, which = float("-inf"), 1, -1
-        for k, i in options:
-            if (s := total[n - k] + self.scores[i]) >= best:  # of equal ways the one with the longer last piece
-                best, take, which = s, k, i
-        if (not options or options[0][0] > 1) and (s := total[n - 1] + self.unknown_score) > best:
-            best, take, which = s, 1, -1
-        back.append(take)
-        found.append(which)
-        total.append(best)
-
     @staticmethod
-    def path(window: str, end: int, back: list[int], found: list[int]) -> list[tuple[str, int]]:
+    def path(window: list[str], end: int, back: list[int], found: list[int]) -> list[tuple[str, int]]:
         out, at = [], end
         while at > 0:
-            out.append((window[at - back[at] : at], found[at]))
+            out.append(("".join(window[at - back[at] : at]), found[at]))
             at -= back[at]
         return out[::-1]
 
-    def ways(self, text: Iterator[str]) -> Iterator[tuple[str, int]]:
+    def ways(self, text: Iterable[str]) -> Iterator[tuple[str, int]]:
         """Streaming Viterbi: (piece, id) in order; an id of -1 is a character without piece. text: characters one by one."""
-        window = ""  # the characters after the last committed boundary
+        window: list[str] = []  # the characters after the last committed boundary
         back, found, total, before = [0], [-1], [0.0], -1
+        bpe, root, pairs, apart, longest = self.kind == BPE, self.endings, self._pairs, self.apart, self.longest
+        n, look = 0, longest
         for c in text:
-            window += c
-            n = len(window)
-            self.step(window, n, back, found, total, before)
-            # All ways that the future can use start at one of the last places; where do they meet?
-            ends = {*range(max(0, n - self.longest + 1), n + 1)}
+            window.append(c)
+            n += 1
+            if bpe:
+                # Of the pieces that end here the longest that merging leaves apart from the one before it.
+                node, at = root, n
+                ids, places = [], []
+                while at:
+                    at -= 1
+                    node = node.get(window[at])
+                    if node is None:
+                        break
+                    if "" in node:
+                        ids.append(node[""])
+                        places.append(at)
+                k, i = n - 1, -1
+                while ids:
+                    at, own = places.pop(), ids.pop()
+                    left = found[at] if at else before
+                    if left >= 0:
+                        fits = pairs.get(left << 32 | own)
+                        if fits is None:
+                            fits = apart(left, own)
+                        if not fits:
+                            continue
+                    k, i = at, own
+                    break
+                back.append(n - k)
+                found.append(i)
+            else:
+                self.likeliest(window, n, back, found, total)
+            if n < look:
+                continue
+            # All that the future can use are the last places; where do their ways meet?
+            ends = {*range(n - longest + 1, n + 1)}
             while len(ends) > 1:
                 last = max(ends)
                 ends.discard(last)
                 ends.add(last - back[last])
             meet = ends.pop()
-            if meet > 0:
+            if meet:
                 yield from self.path(window, meet, back, found)
                 before = found[meet]
-                window, back, found, total = window[meet:], [0, *back[meet + 1 :]], [-1, *found[meet + 1 :]], total[meet:]
-        yield from self.path(window, len(window), back, found)
-
-    def short(self, window: str) -> list[tuple[str, int]]:
-        """The same for a segment that is short enough to keep whole."""
-        back, found = [0], [-1]
-        if self.kind != BPE:
-            total = [0.0]
-            for n in range(1, len(window) + 1):
-                self.step(window, n, back, found, total, -1)
-            return self.path(window, len(window), back, found)
-        root, pairs, apart = self.endings, self._pairs, self.apart
-        for n in range(1, len(window) + 1):
-            node, at = root, n
-            ids, places = [], []
-            while at:
-                at -= 1
-                node = node.get(window[at])
-                if node is None:
-                    break
-                if "" in node:
-                    ids.append(node[""])
-                    places.append(at)
-            k, i = n - 1, -1
-            while ids:
-                at, own = places.pop(), ids.pop()
-                left = found[at]
-                if left >= 0:
-                    fits = pairs.get(left << 32 | own)
-                    if fits is None:
-                        fits = apart(left, own)
-                    if not fits:
-                        continue
-                k, i = at, own
-                break
-            back.append(n - k)
-            found.append(i)
-        return self.path(window, len(window), back, found)
+                del window[:meet], back[1 : meet + 1], found[1 : meet + 1]
+                if not bpe:
+                    del total[:meet]
+                n -= meet
+            look = max(n + LOOK_EVERY, longest)
+        yield from self.path(window, n, back, found)
+
+    def likeliest(self, window: list[str], n: int, back: list[int], found: list[int], total: list[float]) -> None:
+        """Unigram: adds the way to place n of the largest sum; of equal ones the one with the longer last piece."""
+        node, at, best, take, which = self.endings, n, float("-inf"), 1, -1
+        one = False
+        while at and (node := node.get(window[at - 1])) is not None:
+            at -= 1
+            if (i := node.get("")) is not None:
+                one = one or at == n - 1
+                if (s := total[at] + self.scores[i]) >= best:
+                    best, take, which = s, n - at, i
+        if not one and (s := total[n - 1] + self.unknown_score) > best:
+            best, take, which = s, 1, -1
+        back.append(take)
+        found.append(which)
+        total.append(best)
 
     def bytes_of(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
     def search(self, segment: str) -> list[int]:
-        if segment in self.direct:
-            return [self.direct[segment]]
         out: list[int] = []
-        for piece, i in self.short(segment) if len(segment) <= LONG_SEGMENT else self.ways(iter(segment)):
+        for piece, i in self.ways(segment):
             if i >= 0:
                 out.append(i)
             elif self.byte_ids or not out or out[-1] != self.unknown:

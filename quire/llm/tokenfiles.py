@@ -15,7 +15,8 @@ and survive lost executors; ``export`` puts the images into plain files.
 Documents are dealt into ranges of doc_id, so (part, seq) orders the files by doc_id.
 
 Defined results: a null text counts as empty; an empty text has the end id alone; an empty table gives no files; null
-doc_ids come first and come back as null; repeated rows each have their place; a file closes at ``FILE_IDS`` ids but
+doc_ids come first and come back as null; repeated rows each have their place, rows of one doc_id in the order of their
+texts (null first); a file closes at ``FILE_IDS`` ids but
 always holds whole documents; other columns are left out.
 """
 
@@ -241,7 +242,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, file_ids: in
     """Encodes doc_id, text in ascending doc_id order; gives the stored table of files: part, seq, n_docs, n_ids, image. path: of the tokenizer's file on the driver."""
     with open(path or public_tokenizers.path(TOKENIZER), "rb") as f:
         data = f.read()
-    order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(order.mapInArrow(lean(file_writer(data, end, file_ids)), "part long, seq long, n_docs long, n_ids long, image binary"), "tokens")
 
 
@@ -269,10 +270,11 @@ def file_reader(with_ids: bool):
 
 def read_back(files: DataFrame, with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, start (ids before it in all files), n_tokens, ids_crc32 and, if wanted, the ids, decoded from the files."""
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    # One short row for each file of a million ids.
-    bases = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    placed = files.select("part", "seq", "image").join(F.broadcast(bases), ["part", "seq"])
+    so_far = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a part, so at most as many as the session has shuffle partitions; then the files of each part on their own.
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", so_far(Window.orderBy("part")).alias("part_base"))
+    bases = files.select("part", "seq", so_far(Window.partitionBy("part").orderBy("seq")).alias("in_part")).join(F.broadcast(parts), "part")
+    placed = files.select("part", "seq", "image").join(bases.select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base")), ["part", "seq"])
     return placed.select("image", "base").mapInArrow(lean(file_reader(with_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 

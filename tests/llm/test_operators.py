@@ -184,6 +184,8 @@ def test_toxicity_edges(spark, documents):
     m = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     got = toxicity.score(docs, m)
     assert got.count() == 4 and got.agg(F.max("toxicity")).first()[0] < 0.01
+    few = toxicity.labelled_sample(documents([(i, "x" * 10) for i in range(50)]), spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int"), 20, 75)
+    assert few.count() == 7
     one = toxicity.train(documents([(1, "a"), (2, "b")]), spark.createDataFrame([(1, 1), (2, 1), (3, None)], "doc_id long, toxic int"))
     assert one.score("a")[0] > 0.99
     assert toxicity.score(documents([]), m).count() == 0
@@ -319,7 +321,6 @@ def test_variable_length_round_trip(values):
 
 def test_token_files(spark, tables, documents, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path(tokenfiles.TOKENIZER))
-    t.encode_special_tokens = True
     rows = [*corpus(7, 80), (3000, "again"), (3000, "again"), (None, "no id")]
     random.Random(1).shuffle(rows)
     docs = documents(rows)
@@ -340,6 +341,15 @@ def test_token_files(spark, tables, documents, tmp_path):
     assert tokenfiles.op6_token_files(spark, tables(documents=documents([]))).count() == 0
 
 
+def test_token_files_order_rows_of_one_doc_id_by_text(spark, documents):
+    rows = [(5, f"text {i}") for i in range(40)] + [(5, None), (5, ""), (4, "z")]
+    want = [crc for _, crc in sorted(((d, t is not None, t or ""), t) for d, t in rows)]
+    t = Tokenizer.from_file(public_tokenizers.path(tokenfiles.TOKENIZER))
+    for parts in (1, 7):
+        got = sorted(tokenfiles.read_back(tokenfiles.write(documents(rows).repartition(parts))).collect(), key=lambda r: r["start"])
+        assert [r["ids"] for r in got] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in want]
+
+
 def test_token_files_with_added_tokens_in_texts(spark, tables, documents):
     t = Tokenizer.from_file(public_tokenizers.path(tokenfiles.TOKENIZER))
     texts = ["one <|endoftext|> two", "plain words", "<|endoftext|>", "a<|endoftext|><|endoftext|>b 日本", "<|endoftext", None, "after"]

@@ -7,7 +7,7 @@ explain the documents' labels, and then single out the sentences to blame.
 A word's features are the word itself, its beginnings of 3 to 9 letters and its endings of 3 to 6, so that unseen forms
 of a known family still count. Features come from the training sample's documents: those whose counts tell most (by the
 log-likelihood ratio) about the label, at most ``max_features``; the sample is at most ``sample_rows`` labelled rows,
-picked by a hash of their id.
+picked by a hash of their id, and their texts take at most ``sample_bytes``.
 
 Defined results: a null text counts as empty; an empty text has one empty sentence, so its score is that of the bias;
 without labelled rows of both kinds every score is the prior (0 without any label); repeated rows are scored alike;
@@ -24,12 +24,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import aside, crc_rest, lean, read, sliced
+from quire.llm.common import aside, crc_rest, lean, read, sliced, stored
 
 SAMPLE_ROWS = 16_000
+#: And bytes of their texts: the sample ends before the row that would exceed them.
+SAMPLE_BYTES = 256 << 20
 MAX_FEATURES = 2_048
 MIN_DOCS = 3
 #: Nats by which a feature has to raise the likelihood of the labels; below it lies what chance brings about among a million features.
@@ -96,12 +98,17 @@ class NoisyOr:
         return self.together(z), [(a, b, float(1 / (1 + np.exp(-x)))) for a, b, x in got if x >= least]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """toxic and text of at most `rows` labelled training documents; the choice hangs on doc_id alone."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """toxic and text of at most `rows` labelled training documents of at most `most_bytes` in all, written once; they are taken in an order that hangs on doc_id alone."""
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_rest("doc_id", SPLIT) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` pairs of numbers: a proven bound.
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("_toxic", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "_toxic", F.coalesce("text", F.lit("")).alias("text"))
+    found = stored(found.withColumn("_size", F.octet_length("text").cast("long")), "sample")
+    # A doc_id's rows go together; one short row for each of at most `rows` ids.
+    so_far = F.sum("_size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = found.groupBy("doc_id").agg(F.sum("_size").alias("_size")).select("doc_id", so_far.alias("_so_far")).where(F.col("_so_far") <= most_bytes)
+    return found.join(F.broadcast(fits), "doc_id").select("_toxic", "text")
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +191,13 @@ def fit_noisy_or(labels: np.ndarray, counts: np.ndarray, pairs: list[np.ndarray]
     return float(x[-1]), x[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES) -> NoisyOr:
-    sample = labelled_sample(docs, labels, sample_rows)
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, sample_bytes: int = SAMPLE_BYTES) -> NoisyOr:
+    sample = labelled_sample(docs, labels, sample_rows, sample_bytes)
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         return NoisyOr(-60.0 if not toxic else 60.0, {})
     names = informative(sample, n, toxic, max_features)
-    # Bounded by the sample's rows: the hits of the chosen features alone come to the driver.
+    # Bounded by the sample's rows and bytes: the hits of the chosen features alone come to the driver.
     rows = sample.mapInArrow(lean(bags(names)), "toxic long, sentences long, pairs binary").toArrow()
     pairs = [np.frombuffer(p, np.int32).reshape(-1, 2) for p in rows["pairs"].to_pylist()]
     bias, weights = fit_noisy_or(rows["toxic"].to_numpy(), rows["sentences"].to_numpy(), pairs, len(names))

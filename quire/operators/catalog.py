@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def record_hash(*columns: str) -> Column:
-    """SHA-256 of the columns in a fixed textual form; null and '' differ."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns)), 256)
+    """SHA-256 of the columns, each with its length before it, so that no two rows share a form; null and '' differ."""
+    of = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    return F.sha2(F.concat(*(F.coalesce(of(F.col(c).cast("string")), F.lit("~")) for c in columns)), 256)
 
 
 def diff(new: DataFrame, old: DataFrame, key: str, columns: list[str]) -> DataFrame:

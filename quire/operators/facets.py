@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.ascii import ascii_folded
+
 WORDS = "[^a-z0-9]+"
 
 
@@ -18,7 +20,7 @@ def fold(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The distinct ASCII words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), WORDS), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(ascii_folded(c)), WORDS), lambda w: w != ""))
 
 
 def with_tags(items: DataFrame, tags: DataFrame, required: dict[str, list[str]] | None = None, excluded: dict[str, list[str]] | None = None) -> DataFrame:

@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import params
+from quire.functions.ascii import ascii_folded
 
 FIRST = ["m1", "m2"]
+# What is trimmed off a heading.
+EDGES = r"[\s.,:;|*–—-]"
 
 
 def folded_key(name: Column) -> Column:
-    """Lower-case ASCII key: edge punctuation off, one leading article off, possessives joined, letters and digits only."""
-    text = F.lower(F.regexp_replace(name, r"^[\s\p{Punct}]+|[\s\p{Punct}]+$", ""))
+    """Lower-case ASCII key: edge punctuation off, letters without their marks, one leading article off, possessives joined, letters and digits only."""
+    text = F.lower(ascii_folded(F.regexp_replace(name, f"^{EDGES}+|{EDGES}+$", "")))
     text = F.regexp_replace(text, "^(" + "|".join(params.ARTICLES) + r")\s+", "")
     return F.regexp_replace(F.regexp_replace(text, r"['’]s\b", "s"), "[^a-z0-9]+", "")
 

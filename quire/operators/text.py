@@ -12,9 +12,11 @@ from pyspark.sql.types import StringType
 
 from quire import params
 
+# Characters that results depend on.
 #: Control characters (but tab and line ends), soft hyphen, zero-width characters, byte order mark.
-INVISIBLE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\u00AD\\u200B-\\u200F\\u2060\\uFEFF]"
+INVISIBLE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\u00AD\\u200B-\\u200D\\uFEFF]"
 UNICODE_SPACES = "[\\u00A0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000]"
+ROMAN_PARTS = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
 ROMAN = "^(?i)m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 
 
@@ -38,12 +40,12 @@ def visible(c: Column) -> Column:
 
 
 def plain_spaces(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\\r\\n?", "\n"), UNICODE_SPACES, " "), "[\\u2028\\u2029]", "\n")
+    return F.regexp_replace(F.regexp_replace(c, "\\r\\n?", "\n"), UNICODE_SPACES, " ")
 
 
 def hyphens_joined(c: Column) -> Column:
     """A word cut at a line's end by a hyphen, between lower-case letters alone."""
-    return F.regexp_replace(c, "(\\p{Ll})-\\n(\\p{Ll})", "$1$2")
+    return F.regexp_replace(c, "(\\p{Ll})-[ \\t]*\\n[ \\t]*(\\p{Ll})", "$1$2")
 
 
 def collapsed(c: Column) -> Column:
@@ -52,9 +54,17 @@ def collapsed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "\\n{3,}", "\n\n"), "^[ \\n]+|[ \\n]+$", "")
 
 
-def normalized(c: Column, compose: bool = True) -> Column:
-    """The whole chain, but for the printed label (`lifted`), which goes before the hyphens."""
-    return collapsed(hyphens_joined(plain_spaces(visible(ligatures(composed(c) if compose else c)))))
+def prepared(c: Column) -> Column:
+    return plain_spaces(visible(ligatures(composed(c))))
+
+
+def normalized_page(c: Column) -> Column:
+    """The whole chain: struct(text, label)."""
+    return let(without_label(prepared(c)), lambda p: F.struct(collapsed(hyphens_joined(p["text"])).alias("text"), p["label"].alias("label")))
+
+
+def normalized(c: Column) -> Column:
+    return normalized_page(c)["text"]
 
 
 def roman_value(c: Column) -> Column:
@@ -65,25 +75,69 @@ def roman_value(c: Column) -> Column:
     return F.when((F.length(c).between(1, 7)) & c.rlike(ROMAN), total)
 
 
-def label(c: Column) -> Column:
-    """A page's printed number: the first or else the last populated line, if it is a bare number of 1 to 4 digits or a roman numeral, or a number beside a head that is mostly capitals."""
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.coalesce(*(edge_label(F.try_element_at(lines, F.lit(k))) for k in (1, -1)))
+def roman(number: Column) -> Column:
+    """The roman numeral of a positive number, '' for others."""
+    left, out = F.greatest(number, F.lit(0)), []
+    for value, letters in ROMAN_PARTS:
+        out.append(F.repeat(F.lit(letters), F.floor(left / value).cast("int")))
+        left = left % value
+    return F.concat(*out)
+
+
+#: A line that is a page number alone: digits or roman letters, between dashes or in brackets if at all.
+BARE_LABEL = "^[\\[(]?\\s*[-—–]?\\s*(\\d{1,4}|[ivxlcdm]{1,7}|[IVXLCDM]{1,7})\\s*[-—–]?\\s*[\\])]?$"
+NUMBER_FIRST, NUMBER_LAST = "^(\\d{1,4})\\s+(\\S.*)$", "^(.*\\S)\\s+(\\d{1,4})$"
+
+
+def running_head(c: Column) -> Column:
+    """At least three letters, six of ten in capitals."""
+    letters = F.length(F.regexp_replace(c, "[^\\p{L}]", ""))
+    return (letters >= 3) & (F.length(F.regexp_replace(c, "[^\\p{Lu}]", "")) / letters >= 0.6)
+
+
+def edge_line(line: Column) -> Column:
+    """A trimmed edge line as struct(kept, label): a page number goes, beside a running head it is lifted out."""
+    bare = F.regexp_extract(line, BARE_LABEL, 1)
+    first, last = (line.rlike(p) & running_head(F.regexp_extract(line, p, g)) for p, g in ((NUMBER_FIRST, 2), (NUMBER_LAST, 1)))
+    kept = F.when(bare != "", "").when(first, F.regexp_extract(line, NUMBER_FIRST, 2)).when(last, F.regexp_extract(line, NUMBER_LAST, 1)).otherwise(line)
+    label = F.when(bare != "", bare).when(first, F.regexp_extract(line, NUMBER_FIRST, 1)).when(last, F.regexp_extract(line, NUMBER_LAST, 2))
+    return F.struct(kept.alias("kept"), label.alias("label"))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def without_label(c: Column) -> Column:
+    """struct(text, label): the first and the last populated line without their page numbers, the first of which is the page's label."""
+
+    def placed(lines: Column) -> Column:
+        bare = F.transform(lines, lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
+        return F.struct(lines.alias("lines"), bare.alias("bare"))
 
+    def found(x: Column) -> Column:
+        populated = F.transform(x["bare"], lambda v: v != "")
+        last = F.size(x["bare"]) + 1 - F.array_position(F.reverse(populated), True)
+        return F.struct(x["lines"].alias("lines"), x["bare"].alias("bare"), F.array_position(populated, True).cast("int").alias("first"), last.cast("int").alias("last"))
 
-def edge_label(line: Column) -> Column:
-    bare = F.when(line.rlike("^\\d{1,4}$") | roman_value(line).isNotNull(), line)
-    number = F.coalesce(*(F.when(F.regexp_extract(line, p, 1) != "", F.regexp_extract(line, p, 1)) for p in ("^(\\d{1,4})\\s+\\D+$", "^\\D+\\s+(\\d{1,4})$")))
-    letters = F.greatest(F.length(F.regexp_replace(line, "[^\\p{L}]", "")), F.lit(1))
-    shouted = F.length(F.regexp_replace(line, "[^\\p{Lu}]", "")) / letters >= 0.6
-    return F.coalesce(bare, F.when(shouted, number))
+    def edges(x: Column) -> Column:
+        top, bottom = (let(F.get(x["bare"], x[k] - 1), edge_line) for k in ("first", "last"))
+        return F.struct(x["lines"].alias("lines"), x["first"].alias("first"), x["last"].alias("last"), top.alias("top"), bottom.alias("bottom"))
+
+    def joined(x: Column) -> Column:
+        kept = F.transform(x["lines"], lambda v, i: F.when(x["first"] == 0, v).when(i + 1 == x["first"], x["top"]["kept"]).when(i + 1 == x["last"], x["bottom"]["kept"]).otherwise(v))
+        return F.struct(F.array_join(kept, "\n").alias("text"), F.when(x["first"] > 0, F.coalesce(x["top"]["label"], x["bottom"]["label"])).alias("label"))
+
+    return let(let(let(let(F.split(c, "\n"), placed), found), edges), joined)
+
+
+def label(c: Column) -> Column:
+    return without_label(c)["label"]
 
 
 def lifted(c: Column) -> Column:
-    """The text without the labels on its first and last populated lines; a head beside a number stays."""
-    out = F.regexp_replace(c, "^(\\s*)(\\d{1,4})[ \\t]*(\\n|$)", "$1$3")
-    out = F.regexp_replace(out, "(^|\\n)[ \\t]*\\d{1,4}(\\s*)$", "$1$2")
-    return out
+    return without_label(c)["text"]
 
 
 def word_count(c: Column) -> Column:
@@ -106,32 +160,35 @@ def words_of(c: Column) -> Column:
     return F.filter(stripped, lambda w: w.rlike("\\p{L}"))
 
 
-VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœ"
+VOWELS = params.VOWELS
 
 
 def plausible_part(w: Column) -> Column:
-    n = F.length(w)
-    vowels = F.length(F.regexp_replace(F.lower(w), f"[^{VOWELS}]", ""))
-    shape = w.rlike("^(\\p{Ll}+|\\p{Lu}+|\\p{Lu}\\p{Ll}+)$")
-    ratio = vowels / n
-    return (roman_value(w).isNotNull()) | (shape & ((n < 3) | (vowels > 0)) & ((n < 4) | ratio.between(0.10, 0.80)) & ~F.lower(w).rlike(f"[^{VOWELS}]{{6,}}"))
+    """A capital roman numeral, or a word in one case (or capitalised) with a usual share of vowels and no long run without one."""
+    n, low = F.length(w), F.lower(w)
+    vowels = n - F.length(F.translate(low, VOWELS, ""))
+    balanced = ((n < 3) | (vowels > 0)) & ((n < 4) | (vowels / n).between(0.10, 0.80)) & ~low.rlike(f"[^{VOWELS}]{{6}}")
+    return w.rlike("^[IVXLCDM]+$") | (w.rlike("^(\\p{Ll}+|\\p{Lu}+|\\p{Lu}\\p{Ll}*)$") & balanced)
 
 
 def plausible(w: Column) -> Column:
     parts = F.filter(F.split(w, "['’‘-]"), lambda p: p != "")
-    return (F.length(w) <= 22) & ~w.rlike("\\p{L}\\p{N}|\\p{N}\\p{L}") & F.forall(parts, plausible_part)
+    return (F.length(w) <= 22) & ~w.rlike("\\p{N}") & let(parts, lambda x: (F.size(x) > 0) & F.forall(x, plausible_part))
 
 
 def quality(c: Column) -> Column:
     """0.6 of the share of plausible words, 0.2 of letters among what is not blank, 0.2 of how usual the words' mean length is; null below 8 words."""
-    words = words_of(c)
-    n = F.size(words)
-    share = F.size(F.filter(words, plausible)) / n
     solid = F.greatest(F.length(F.regexp_replace(c, "\\s", "")), F.lit(1))
     alpha = F.least(F.lit(1.0), F.length(F.regexp_replace(c, "[^\\p{L}]", "")) / solid / 0.85)
-    mean = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n
-    fit = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.abs(mean - 4.7) / 4))
-    return F.when(n >= 8, F.round(0.6 * share + 0.2 * alpha + 0.2 * fit, 4))
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        share = F.size(F.filter(words, plausible)) / n
+        mean = F.length(F.array_join(words, "")) / n
+        fit = F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.abs(mean - 4.7) / 4))
+        return F.when(n >= 8, F.round(0.6 * share + 0.2 * alpha + 0.2 * fit, 4))
+
+    return let(words_of(c), of)
 
 
 def passes(score: Column, least: float = params.QUALITY_MIN_SCORE) -> Column:
@@ -162,6 +219,12 @@ def stale(candidates: DataFrame, version: int) -> DataFrame:
     return candidates.where(F.col("raw").isNotNull() & (F.col("version") < version))
 
 
+def renormalized(candidates: DataFrame, version: int) -> DataFrame:
+    """The stale candidates' raw texts normalized anew, with the label that was lifted; what is promoted from them follows by `promoted`."""
+    old = stale(candidates, version).withColumn("_page", normalized_page(F.col("raw")))
+    return old.select("page", F.col("_page.text").alias("text"), F.col("_page.label").alias("label"), F.lit(version).alias("version"))
+
+
 def needs_ocr(pages: DataFrame, mode: str) -> DataFrame:
     """All pages, or those without text, with little of it, or of low quality."""
     if mode == "ocr_all":
@@ -190,40 +253,59 @@ def sampled(pages: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def line_share(lines: Column, pattern: str) -> Column:
-    return F.round(F.size(F.filter(lines, lambda x: x.rlike(pattern))) / F.greatest(F.size(lines), F.lit(1)), 4)
+    return F.size(F.filter(lines, lambda x: x.rlike(pattern))) / F.greatest(F.size(lines), F.lit(1))
 
 
 def signals(c: Column) -> Column:
-    """Shares of lines with dot leaders, with a number at the end, and with an inverted entry."""
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """What a kind rests on: shares of populated lines with dot leaders, with a number at the end, and with an inverted entry; lines; characters; the share of letters."""
+    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
+    chars = F.length(F.trim(c))
     return F.struct(
-        line_share(lines, "\\.{3,}|(\\. ){3,}").alias("dot_leaders"), line_share(lines, "[0-9]{1,4}\\z").alias("trailing_numbers"), line_share(lines, "^\\p{Lu}[^,]{1,30}, [^,]{1,30}").alias("inverted"), F.size(lines).alias("lines")
+        line_share(lines, "\\.{3,}|(?:\\.\\s){3,}").alias("dot_leaders"),
+        line_share(lines, "\\d+\\s*$").alias("trailing_numbers"),
+        line_share(lines, "^[^,\\n]{1,30},\\s").alias("inverted"),
+        F.size(lines).alias("lines"),
+        chars.alias("chars"),
+        F.when(chars > 0, F.length(F.regexp_replace(c, "[^\\p{L}]", "")) / chars).otherwise(0.0).alias("letters"),
     )
 
 
-MEASURE = "(?i)\\b(oz|ounces?|dash(es)?|spoons?|spoonfuls?|wineglass(es)?|glass(es)?|pint|quart|gill|jigger|cl|ml)\\b"
+# The words by which kinds are told apart.
+MEASURE = "(?i)(\\d+/\\d+|[½¼¾⅓⅔⅛]|\\b(dash(es)?|jigger|pony|gill|spoonful|teaspoonful|tablespoonful|wine-?glass|liqueur-?glass|pieces?|lumps?|drops?|slices?|parts?|oz|ounces?|dessert-?spoonful)\\b)"
+VERBS = "(?i)\\b(shake|strain|stir|fill|pour|frappe|frappé|serve|mix|float|dress|garnish|sweeten|grate|squeeze)\\b"
+ADVERTS = "(?i)\\b(post free|postage|crown 8vo|8vo|12mo|i2mo|uniform with|all booksellers|catalogue|new edition|sent on receipt|paper cover|gold cloth|cents per copy|for sale by|published by|printed by)\\b"
+FRONT = "(?i)\\b(copyright|all rights reserved|entered according to act of congress|library of congress|preface|dedication|contents|printed in)\\b"
+PRICED = "(?i)(\\$|£)\\s*\\d|\\b\\d+\\s*(cents?|shillings?|d\\.|s\\.)\\s*$|\\b(8vo|12mo|i2mo)\\b"
+
+
+def index_like(s: Column) -> Column:
+    return (s["dot_leaders"] >= 0.4) | (s["trailing_numbers"] >= 0.7) | ((s["trailing_numbers"] >= 0.5) & (s["inverted"] >= 0.3))
 
 
-def chunk_kind(c: Column, score: Column) -> Column:
-    """The first of: noise, index, recipe list, recipe, advertisement, low quality, prose, unknown."""
+def chunk_kind(c: Column, score: Column, headings: Column, place: Column, english: Column) -> Column:
+    """struct(kind, reason): the first rule that applies.
+
+    headings: recipe headings in the chunk, null where there is no heading at all; place: 'before' or 'after' the body, or 'body'.
+    """
     s = signals(c)
-    measures = F.regexp_count(c, F.lit(MEASURE))
-    numbered = F.regexp_count(c, F.lit("(?m)^[0-9]{1,3}\\. \\p{Lu}"))
-    priced = F.regexp_count(c, F.lit("(?m)[$£] ?[0-9]"))
-    ends = F.regexp_count(c, F.lit("[.!?](\\s|$)"))
-    index = (s["dot_leaders"] >= 0.4) | (s["trailing_numbers"] >= 0.7) | ((s["trailing_numbers"] >= 0.5) & (s["inverted"] >= 0.3))
+    text = F.trim(c)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    advert = english & text.rlike(ADVERTS) & (F.size(lines) >= 3) & (F.size(F.filter(lines, lambda x: x.rlike(PRICED))) >= 2)
     low = F.coalesce(score < params.NOISE_BELOW, F.lit(False))
-    return (
-        F.when(F.length(F.regexp_replace(c, "[^\\p{L}]", "")) < 12, "noise")
-        .when(index, "index")
-        .when((numbered >= 3) & (measures >= 3), "recipe_list")
-        .when(measures >= 2, "recipe")
-        .when((s["lines"] >= 3) & (priced >= 2), "advertisement")
-        .when(low & (F.length(c) < 40), "noise")
-        .when(low, "unknown")
-        .when(ends >= 2, "prose")
-        .otherwise("unknown")
-    )
+    rules = [
+        ((s["chars"] < 12) & (s["letters"] < 0.10), F.lit("noise"), "artefact"),
+        (index_like(s), F.when(place == "before", "table_of_contents").otherwise("index"), "index_entries"),
+        (headings.isNotNull() & (text.rlike(MEASURE) | text.rlike(VERBS)), F.when(headings >= 3, "recipe_list").otherwise("recipe"), "heading_and_measures"),
+        (advert, F.lit("advertisement"), "keyword_and_structure"),
+        ((place == "before") & english & text.rlike(FRONT), F.lit("front_matter"), "before_body"),
+        (place == "after", F.lit("back_matter"), "after_body"),
+        (low, F.when(s["chars"] < 40, "noise").otherwise("unknown"), "low_quality"),
+        (F.regexp_count(text, F.lit("[.!?]\\s")) >= 2, F.lit("prose"), "sentences"),
+    ]
+    out = F.struct(F.lit("unknown").alias("kind"), F.lit("unmatched").alias("reason"))
+    for applies, kind, reason in reversed(rules):
+        out = F.when(F.coalesce(applies, F.lit(False)), F.struct(kind.alias("kind"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
 
 
 def indexable(kind: Column) -> Column:

@@ -18,7 +18,8 @@ HEADINGS_PER_PAGE, NOISE_BELOW, SERIES_MIN_RUN, EXTRAPOLATE_PAGES = 1.5, 0.70, 2
 EDGE_SHARE, MERGE_GAP = 0.15, 3
 EMBED_BATCH = 32
 IDLE_MINUTES, LAST_MESSAGES = 120, 12
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ꝏ": "oo"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ſ": "s"}
+VOWELS = "aeiouyàáâãäåèéêëìíîïòóôõöùúûüýÿæœ"
 ARTICLES = ("the", "a", "an", "le", "la", "el", "les", "los", "las")
 RANKINGS = ("books", "mentions", "earliest", "latest")
 

@@ -14,30 +14,31 @@ COLUMNS = ["name", "size"]
 
 def new_parts(spark, sf):
     k = F.col("p_partkey")
-    return read(spark, sf, "part").where(k % 7 != 0).select(k.alias("id"), F.col("p_name").alias("name"), F.when(k % 13 != 0, F.col("p_size")).alias("size"))
+    return read(spark, sf, "part").select(F.when(k % 7 != 0, k).otherwise(-k).alias("id"), F.col("p_name").alias("name"), F.when(k % 13 != 0, F.col("p_size")).alias("size"))
 
 
 def old_parts(spark, sf):
     k = F.col("p_partkey")
-    return read(spark, sf, "part").where(k % 5 != 0).select(k.alias("id"), F.col("p_name").alias("name"), F.when(k % 26 != 0, F.col("p_size") + F.when(k % 11 == 0, 1).otherwise(0)).alias("size"))
+    return read(spark, sf, "part").select(F.when(k % 5 != 0, k).otherwise(-3 * k).alias("id"), F.col("p_name").alias("name"), F.when(k % 26 != 0, F.col("p_size") + F.when(k % 11 == 0, 1).otherwise(0)).alias("size"))
 
 
-DIFF = """a AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 13 <> 0 THEN p_size END AS size FROM part WHERE p_partkey % 7 <> 0),
-b AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 26 <> 0 THEN p_size + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END END AS size FROM part WHERE p_partkey % 5 <> 0),
+DIFF = """a AS (SELECT CASE WHEN p_partkey % 7 <> 0 THEN p_partkey ELSE -p_partkey END AS id, p_name AS name, CASE WHEN p_partkey % 13 <> 0 THEN p_size END AS size FROM part),
+b AS (SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_partkey ELSE -3 * p_partkey END AS id, p_name AS name, CASE WHEN p_partkey % 26 <> 0 THEN p_size + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END END AS size FROM part),
 d AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'created' WHEN a.id IS NULL THEN 'deleted' WHEN a.name IS NOT DISTINCT FROM b.name AND a.size IS NOT DISTINCT FROM b.size THEN 'unchanged' ELSE 'updated' END AS status FROM a FULL JOIN b ON a.id = b.id)"""
 query("import_diff", f"WITH {DIFF} SELECT * FROM d")(lambda spark, sf: c.diff(new_parts(spark, sf), old_parts(spark, sf), "id", COLUMNS))
 query("import_counts", f"WITH {DIFF} SELECT s AS status, (SELECT count(*) FROM d WHERE d.status = v.s)::BIGINT AS n FROM (VALUES ('created'), ('updated'), ('unchanged'), ('deleted')) v(s)")(
     lambda spark, sf: c.changes(new_parts(spark, sf), old_parts(spark, sf), "id", COLUMNS)
 )
-query("import_again", "SELECT s AS status, CASE WHEN s = 'unchanged' THEN (SELECT count(*) FROM part WHERE p_partkey % 7 <> 0) ELSE 0 END::BIGINT AS n FROM (VALUES ('created'), ('updated'), ('unchanged'), ('deleted')) v(s)")(
+query("import_again", "SELECT s AS status, CASE WHEN s = 'unchanged' THEN (SELECT count(*) FROM part) ELSE 0 END::BIGINT AS n FROM (VALUES ('created'), ('updated'), ('unchanged'), ('deleted')) v(s)")(
     lambda spark, sf: c.changes(new_parts(spark, sf), new_parts(spark, sf), "id", COLUMNS)
 )
 
 
-@query("record_hash", "SELECT c_custkey, sha256('=' || c_name || '|' || CASE WHEN c_custkey % 3 = 0 THEN '~' ELSE '=' || c_mktsegment END || '|=' || c_nationkey) AS hash FROM customer")
+@query("record_hash", "SELECT c_custkey, sha256(length(n) || ':' || n || coalesce(length(s) || ':' || s, '~') || length(c_nationkey::VARCHAR) || ':' || c_nationkey) AS hash FROM (SELECT *, c_name || CASE WHEN c_custkey % 2 = 0 THEN '|=1:' ELSE '~' END AS n, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_mktsegment END AS s FROM customer)")
 def record_hash(spark, sf):
-    d = read(spark, sf, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("s"), "c_nationkey")
-    return d.select("c_custkey", c.record_hash("c_name", "s", "c_nationkey").alias("hash"))
+    k = F.col("c_custkey")
+    n, segment = F.concat("c_name", F.when(k % 2 == 0, "|=1:").otherwise("~")), F.when(k % 3 == 1, "").when(k % 3 == 2, F.col("c_mktsegment"))
+    return read(spark, sf, "customer").select("c_custkey", n.alias("n"), segment.alias("s"), "c_nationkey").select("c_custkey", c.record_hash("n", "s", "c_nationkey").alias("hash"))
 
 
 @query("referential_check", "SELECT DISTINCT l_suppkey + CASE WHEN l_suppkey % 17 = 0 THEN 1000000 ELSE 0 END AS supplier FROM lineitem WHERE l_suppkey % 17 = 0")
@@ -94,12 +95,13 @@ def catalog_overrides(spark, sf):
     return c.overridden(p, o, "p_partkey", ["p_name", "p_brand"])
 
 
-@query("file_register", "SELECT 'f' || p_partkey AS name, CASE WHEN p_partkey % 9 = 0 THEN 'missing' WHEN p_partkey % 4 = 0 THEN 'new' WHEN p_partkey % 5 <> 0 THEN 'unchanged' WHEN p_partkey % 10 = 0 THEN 'changed' ELSE 'touched' END AS status FROM part WHERE p_partkey % 36 <> 0")
+@query("file_register", "WITH f AS (SELECT *, CASE WHEN p_partkey % 9 = 0 THEN 'g' ELSE 'f' END || p_partkey AS a, CASE WHEN p_partkey % 4 = 0 THEN 'h' ELSE 'f' END || p_partkey AS b FROM part) SELECT a AS name, CASE WHEN a <> b THEN 'new' WHEN p_partkey % 5 <> 0 THEN 'unchanged' WHEN p_partkey % 10 = 0 THEN 'changed' ELSE 'touched' END AS status FROM f UNION ALL SELECT b, 'missing' FROM f WHERE a <> b")
 def file_register(spark, sf):
     k = F.col("p_partkey")
-    base = read(spark, sf, "part").select(F.concat(F.lit("f"), k.cast("string")).alias("name"), F.col("p_size").alias("size"), k.alias("modified"), F.sha2("p_name", 256).alias("checksum"), k)
-    found = base.where(k % 9 != 0).withColumns({"modified": k + F.when(k % 5 == 0, 1).otherwise(0), "checksum": F.when(k % 10 == 0, "x").otherwise(F.col("checksum"))})
-    return c.registered(found.drop("p_partkey"), base.where(k % 4 != 0).drop("p_partkey"))
+    named = lambda other, rest: F.concat(F.when(rest, other).otherwise("f"), k.cast("string"))
+    base = read(spark, sf, "part").select(F.lit("").alias("name"), F.col("p_size").alias("size"), k.alias("modified"), F.sha2("p_name", 256).alias("checksum"), k)
+    found = base.withColumns({"name": named("g", k % 9 == 0), "modified": k + F.when(k % 5 == 0, 1).otherwise(0), "checksum": F.when(k % 10 == 0, "x").otherwise(F.col("checksum"))})
+    return c.registered(found.drop("p_partkey"), base.withColumn("name", named("h", k % 4 == 0)).drop("p_partkey"))
 
 
 @query("book_status", """WITH p AS (SELECT source, count(*)::BIGINT AS pages, count(*) FILTER (trim(text, ' ') <> '')::BIGINT AS populated, round(avg(CASE WHEN doc_id % 3 <> 0 THEN doc_id % 10 / 10.0 END), 4)::DOUBLE AS quality FROM documents GROUP BY source),

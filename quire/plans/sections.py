@@ -28,12 +28,12 @@ def section_kinds(spark, sf):
     return s.classified(h, h.select("book").distinct().withColumn("title", F.lit("blue anvi")))
 
 
-PIECES = "p AS (SELECT l_suppkey AS book, l_returnflag AS head, l_orderkey % 3000 AS page_from, l_orderkey % 3000 + l_linenumber AS page_to, 1::BIGINT AS times FROM lineitem WHERE l_orderkey % 5 = 0)"
+PIECES = "p AS (SELECT l_suppkey AS book, l_returnflag AS head, l_orderkey * 31 % 40000 AS page_from, l_orderkey * 31 % 40000 + l_linenumber AS page_to, 1::BIGINT AS times FROM lineitem)"
 
 
 def sections(spark, sf):
     k = F.col("l_orderkey")
-    return read(spark, sf, "lineitem").where(k % 5 == 0).select(F.col("l_suppkey").alias("book"), F.col("l_returnflag").alias("head"), (k % 3000).alias("page_from"), (k % 3000 + F.col("l_linenumber")).alias("page_to"), F.lit(1).cast("long").alias("times"))
+    return read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("book"), F.col("l_returnflag").alias("head"), (k * 31 % 40000).alias("page_from"), (k * 31 % 40000 + F.col("l_linenumber")).alias("page_to"), F.lit(1).cast("long").alias("times"))
 
 
 MERGED = f"""{PIECES}, r AS (SELECT *, max(page_to) OVER (PARTITION BY book, head ORDER BY page_from, page_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
@@ -46,12 +46,12 @@ def section_merge(spark, sf):
     return s.merged(sections(spark, sf))
 
 
-PAGES = "g AS (SELECT s_suppkey AS book, k AS page FROM supplier, range(0, 3000, 97) r(k))"
+PAGES = "g AS (SELECT s_suppkey AS book, k AS page FROM supplier, range(0, 40000, 997) r(k))"
 SEQ = "q AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_from, head, page_to) AS sequence FROM m)"
 
 
 def pages(spark, sf):
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("book"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2999).cast("long"), F.lit(97).cast("long"))).alias("page"))
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("book"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39999).cast("long"), F.lit(997).cast("long"))).alias("page"))
 
 
 def sequenced(spark, sf):

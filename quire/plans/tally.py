@@ -160,8 +160,8 @@ def top_entities(spark, sf):
     return tally.aggregate(mentions(spark, sf)).join(entities(spark, sf), "entity").orderBy(*tally.ranking("books")).limit(20).select("name", "entity", "books", "mentions")
 
 
-@query("year_ranges", f"WITH {M}, a AS (SELECT entity, min(year) FILTER (entity % 5 <> 0) AS f, max(year) FILTER (entity % 7 <> 0) AS l FROM m WHERE m1 % 9 = 0 GROUP BY entity) SELECT entity, CASE WHEN f IS NULL AND l IS NULL THEN '' WHEN f IS NULL OR l IS NULL OR f = l THEN coalesce(f, l)::VARCHAR ELSE f::VARCHAR || '–' || l::VARCHAR END AS years FROM a")
+@query("year_ranges", f"WITH {M}, a AS (SELECT entity, min(year) FILTER (entity % 5 <> 0) AS f, max(year) FILTER (entity % 7 <> 0) AS l FROM (SELECT entity, CASE WHEN m1 % 9 <> 0 THEN 1900 + entity % 3 ELSE year END AS year FROM m) GROUP BY entity) SELECT entity, CASE WHEN f IS NULL AND l IS NULL THEN '' WHEN f IS NULL OR l IS NULL OR f = l THEN coalesce(f, l)::VARCHAR ELSE f::VARCHAR || '–' || l::VARCHAR END AS years FROM a")
 def year_ranges(spark, sf):
-    a = mentions(spark, sf).where("m1 % 9 = 0").groupBy("entity").agg(F.min("year").alias("f"), F.max("year").alias("l"))
+    a = mentions(spark, sf).withColumn("year", F.when(F.col("m1") % 9 != 0, 1900 + F.col("entity") % 3).otherwise(F.col("year"))).groupBy("entity").agg(F.min("year").alias("f"), F.max("year").alias("l"))
     a = a.select("entity", F.when(F.col("entity") % 5 != 0, F.col("f")).alias("f"), F.when(F.col("entity") % 7 != 0, F.col("l")).alias("l"))
     return a.select("entity", tally.year_range(F.col("f"), F.col("l")).alias("years"))

@@ -30,7 +30,7 @@ def books(spark: SparkSession, sf: str) -> DataFrame:
 
 M = """m AS (SELECT l_partkey AS entity, l_suppkey AS book, year(l_shipdate) AS year, l_returnflag || l_linestatus AS spelling, l_orderkey AS m1, l_linenumber AS m2,
   CASE WHEN l_linenumber <= 4 THEN 'recipe' ELSE 'prose' END AS kind, CASE WHEN l_returnflag = 'N' THEN 'caps' ELSE l_returnflag END AS family, l_quantity > 49 AS numbered FROM lineitem)"""
-KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(p_name, '^[\s[:punct:]]+|[\s[:punct:]]+$', '', 'g')), '^(the|a|an|le|la|el|les|los|las)\s+', ''), '[''’]s\b', 's', 'g'), '[^a-z0-9]+', '', 'g')"
+KEY = r"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(p_name, '^[\s.,:;|*–—-]+|[\s.,:;|*–—-]+$', '', 'g'))), '^(the|a|an|le|la|el|les|los|las)\s+', ''), '[''’]s\b', 's', 'g'), '[^a-z0-9]+', '', 'g')"
 E = f"e AS (SELECT p_partkey AS entity, p_name AS name, {KEY} AS key FROM part)"
 ORDERS = {
     "books": "books DESC NULLS FIRST, mentions DESC NULLS FIRST, entity",

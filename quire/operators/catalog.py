@@ -48,6 +48,24 @@ def flatten(lists: DataFrame, key: str) -> DataFrame:
     return sections.unionByName(featured).withColumn("position", place).drop("_s", "_m")
 
 
+def flat_tags(categories: DataFrame) -> DataFrame:
+    """categories(label, tags array<struct<label, order>>) as category, label, order."""
+    return categories.select(F.col("label").alias("category"), F.inline("tags"))
+
+
+def with_groups(lists: DataFrame, key: str) -> DataFrame:
+    """lists(key, groups array<struct<heading, members>>, members array) as key, section, member, position: groups where there are any, else the plain members."""
+    plain = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.col("members").alias("members")))
+    grouped = lists.select(key, F.posexplode(F.when(F.size("groups") > 0, F.col("groups")).otherwise(plain)).alias("_g", "g"))
+    each = grouped.select(key, "_g", F.col("g.heading").alias("section"), F.posexplode("g.members").alias("_m", "member"))
+    return each.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("_g", "_m"))).drop("_g", "_m")
+
+
+def missing_files(spark: SparkSession, expected: list[str], present: DataFrame) -> DataFrame:
+    """name: the expected files that are not among present(name)."""
+    return spark.createDataFrame([(n,) for n in expected], "name string").join(present.select("name"), "name", "left_anti")
+
+
 def lines(*parts: Column) -> Column:
     """The parts that say something, one a line, runs of empty lines as one."""
     return F.trim(F.regexp_replace(F.concat_ws("\n", *(F.when(F.trim(p) != "", p) for p in parts)), "\n{3,}", "\n\n"))

@@ -62,6 +62,18 @@ def streams(pages: DataFrame) -> DataFrame:
     return pages.groupBy("book").applyInPandas(run, "book long, stream string, spans array<struct<page:long,start:long,end:long>>")
 
 
+def checksums(assembled: DataFrame) -> DataFrame:
+    """book and the SHA-256 of its stream's bytes: whether chunks were cut from this very stream."""
+    return assembled.select("book", F.sha2(F.encode("stream", "UTF-8"), 256).alias("checksum"))
+
+
+def within_ceilings(chunked: DataFrame) -> DataFrame:
+    """The chunks as they are; one that is too long, or has too many tokens, stops the query."""
+    lost = F.concat(F.lit("chunk "), F.col("chunk").cast("string"), F.lit(" of book "), F.col("book").cast("string"), F.lit(" is over a ceiling"))
+    over = (F.octet_length("text") > params.CHUNK_MAX) | (F.col("tokens") > params.CHUNK_MAX_TOKENS)
+    return chunked.withColumn("text", F.when(over, F.raise_error(lost).cast("string")).otherwise(F.col("text")))
+
+
 def tokens(text: str) -> int:
     words = len(text.split())
     return max(math.ceil(len(text) / params.CHARS_PER_TOKEN), math.ceil(words * 1.4)) + math.ceil(len(re.findall(r"[0-9]+", text)) * 0.5) + math.ceil((len(text) - len(text.encode("ascii", "ignore"))) * 0.4)

@@ -67,6 +67,26 @@ def served(method: Column, served_in: Column, ice: Column, straw: Column, servin
     return F.array_join(F.filter(parts, lambda x: F.coalesce(x != "", F.lit(False))), ", ")
 
 
+def bottles_by_style(lines: Column) -> Column:
+    """'Style: a, b.' for each style of lines (array of struct(style, title) in order) that has one: styles and titles in the order of their first line, each once."""
+    known = F.filter(lines, lambda x: x["style"].isNotNull())
+    styles = F.array_distinct(F.transform(known, lambda x: x["style"]))
+    return F.transform(styles, lambda s: F.concat(s, F.lit(": "), F.array_join(F.array_distinct(F.transform(F.filter(known, lambda x: x["style"] == s), lambda x: x["title"])), ", "), F.lit(".")))
+
+
+def summary(r: dict[str, Column]) -> Column:
+    """What is handed out of a drink: name, description, build, bottles, served, tags, on, notes, url."""
+    how = served(r["method"], r["served_in"], r["ice"], r["straw"], r["servings"])
+    return F.struct(
+        r["title"].alias("name"), r["description"].alias("description"), r["build"].alias("build"), r["bottles"].alias("bottles"), how.alias("served"), r["tags"].alias("tags"), F.array_distinct(r["on"]).alias("on"), r["notes"].alias("notes"), r["url"].alias("url"),
+    )
+
+
+def house_passage(title: Column, subtitle: Column, text: Column) -> Column:
+    """'Title — subtitle', a blank line, the text."""
+    return F.concat(F.concat_ws(" — ", title, some(subtitle)), F.lit("\n\n"), text)
+
+
 def member_name(title: Column, kind: Column) -> Column:
     return F.concat(title, F.when(kind == "path", " flight").when(kind == "collection", " collection").otherwise(""))
 

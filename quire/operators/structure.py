@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import params
+from quire.operators import text
 
 
 def runs(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
@@ -38,6 +39,37 @@ def nearest(points: DataFrame, intervals: DataFrame, group: str, at: str, tolera
     return near.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_g")
 
 
+def numbering(observed: DataFrame, least: int = params.SERIES_MIN_RUN) -> DataFrame:
+    """book, series, script, offset, lower, page_from, page_to: where the printed numbers of observed(book, page, label) run on evenly.
+
+    What is no number and no roman numeral is not read. lower: whether the book has small roman numerals.
+    """
+    label = F.trim("label")
+    arabic, roman = F.when(label.rlike("^[0-9]{1,4}$"), label.cast("int")), text.roman_value(label)
+    read = observed.select("book", "page", F.coalesce(arabic, roman).alias("_number"), F.when(arabic.isNotNull(), "arabic").otherwise("roman").alias("script"), (arabic.isNull() & (label == F.lower(label))).alias("_lower")).where(F.col("_number").isNotNull())
+    read = read.withColumn("_value", F.struct("script", (F.col("_number") - F.col("page")).alias("offset"))).withColumn("_place", F.row_number().over(Window.partitionBy("book").orderBy("page")))
+    found = series(read.withColumnRenamed("_place", "_at"), ["book"], ["page"], "_value", least)
+    place = lambda name, page: read.select("book", F.col("_place").alias(name), F.col("page").cast("long").alias(page))
+    lower = read.groupBy("book").agg(F.bool_or("_lower").alias("lower"))
+    out = found.join(place("first_place", "page_from"), ["book", "first_place"]).join(place("last_place", "page_to"), ["book", "last_place"]).join(lower, "book")
+    return out.select("book", "series", "_value.script", "_value.offset", "lower", "page_from", "page_to")
+
+
+def printed_labels(pages: DataFrame, observed: DataFrame, numbered: DataFrame) -> DataFrame:
+    """book, page, label, estimated of pages(book, page): the number that the series over it implies, or the nearest one within some pages.
+
+    Estimated: beyond the series, or where the page's own label says otherwise.
+    """
+    i = numbered.select("book", "script", "offset", "lower", F.col("page_from").alias("first"), F.col("page_to").alias("last"))
+    near = nearest(pages.select("book", "page").distinct(), i, "book", "page").join(observed.select("book", "page", F.trim("label").alias("_seen")), ["book", "page"], "left")
+    number = F.col("page") + F.col("offset")
+    roman = text.roman(number)
+    label = F.when(number < 1, None).when(F.col("script") == "arabic", number.cast("string")).when(F.col("lower"), F.lower(roman)).otherwise(roman)
+    other = F.col("_seen").isNotNull() & (F.lower("_seen") != F.lower("label"))
+    out = near.withColumn("label", label)
+    return out.select("book", "page", "label", F.when(F.col("label").isNotNull(), (F.col("distance") > 0) | other).alias("estimated"))
+
+
 def overlapping(ranges: DataFrame, spans: DataFrame, group: str) -> DataFrame:
     """Which spans a half-open range touches: ranges(group, id, start, end), spans(group, page, first, last), both non-empty."""
     r = ranges.withColumnRenamed(group, "_g")

@@ -232,13 +232,31 @@ def needs_ocr(pages: DataFrame, mode: str) -> DataFrame:
     return pages.where(F.col("text").isNull() | (F.length("text") < params.QUALITY_MIN_CHARACTERS) | ~passes(F.col("score")))
 
 
-def target_pages(pages: DataFrame, done: DataFrame, first: int | None = None, last: int | None = None, force: bool = False) -> DataFrame:
-    """Pages of a range that are not done yet."""
+def target_pages(pages: DataFrame, done: DataFrame, first: int | None = None, last: int | None = None, force: bool = False, failed: DataFrame | None = None) -> DataFrame:
+    """Pages of a range that are not done yet; all of it by force; with failed(page), only those that failed."""
     if first is not None:
         pages = pages.where(F.col("page") >= first)
     if last is not None:
         pages = pages.where(F.col("page") <= last)
-    return pages if force else pages.join(done.select("page"), "page", "left_anti")
+    if force:
+        return pages
+    if failed is not None:
+        return pages.join(failed.select("page"), "page", "left_semi")
+    return pages.join(done.select("page"), "page", "left_anti")
+
+
+def extraction_rows(raw: DataFrame) -> DataFrame:
+    """raw(page, source, raw, error) as the rows to store: text, label, counts, score and status; an error makes a failed row, not a failed run."""
+    made = raw.withColumn("_page", F.when(F.col("error").isNull(), normalized_page(F.coalesce("raw", F.lit("")))))
+    content = F.col("_page.text")
+    return made.select(
+        "page", "source", "raw", content.alias("text"), F.col("_page.label").alias("label"), F.length(content).alias("chars"), word_count(content).alias("words"), quality(content).alias("score"), F.when(F.col("error").isNull(), "extracted").otherwise("failed").alias("status"), "error"
+    )
+
+
+def page_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key and the number of form-feed separated pages of an extracted text; an empty tail is no page."""
+    return texts.select(key, F.size(F.split(F.regexp_replace(text, "\\f$", ""), "\\f")).alias("pages"))
 
 
 def sampled(pages: DataFrame, group: str, k: int) -> DataFrame:

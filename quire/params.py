@@ -20,6 +20,11 @@ EMBED_BATCH = 32
 IDLE_MINUTES, LAST_MESSAGES = 120, 12
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ſ": "s"}
 VOWELS = "aeiouyàáâãäåèéêëìíîïòóôõöùúûüýÿæœ"
+STOP_HEADINGS = (
+    "punches", "punch", "cocktails", "cocktail", "fizzes", "sours", "cobblers", "juleps", "slings", "toddies", "smashes", "daisies", "flips", "sangarees", "shrubs", "eggnoggs", "noggs", "crustas", "fixes", "rickeys", "coolers", "cups", "wines", "liqueurs",
+    "cordials", "syrups", "bitters", "index", "contents", "appendix", "preface", "introduction", "miscellaneous", "miscellaneousdrinks", "temperancedrinks", "hotdrinks", "summerdrinks", "winterdrinks",
+)
+HEAD_LETTERS, HEAD_CHARS, FUZZY_MIN_KEY = 3, 80, 6
 ARTICLES = ("the", "a", "an", "le", "la", "el", "les", "los", "las")
 RANKINGS = ("books", "mentions", "earliest", "latest")
 

@@ -166,3 +166,21 @@ def set_operations(spark, sf):
 def rollup_report(spark, sf):
     r = read(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
     return r.select(F.coalesce("l_returnflag", F.lit("*")).alias("flag"), F.coalesce("l_linestatus", F.lit("*")).alias("status"), "n", "revenue")
+
+
+@query("flat_tags", "SELECT 'g' || n_regionkey AS category, n_name AS label, n_nationkey::INTEGER AS \"order\" FROM nation")
+def flat_tags(spark, sf):
+    tag = F.struct(F.col("n_name").alias("label"), F.col("n_nationkey").cast("int").alias("order"))
+    return c.flat_tags(read(spark, sf, "nation").groupBy(F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("label")).agg(F.collect_list(tag).alias("tags")))
+
+
+@query("list_groups", "SELECT n_regionkey AS id, CASE WHEN n_regionkey % 2 = 0 THEN 'Group' END AS section, n_name AS member, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)::INTEGER AS position FROM nation")
+def list_groups(spark, sf):
+    n = read(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("id")).agg(F.sort_array(F.collect_list("n_name")).alias("members"))
+    groups = F.when(F.col("id") % 2 == 0, F.array(F.struct(F.lit("Group").alias("heading"), F.col("members").alias("members"))))
+    return c.with_groups(n.withColumn("groups", groups), "id")
+
+
+@query("missing_files", "SELECT * FROM (VALUES ('menus.json')) v(name)")
+def missing_files(spark, sf):
+    return c.missing_files(spark, ["tags.json", "menus.json"], read(spark, sf, "region").select(F.lit("tags.json").alias("name")))

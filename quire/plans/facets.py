@@ -126,3 +126,38 @@ b AS (SELECT item, string_agg(DISTINCT label, '; ' ORDER BY label) AS tags FROM
 SELECT item, title, coalesce(ingredients, '') AS ingredients, coalesce(families, '') AS families, coalesce(tags, '') AS tags, coalesce(lists, '') AS lists FROM items LEFT JOIN a USING (item) LEFT JOIN b USING (item) LEFT JOIN c USING (item)""")
 def item_summaries(spark, sf):
     return facets.summaries(items(spark, sf), tags(spark, sf), uses(spark, sf), ingredients(spark, sf), lists(spark, sf))
+
+
+CATEGORIES = (("base_spirits", "type"), ("styles", "size"), ("origins", "brand"))
+QUESTION = facets.Question(styles=("small", " MEDIUM "), without_base_spirits=("ECONOMY",), with_ingredients=("3",), without_ingredients=("supplier 1",), menu="the 1-urgent", limit=30, categories=CATEGORIES)
+NO_TYPE = "NOT EXISTS (SELECT 1 FROM tags t WHERE t.item = i.item AND lower(category) = 'type' AND lower(label) = 'economy')"
+URGENT = r"EXISTS (SELECT 1 FROM lists l WHERE l.item = i.item AND regexp_replace(regexp_replace(lower(trim(list)), '^the\s+', ''), '\s+(menu|flight|collection)$', '') = '1-urgent')"
+
+
+@query("question_browse", f"WITH {BASE}, {RES} SELECT i.item, i.title, coalesce(n, 0)::BIGINT AS lists FROM items i LEFT JOIN (SELECT item, count(*) AS n FROM lists GROUP BY item) USING (item) WHERE {SMALL_OR_MEDIUM} AND {NO_TYPE} AND {USE.format('3')} AND NOT {USE.format('supplier 1')} AND {URGENT} ORDER BY lists DESC, title, item LIMIT 30")
+def question_browse(spark, sf):
+    return facets.asked(items(spark, sf), tags(spark, sf), uses(spark, sf), ingredients(spark, sf), lists(spark, sf), QUESTION)
+
+
+@query("question_unfiltered", "SELECT * FROM (VALUES ('empty', true, 0, 0), ('blank labels', true, 0, 0), ('some', false, 1, 1)) v(question, unfiltered, required, excluded)")
+def question_unfiltered(spark, sf):
+    some = {"empty": facets.Question(), "blank labels": facets.Question(flavors=(" ",), technique=""), "some": QUESTION}
+    return spark.createDataFrame([(n, q.is_unfiltered(), len(q.required()), len(q.excluded())) for n, q in some.items()], "question string, unfiltered boolean, required int, excluded int")
+
+
+@query("question_not_understood", "SELECT * FROM (VALUES ('tiny', 1), ('Ether', 3), ('no such thing', 5), ('The Moon Menu', 6)) v(value, place)")
+def question_not_understood(spark, sf):
+    q = facets.Question(styles=("Small", "tiny", "tiny"), without_base_spirits=("Ether",), with_ingredients=("nation 3", "no such thing"), menu="The Moon Menu", categories=CATEGORIES)
+    return facets.not_understood(tags(spark, sf), ingredients(spark, sf), lists(spark, sf), q)
+
+
+@query("folded_needles", f"WITH {BASE} SELECT 'Café Cañada' AS needle, ingredient, false AS exact FROM ing WHERE ingredient % 9 = 4")
+def folded_needles(spark, sf):
+    """Words are compared without their marks."""
+    i = ingredients(spark, sf).withColumn("family", F.when(F.col("ingredient") % 9 == 4, "Canada, le câfé").otherwise(F.col("family")))
+    return facets.resolve(i, ["Café Cañada"])
+
+
+@query("slug_needles", f"WITH {BASE} SELECT 'S-7' AS needle, ingredient, true AS exact FROM ing WHERE ingredient = 7")
+def slug_needles(spark, sf):
+    return facets.resolve(ingredients(spark, sf).withColumn("slug", F.concat(F.lit("s-"), F.col("ingredient").cast("string"))), ["S-7"])

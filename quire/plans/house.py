@@ -144,3 +144,27 @@ def source_table(spark, sf):
 @query("throughput", "SELECT count(*)::BIGINT AS batches, sum(l_quantity) AS rows, sum(l_linenumber::DOUBLE) AS seconds, round(sum(l_quantity) / sum(l_linenumber), 2) AS per_second FROM lineitem")
 def throughput(spark, sf):
     return h.throughput(read(spark, sf, "lineitem").select(F.col("l_quantity").alias("rows"), F.col("l_linenumber").cast("double").alias("seconds")))
+
+
+@query("bottles_by_style", """WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS style, l_linestatus || (l_suppkey % 3) AS title FROM lineitem),
+t AS (SELECT l_orderkey, style, title, min(l_linenumber) AS pos FROM l WHERE style IS NOT NULL GROUP BY ALL), s AS (SELECT l_orderkey, style, min(pos) AS first, style || ': ' || string_agg(title, ', ' ORDER BY pos, title) || '.' AS line FROM t GROUP BY l_orderkey, style),
+a AS (SELECT l_orderkey, string_agg(line, ' ' ORDER BY first, style) AS bottles FROM s GROUP BY l_orderkey) SELECT l_orderkey, coalesce(bottles, '') AS bottles FROM (SELECT DISTINCT l_orderkey FROM l) LEFT JOIN a USING (l_orderkey)""")
+def bottles_by_style(spark, sf):
+    style, title = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), F.concat("l_linestatus", (F.col("l_suppkey") % 3).cast("string"))
+    line = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", style.alias("style"), title.alias("title")))).alias("lines"))
+    return line.select("l_orderkey", F.array_join(h.bottles_by_style(F.col("lines")), " ").alias("bottles"))
+
+
+@query("drink_summaries", f"WITH {RAW} SELECT id, title AS name, description, array_to_string(build, '|') AS build, array_to_string(bottles, '|') AS bottles, array_to_string(list_filter([method, 'in a ' || served_in, CASE WHEN ice <> 'None' THEN ice || ' ice' END, CASE WHEN straw THEN 'with a straw' END, 'serves ' || servings], lambda x: x IS NOT NULL), ', ') AS served, array_to_string(tags, '|') AS tags, array_to_string(lists[:2], '|') AS \"on\", notes, 'https://x.example/d/' || id AS url FROM r")
+def drink_summaries(spark, sf):
+    from quire.operators.catalog import absolute
+
+    d = drinks(spark, sf)
+    of = {c: F.col(c) for c in d.columns} | {"url": absolute(F.concat(F.lit("/d/"), F.col("id").cast("string")), "https://x.example/")}
+    d = d.select("id", h.summary(of).alias("s")).select("id", "s.*")
+    return d.select("id", "name", "description", "served", "notes", "url", *(F.array_join(c, "|").alias(c) for c in ("build", "bottles", "tags", "on")))
+
+
+@query("house_passages", f"WITH {RAW} SELECT id, title || CASE WHEN subtitle IS NULL THEN '' ELSE ' — ' || subtitle END || chr(10) || chr(10) || 'x' AS passage FROM r")
+def house_passages(spark, sf):
+    return drinks(spark, sf).select("id", h.house_passage(F.col("title"), F.col("subtitle"), F.lit("x")).alias("passage"))

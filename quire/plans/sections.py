@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import sections as s
 from quire.operators import structure
-from quire.plans import tally
+from quire.plans import tally, text
 from quire.plans.keep import Registry
 from quire.sources.tables import read
 
@@ -119,3 +119,82 @@ def hydrate_ranked(spark, sf):
 @query("show_entity", f"WITH {tally.M}, {tally.E} SELECT entity, book, year::INTEGER AS year, m1, m2 FROM m WHERE entity IN (SELECT entity FROM e WHERE key = 'bluegear') ORDER BY year NULLS LAST, m1, m2 LIMIT 20")
 def show_entity(spark, sf):
     return s.shown(tally.mentions(spark, sf), tally.entities(spark, sf), "bluegear").select("entity", "book", "year", "m1", "m2")
+
+
+GUIDED = """heads AS (SELECT (p_size % 20)::BIGINT AS book, p_partkey AS page, CASE WHEN p_size % 20 = 7 THEN 'zz ' || p_partkey WHEN p_partkey % 3 = 0 THEN upper(p_type) || 'S BL-' || CASE WHEN p_partkey % 2 = 0 THEN 'BO' ELSE 'CAM.' END WHEN p_partkey % 3 = 1 THEN 'Gear of ' || p_brand ELSE p_name END AS head FROM part),
+titles AS (SELECT DISTINCT book, 'blue anvi' AS title FROM heads), st AS (SELECT *, nullif(trim(regexp_extract(trim(head), '^(.*?\\p{L}.*?)\\s+\\p{Lu}{1,3}\\s*[-–—]\\s*\\p{Lu}{1,3}\\.?$', 1)), '') AS stem FROM heads)"""
+
+
+def guided(spark, sf):
+    k = F.col("page")
+    p = read(spark, sf, "part").select((F.col("p_size") % 20).cast("long").alias("book"), F.col("p_partkey").alias("page"), "p_type", "p_brand", "p_name")
+    guide = F.concat(F.upper("p_type"), F.lit("S BL-"), F.when(k % 2 == 0, "BO").otherwise("CAM."))
+    head = F.when(F.col("book") == 7, F.concat(F.lit("zz "), k.cast("string"))).when(k % 3 == 0, guide).when(k % 3 == 1, F.concat(F.lit("Gear of "), "p_brand")).otherwise(F.col("p_name"))
+    return p.select("book", "page", head.alias("head"))
+
+
+@query("guide_words", f"WITH {GUIDED} SELECT page, stem FROM st")
+def guide_words(spark, sf):
+    return guided(spark, sf).select("page", s.guide_stem(F.col("head")).alias("stem"))
+
+
+CLASSES = SEEN[SEEN.index("seen AS") :]
+
+
+@query("sections_detected", f"""WITH {GUIDED}, {CLASSES}, named AS (SELECT book, stem AS head, 'section' AS kind, min(page) AS page_from, max(page) AS page_to, count(*)::BIGINT AS times FROM st WHERE stem IS NOT NULL GROUP BY book, stem
+  UNION ALL SELECT book, head, kind, page_from, page_to, times FROM c WHERE kind <> 'other' AND head NOT IN (SELECT head FROM st WHERE stem IS NOT NULL)),
+every AS (SELECT * FROM named UNION ALL SELECT book, NULL, 'body', min(page), max(page), 0 FROM heads WHERE book NOT IN (SELECT book FROM named WHERE kind IN ('section', 'chapter')) GROUP BY book)
+SELECT *, CASE WHEN kind <> 'body' THEN round(times / (page_to - page_from + 1), 4) END AS confidence FROM every""")
+def sections_detected(spark, sf):
+    h = guided(spark, sf)
+    return s.detected(h, h.select("book").distinct().withColumn("title", F.lit("blue anvi")), h.select("book", "page")).select("book", "head", "kind", "page_from", "page_to", "times", "confidence")
+
+
+@query("heads_at_edges", """WITH l AS (SELECT source AS book, doc_id AS page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM documents), h AS (SELECT book, page, 'top' AS edge, ls[1] AS head FROM l UNION ALL SELECT book, page, 'bottom', ls[len(ls)] FROM l)
+SELECT * FROM h WHERE length(head) <= 80 AND length(regexp_replace(head, '[^\\p{L}]', '', 'g')) >= 3 AND NOT regexp_matches(head, '^[0-9]|\\boz\\b')""")
+def heads_at_edges(spark, sf):
+    p = read(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
+    at = lambda edge: s.heads_at(p, edge, "^[0-9]|\\boz\\b").select("book", "page", F.lit(edge).alias("edge"), "head")
+    return at("top").unionByName(at("bottom"))
+
+
+PLACED = text.KIND.replace("CASE doc_id % 11 WHEN 1 THEN 'before' WHEN 2 THEN 'after' ELSE 'body' END", "CASE WHEN doc_id + 1 < 90 THEN 'before' WHEN doc_id > 150 THEN 'after' ELSE 'body' END")
+
+
+@query("chunk_rows", f"""WITH {text.MIXED}, {text.SIG}, {PLACED}, o AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 40 < 30 THEN 'part ' || (doc_id // 40) END AS section FROM src)
+SELECT doc_id % 3 AS book, doc_id AS chunk, section, split_part(k, '/', 1) AS kind, split_part(k, '/', 2) AS reason, doc_id AS page_from, doc_id + 1 AS page_to, CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id END AS printed_from, CASE WHEN doc_id % 2 = 1 THEN 'p' || (doc_id + 1) END AS printed_to,
+  CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 = 0 ELSE (doc_id + 1) % 10 = 0 END AS estimated, sha256(text) AS content_hash, split_part(k, '/', 1) IN ('recipe', 'recipe_list', 'prose', 'unknown') AS indexable FROM c JOIN src USING (doc_id) JOIN o USING (doc_id)""")
+def chunk_rows(spark, sf):
+    i = F.col("chunk")
+    c = text.mixed(spark, sf).withColumnRenamed("doc_id", "chunk").select(
+        (i % 3).alias("book"), "chunk", "text", i.alias("page_from"), (i + 1).alias("page_to"), F.when(i % 7 != 0, i % 6).alias("headings"), F.when(i % 3 == 0, 0.5).otherwise(0.95).alias("score"), (i % 13 != 0).alias("english")
+    )
+    books = spark.range(3).select(F.col("id").alias("book"))
+    parts = c.select(F.floor(i / 40).alias("sequence")).distinct().crossJoin(F.broadcast(books))  # three books
+    found = parts.select("book", "sequence", F.concat(F.lit("part "), F.col("sequence").cast("string")).alias("head"), (F.col("sequence") * 40).alias("page_from"), (F.col("sequence") * 40 + 29).alias("page_to"))
+    pages = c.select("book", F.explode(F.array("page_from", "page_to")).alias("page")).distinct().where("page % 2 = 0")
+    labels = pages.select("book", "page", F.concat(F.lit("p"), F.col("page").cast("string")).alias("label"), (F.col("page") % 10 == 0).alias("estimated"))
+    return s.chunk_rows(c, found, labels, books.select("book", F.lit(90).alias("first"), F.lit(150).alias("last")))
+
+
+@query("stop_headings", f"WITH {tally.E} SELECT entity, x AS key FROM (SELECT entity, CASE WHEN entity % 3 = 0 THEN 'punches' WHEN entity % 7 = 0 THEN '' WHEN entity % 11 = 0 THEN 'winterdrinks' ELSE key END AS x FROM e) WHERE x NOT IN ('punches', 'winterdrinks', '')")
+def stop_headings(spark, sf):
+    k = F.col("entity")
+    keyed = tally.entities(spark, sf).select("entity", F.when(k % 3 == 0, "punches").when(k % 7 == 0, "").when(k % 11 == 0, "winterdrinks").otherwise(F.col("key")).alias("key"))
+    return s.without_stops(keyed)
+
+
+@query("assigned_ids", f"WITH {tally.E}, k AS (SELECT key, min(entity) AS entity FROM e GROUP BY key) SELECT key, length(key) % 2 = 0 AS created, CASE WHEN length(key) % 2 = 1 THEN entity END AS known FROM k")
+def assigned_ids(spark, sf):
+    e = tally.entities(spark, sf)
+    known = e.groupBy("key").agg(F.min("entity").alias("entity")).where(F.length("key") % 2 == 1)
+    return s.assigned(e, known).select("key", "created", F.when(~F.col("created"), F.col("entity")).alias("known"))
+
+
+@query("split_resolve", f"""WITH {tally.E}, k AS (SELECT key, CASE WHEN starts_with(key, 'red') THEN -1 ELSE min(entity) END AS first FROM e GROUP BY key)
+SELECT key, coalesce((SELECT arg_min(o.key, (o.first, o.key)) FROM k o WHERE o.first < k.first AND length(o.key) >= 6 AND length(k.key) >= 6 AND levenshtein(o.key, k.key) <= 3 AND NOT (left(o.key, 4) = 'blue' AND left(k.key, 4) = 'blue')), key) AS resolved FROM k""")
+def split_resolve(spark, sf):
+    k = tally.entities(spark, sf).groupBy("key").agg(F.min("entity").alias("first"))
+    pairs = structure.fuzzy_pairs(k, 3)
+    blue = pairs.where(F.col("key").startswith("blue") & F.col("other").startswith("blue")).select("key", "other")
+    return s.resolved(k, pairs, blue, k.where(F.col("key").startswith("red")).select("key"))

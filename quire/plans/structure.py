@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import chunking, structure as s
+from quire.operators import chunking, sections, text
+from quire.operators import structure as s
 from quire.plans.keep import Registry
 from quire.plans.tally import KEY, entities
 from quire.sources.tables import read
@@ -135,3 +136,52 @@ def mention_scan(spark, sf):
     from quire.plans.text import pages
 
     return chunking.headings(pages(spark, sf).select("page", F.col("raw").alias("text")))
+
+
+OBSERVED = """obs AS (SELECT book, page, CASE WHEN page % 11 = 5 THEN 'xqz' WHEN page % 7 = 3 THEN NULL WHEN page < 12 THEN romans[page + 1] WHEN page % 17 = 9 THEN (page + 1)::VARCHAR ELSE (page - book % 3 - 4 * (page // 40))::VARCHAR END AS label
+  FROM (SELECT p_partkey % 20 AS book, p_partkey // 20 AS page, ['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x', 'xi', 'xii'] AS romans FROM part)),
+rd AS (SELECT *, CASE WHEN regexp_matches(label, '^[0-9]{1,4}$') THEN label::BIGINT ELSE page + 1 END AS number, CASE WHEN regexp_matches(label, '^[0-9]{1,4}$') THEN 'arabic' ELSE 'roman' END AS script FROM obs WHERE label IS NOT NULL AND label <> 'xqz'),
+r AS (SELECT *, script || ':' || (number - page) AS v, row_number() OVER (PARTITION BY book ORDER BY page) AS place FROM rd),
+t AS (SELECT *, sum(turn) OVER (PARTITION BY book ORDER BY place) AS run FROM (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY book ORDER BY place) THEN 1 ELSE 0 END AS turn FROM r)),
+k AS (SELECT book, run, min(v) AS v, min(script) AS script, min(number - page) AS off, min(page) AS a, max(page) AS z FROM t GROUP BY book, run HAVING count(*) >= 2),
+m AS (SELECT *, sum(turn) OVER (PARTITION BY book ORDER BY a) AS series FROM (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER (PARTITION BY book ORDER BY a) THEN 1 ELSE 0 END AS turn FROM k)),
+num AS (SELECT book, series::BIGINT AS series, min(script) AS script, min(off)::BIGINT AS "offset", (SELECT bool_or(script = 'roman') FROM r WHERE r.book = m.book) AS lower, min(a)::BIGINT AS page_from, max(z)::BIGINT AS page_to FROM m GROUP BY book, series)"""
+
+
+def observed(spark, sf):
+    k = F.col("p_partkey")
+    o = read(spark, sf, "part").select((k % 20).alias("book"), F.floor(k / 20).alias("page"))
+    p, b = F.col("page"), F.col("book")
+    label = F.when(p % 11 == 5, "xqz").when(p % 7 == 3, None).when(p < 12, F.lower(text.roman(p + 1))).when(p % 17 == 9, (p + 1).cast("string")).otherwise((p - b % 3 - 4 * F.floor(p / 40)).cast("string"))
+    return o.withColumn("label", label)
+
+
+@query("numbering_series", f"WITH {OBSERVED} SELECT * FROM num")
+def numbering_series(spark, sf):
+    return s.numbering(observed(spark, sf)).withColumn("offset", F.col("offset").cast("long"))
+
+
+@query("printed_labels", f"""WITH {OBSERVED}, d AS (SELECT o.book, o.page, o.label AS seen, n.script, n."offset" AS off, n.page_from, CASE WHEN n.book IS NULL THEN NULL WHEN o.page < n.page_from THEN n.page_from - o.page WHEN o.page > n.page_to THEN o.page - n.page_to ELSE 0 END AS distance
+  FROM obs o LEFT JOIN num n ON n.book = o.book AND o.page BETWEEN n.page_from - 10 AND n.page_to + 10), b AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY distance NULLS LAST, page_from) AS n FROM d),
+l AS (SELECT *, CASE WHEN page + off < 1 THEN NULL WHEN script = 'arabic' THEN (page + off)::VARCHAR ELSE (['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x', 'xi', 'xii', 'xiii', 'xiv', 'xv', 'xvi', 'xvii', 'xviii', 'xix', 'xx', 'xxi', 'xxii', 'xxiii', 'xxiv', 'xxv'])[page + off] END AS label FROM b WHERE n = 1)
+SELECT book, page, label, CASE WHEN label IS NOT NULL THEN distance > 0 OR (seen IS NOT NULL AND lower(seen) <> lower(label)) END AS estimated FROM l""")
+def printed_labels(spark, sf):
+    o = observed(spark, sf)
+    return s.printed_labels(o, o, s.numbering(o))
+
+
+@query("body_bounds", f"WITH {OBSERVED} SELECT book, min(page_from) AS first, max(page_to) AS last FROM num WHERE script = 'arabic' GROUP BY book")
+def body_bounds(spark, sf):
+    return sections.body_bounds(s.numbering(observed(spark, sf)))
+
+
+@query("stream_checksums", """WITH p AS (SELECT doc_id // 10 AS book, doc_id AS page, text, lag(text) OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS before FROM documents)
+SELECT book, sha256(string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches(before, '[\\p{Ll},;:]\\z') THEN ' ' ELSE chr(10) || chr(10) END || text, '' ORDER BY page)) AS checksum FROM p GROUP BY book""")
+def stream_checksums(spark, sf):
+    return chunking.checksums(chunking.streams(book_pages(spark, sf)))
+
+
+@query("chunk_ceilings", "SELECT DISTINCT doc_id // 10 AS book FROM documents WHERE trim(text) <> ''")
+def chunk_ceilings(spark, sf):
+    """The books whose chunks all hold to the ceilings; a chunk that doesn't would stop the query."""
+    return chunking.within_ceilings(chunking.chunks(book_pages(spark, sf))).where(F.length("text") > 0).select("book").distinct()

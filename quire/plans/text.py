@@ -265,3 +265,27 @@ def key_fold(spark, sf):
     k = F.col("p_partkey")
     name = F.when(k % 3 == 0, F.concat(F.lit("*The "), "p_name", F.lit("'s."))).when(k % 3 == 1, F.concat(F.lit("Crème de "), "p_name", F.lit(" à la Øre – Hors-d’œuvre Spaß Ñandú"))).otherwise(F.col("p_name"))
     return read(spark, sf, "part").select("p_partkey", folded_key(name).alias("key"))
+
+
+@query("extraction_rows", f"""WITH {PAGES}, src0 AS (SELECT page, CASE WHEN page % 8 = 0 THEN NULL ELSE raw END AS raw, CASE WHEN page % 5 = 0 THEN 'no page' END AS error FROM pages), {label_ctes(spaces(vis(lig("nfc_normalize(coalesce(raw, ''))"))), 'src0')},
+src AS (SELECT page AS doc_id, {coll(hyph('bare'))} AS text FROM lab), {QUALITY}
+SELECT page, 'layer' AS source, raw, CASE WHEN error IS NULL THEN s.text END AS text, CASE WHEN error IS NULL THEN label END AS label, CASE WHEN error IS NULL THEN length(s.text) END::INTEGER AS chars, CASE WHEN error IS NULL THEN {COUNT.format(c='s.text')} END::INTEGER AS words,
+  CASE WHEN error IS NULL THEN round(score, 3) END AS score, CASE WHEN error IS NULL THEN 'extracted' ELSE 'failed' END AS status, error FROM lab JOIN s ON s.doc_id = lab.page""")
+def extraction_rows(spark, sf):
+    k = F.col("page")
+    raw = pages(spark, sf).select("page", F.lit("layer").alias("source"), F.when(k % 8 != 0, F.col("raw")).alias("raw"), F.when(k % 5 == 0, "no page").alias("error"))
+    return t.extraction_rows(raw).withColumn("score", F.round("score", 3))
+
+
+@query("failed_pages", "SELECT doc_id AS page FROM documents WHERE doc_id <= 700 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def failed_pages(spark, sf):
+    p, labels = read(spark, sf, "documents").select(F.col("doc_id").alias("page")), read(spark, sf, "labels").select(F.col("doc_id").alias("page"), "toxic")
+    return t.target_pages(p, labels, last=700, failed=labels.where("toxic = 1"))
+
+
+@query("page_counts", "SELECT doc_id, (1 + doc_id % 4)::INTEGER AS pages FROM documents")
+def page_counts(spark, sf):
+    k = F.col("doc_id")
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.repeat(F.lit("text\f"), (k % 4 + 1).cast("int")), F.when(k % 3 == 0, "\n\f").otherwise("")).alias("text"))
+    d = d.withColumn("text", F.regexp_replace("text", "\n\f$", ""))
+    return t.page_counts(d, "doc_id", "text")

@@ -109,6 +109,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(df: DataFrame, size: int) -> int:
+    """How many buckets a table's data is dealt into: as many as the session has shuffle partitions, or more where a bucket would else hold more than `size` of the table's bytes, as the optimizer estimates them."""
+    estimated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(-(-estimated // size), 1 << 20) if estimated < 1 << 60 else 1)
+
+
 def crc_rest(column: str, modulus: int):
     """crc32 of the id as text, modulo: the split into held-out and training rows. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

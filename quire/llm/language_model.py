@@ -1,18 +1,22 @@
-"""An interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
+"""An interpolated modified Kneser-Ney trigram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
-Counting. A worker turns its documents' words into 48-bit hashes and counts pairs of neighbours a few million tokens at a
-time; what it sends on is a block for each bucket, in which a first word stands once with its followers. Buckets are by
-the first word's hash. Words so frequent that one bucket would get too much are found beforehand (on a 64th of the
-documents, for balance alone) and dealt over all buckets by pair. A bucket sums its pairs, writes them as an array of
-sorted hashes with counts, with its first words' totals, and sends sums by word on to a second dealing, which writes the
-word arrays: tokens, how many different words precede the word, and the totals of the frequent first words.
+Counting. A worker turns its documents' words into 48-bit hashes and counts runs of three a million tokens at a time;
+what it sends on is a block for each bucket, with a table of the block's words. Buckets are by the middle word's hash:
+there a trigram meets all of its context and all that may stand before its last two words. Middle words so frequent that
+one bucket would get too much are found beforehand (on a 64th of the documents, for balance alone) and dealt over all
+buckets by context. A bucket sums its trigrams, writes them as an array of sorted hashes with counts, with its contexts'
+totals, and sends on each pair of words with the number of different words before it. Pairs are dealt by their first word
+(frequent ones by pair), summed and written in the same way, and send on sums by word to the last dealing, which writes
+the word arrays: tokens, how many different words precede the word, and the totals of the frequent first words.
 
 Scoring. Workers map the arrays of the shared folder and look tokens up with binary searches, batch by batch.
 
-    p(w | v) = (c(v w) - D(c(v w))) / c(v .) + back(v) p(w)
-    p(w) = (n(. w) - D'(n(. w))) / n(. .) + back' / (V + 1)
+    p(w | u v) = (c(u v w) - D(c(u v w))) / c(u v .) + back(u v) p(w | v)
+    p(w | v) = (n(. v w) - D'(n(. v w))) / n(. v .) + back'(v) p(w)
+    p(w) = (n(. w) - D"(n(. w))) / n(. .) + back" / (V + 1)
 
-with D for counts of 1, 2 and 3 or more from the counts of counts of each level; the last term also covers unknown words.
+with D for counts of 1, 2 and 3 or more from the counts of counts of each level; two begin tokens stand before a text, and
+where v is one of them, n(. v w) is the count of v w, as nothing else can precede it. The last term also covers unknown words.
 
 Defined results: a null or empty text is the end token alone; an empty training set gives every token the probability
 1 / (V + 1) = 1; repeated rows count each; null doc_ids are split as the empty text; other columns don't matter.
@@ -29,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import arrayfiles
-from quire.llm.common import SPACES, crc_rest, lean, lean_group, mix, partitions, read, shared_dir, slices, utf8, words
+from quire.llm.common import SPACES, buckets_for, crc_rest, lean, lean_group, mix, read, shared_dir, slices, utf8, words
 
 SPLIT, HELD_OUT = 5, 1
+#: Bytes of stored documents for each bucket, at most.
+BUCKET_BYTES = 24 << 20
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = np.uint64(1), np.uint64(2)
-TOKENS_AT_ONCE = 2_500_000
+#: Less than 2**21: so many bits number the words of what is counted at once.
+TOKENS_AT_ONCE = 1_250_000
 WORD_BITS = np.uint64(16)  # what a word's hash loses
 
 
@@ -68,6 +75,10 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0xAF251AF3B0F025B5) + w) >> WORD_BITS
 
 
+def triple_hash(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(u * np.uint64(0xAF251AF3B0F025B5) + v) * np.uint64(0xD6E8FEB86659FD93) + w) >> WORD_BITS
+
+
 def bucket_of_word(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -80,6 +91,15 @@ def bucket_of_pair(v: np.ndarray, w: np.ndarray, frequent: np.ndarray, buckets:
     return out
 
 
+def bucket_of_context(u: np.ndarray, v: np.ndarray, frequent: np.ndarray, buckets: int) -> np.ndarray:
+    """Of the trigrams that begin with u v: by v, or where v is frequent by both."""
+    out = bucket_of_word(v, buckets)
+    if len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)] == v
+        out[hot] = bucket_of_word(pair_hash(u[hot], v[hot]), buckets)
+    return out
+
+
 def narrow(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """48-bit hashes as two arrays."""
     return (x >> np.uint64(16)).astype(np.uint32), (x & np.uint64(0xFFFF)).astype(np.uint16)
@@ -100,6 +120,19 @@ def unsmall(a: np.ndarray, more: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes in a file, with those of 255 and more and their places apart."""
+    return {name: np.minimum(x, 255).astype(np.uint8), f"{name}_at": np.flatnonzero(x >= 255), f"{name}_more": x[x >= 255].astype(np.int64)}
+
+
+def unpacked(a: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = a[name][at].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = a[f"{name}_more"][np.searchsorted(a[f"{name}_at"], at[big])]
+    return out
+
+
 def block(arrays: list[np.ndarray]) -> bytes:
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.uint32)
     return head.tobytes() + b"".join(a.tobytes() for a in arrays)
@@ -132,46 +165,108 @@ def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
     return np.array(sorted({int(BEGIN), *(r["word"] for r in rows if r["word"] > 0 and 8 * buckets * r["n"] >= total)}), np.uint64)
 
 
-def pair_counter(frequent: np.ndarray, buckets: int):
-    """Blocks of pair counts by bucket: the first words, how many followers each has, the followers, their counts."""
+def triple_counter(frequent: np.ndarray, buckets: int):
+    """Blocks of trigram counts by bucket: a table of words, the middle words, how many trigrams each has, their first and last words, their counts."""
+
+    def counted(t: np.ndarray, v: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+        n = len(t)
+        names, ids = np.unique(np.concatenate([t, v[:1], u[:1], [BEGIN]]), return_inverse=True)
+        of_v, of_u = np.empty(n, np.int64), np.empty(n, np.int64)
+        of_v[0], of_u[0], begin = ids[n], ids[n + 1], ids[n + 2]
+        of_v[1:] = np.where(v[1:] == BEGIN, begin, ids[: n - 1])
+        of_u[1:] = np.where(u[1:] == BEGIN, begin, of_v[:-1])
+        key = of_v.astype(np.uint64) << np.uint64(42) | of_u.astype(np.uint64) << np.uint64(21) | ids[:n].astype(np.uint64)
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        many = np.diff(np.append(at, n))
+        key = key[at]
+        low = np.uint64((1 << 21) - 1)
+        of_v, of_u, of_w = (key >> np.uint64(42)).astype(np.int64), (key >> np.uint64(21) & low).astype(np.int64), (key & low).astype(np.int64)
+        to = bucket_of_context(names[of_u], names[of_v], frequent, buckets)
+        order = np.argsort(to.astype(np.uint16) if buckets < 1 << 16 else to, kind="stable")
+        of_v, of_u, of_w, many, to = of_v[order], of_u[order], of_w[order], many[order], to[order]
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        rows = []
+        number = np.zeros(len(names), np.uint32)
+        for b in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[b], cuts[b + 1])
+            pv, pu, pw = of_v[part], of_u[part], of_w[part]
+            first = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
+            used = np.zeros(len(names), bool)
+            used[pv[first]] = used[pu] = used[pw] = True
+            own = np.flatnonzero(used)
+            number[own] = np.arange(len(own))
+            small_number = lambda x, k=len(own): number[x].astype(np.uint16 if k <= 1 << 16 else np.uint32)
+            rows.append(block([*narrow(names[own]), small_number(pv[first]), *small(np.diff(np.append(first, len(pv)))), small_number(pu), small_number(pw), *small(many[part])]))
+        return pa.record_batch([pa.array(np.flatnonzero(np.diff(cuts)).astype(np.int64)), pa.array(rows, pa.binary())], ["bucket", "triples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
-
-        def counted() -> pa.RecordBatch:
-            v, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            names, ids = np.unique(np.concatenate([v, w]), return_inverse=True)
-            key = ids[: len(v)].astype(np.uint64) << np.uint64(32) | ids[len(v) :].astype(np.uint64)
-            key.sort()
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(at, len(key)))
-            key = key[at]
-            v, w = names[(key >> np.uint64(32)).astype(np.int64)], names[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            to = bucket_of_pair(v, w, frequent, buckets)
-            order = np.argsort(to, kind="stable")
-            v, w, n, to = v[order], w[order], n[order], to[order]
-            cuts = np.searchsorted(to, np.arange(buckets + 1))
-            rows = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[b], cuts[b + 1])
-                pv = v[part]
-                first = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
-                rows.append(block([*narrow(pv[first]), *small(np.diff(np.append(first, len(pv)))), *narrow(w[part]), *small(n[part])]))
-            return pa.record_batch([pa.array(np.flatnonzero(np.diff(cuts)).astype(np.int64)), pa.array(rows, pa.binary())], ["bucket", "pairs"])
-
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for i, j in slices(offsets, 4 * TOKENS_AT_ONCE):
                 t, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                held.append((before(t, first), t))
-                size += len(t)
-                if size >= TOKENS_AT_ONCE:
-                    yield counted()
-                    held.clear()
-                    size = 0
+                v = before(t, first)
+                u = before(v, first)
+                for a in range(0, len(t), TOKENS_AT_ONCE):
+                    some = slice(a, a + TOKENS_AT_ONCE)
+                    if size + len(t[some]) > TOKENS_AT_ONCE and held:
+                        yield counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                        held.clear()
+                        size = 0
+                    held.append((t[some], v[some], u[some]))
+                    size += len(t[some])
         if held:
-            yield counted()
+            yield counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def triple_bucket(folder: str, frequent: np.ndarray, buckets: int):
+    """Sums a bucket's trigrams, writes its arrays, and gives each pair of last words with how many words stand before it, by the pair's bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b = table["bucket"][0].as_py()
+        us, vs, ws, ns = [], [], [], []
+        for data in table["triples"]:
+            hi, lo, pv, f, fm, pu, pw, n, nm = unblock(data.as_py())
+            names = wide(hi, lo)
+            vs.append(np.repeat(names[pv], unsmall(f, fm)))
+            us.append(names[pu])
+            ws.append(names[pw])
+            ns.append(unsmall(n, nm))
+        u, v, w, n = (np.concatenate(x) for x in (us, vs, ws, ns))
+        del us, vs, ws, ns
+        key = triple_hash(u, v, w)
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        c = np.add.reduceat(n[order], at)
+        u, v, w, key = u[order[at]], v[order[at]], w[order[at]], key[at]
+        hi, lo = narrow(key)
+        ctx, total, n1, n2, n3 = summed(pair_hash(u, v), c, c == 1, c == 2, c > 2)
+        chi, clo = narrow(ctx)
+        arrayfiles.save(folder, f"triples-{b}", {"hi": hi, "lo": lo, **packed("count", c), "chi": chi, "clo": clo, **packed("total", total), **packed("n1", n1), **packed("n2", n2), **packed("n3", n3)})
+        stats = counts_of_counts(c).tolist()
+        order = np.argsort(pair_hash(v, w))
+        v, w, c = v[order], w[order], c[order]
+        at = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+        raw = np.add.reduceat(c, at)
+        v, w = v[at], w[at]
+        preceding = np.where(v == BEGIN, raw, np.diff(np.append(at, len(c))))
+        to = bucket_of_pair(v, w, frequent, buckets)
+        order = np.lexsort((v, to))
+        v, w, raw, preceding, to = v[order], w[order], raw[order], preceding[order], to[order]
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[k], cuts[k + 1])
+            pv = v[part]
+            first = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
+            rows.append((k, block([*narrow(pv[first]), *small(np.diff(np.append(first, len(pv)))), *narrow(w[part]), *small(preceding[part]), *small(raw[part]), np.array(stats, np.uint64), np.array([b], np.uint64)])))
+            stats = [0, 0, 0, 0]
+        return pa.table({"bucket": pa.array([int(r[0]) for r in rows], pa.int64()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
@@ -190,40 +285,38 @@ def pair_bucket(folder: str, frequent: np.ndarray, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        vs, ws, ns = [], [], []
+        vs, ws, ns, raws, triples, sources = [], [], [], [], np.zeros(4, np.int64), set()
         for data in table["pairs"]:
-            vh, vl, f, fm, wh, wl, n, nm = unblock(data.as_py())
+            vh, vl, f, fm, wh, wl, n, nm, r, rm, kinds, source = unblock(data.as_py())
             vs.append(np.repeat(wide(vh, vl), unsmall(f, fm)))
             ws.append(wide(wh, wl))
             ns.append(unsmall(n, nm))
-        v, w, n = np.concatenate(vs), np.concatenate(ws), np.concatenate(ns)
-        del vs, ws, ns
+            raws.append(unsmall(r, rm))
+            triples += kinds.astype(np.int64)
+            sources.add(int(source[0]))
+        v, w, n, raw = (np.concatenate(x) for x in (vs, ws, ns, raws))
+        del vs, ws, ns, raws
         key = pair_hash(v, w)
         order = np.argsort(key)
         key = key[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        c = np.add.reduceat(n[order], at)
+        c, raw = np.add.reduceat(n[order], at), np.add.reduceat(raw[order], at)
         v, w, key = v[order[at]], w[order[at]], key[at]
         hi, lo = narrow(key)
-        count, more = small(c)
-        ctx, total, n1, n2 = summed(v, c, c == 1, c == 2)
-        n3 = np.bincount(np.searchsorted(ctx, v), c > 2, len(ctx)).astype(np.int64)
+        ctx, total, n1, n2, n3 = summed(v, c, c == 1, c == 2, c > 2)
         hot = np.isin(ctx, frequent, assume_unique=True)
         own = ~hot
-        arrayfiles.save(
-            folder,
-            f"pairs-{b}",
-            {"more_at": np.flatnonzero(c >= 255), "more": more.astype(np.int64), "ctx": ctx[own], "total": total[own], "n1": n1[own].astype(np.uint32), "n2": n2[own].astype(np.uint32), "n3": n3[own].astype(np.uint32), "hi": hi, "lo": lo, "count": count},
-        )
-        word, preceding, seen = summed(w, np.ones(len(w)), c)
-        stats = counts_of_counts(c).tolist()
+        arrayfiles.save(folder, f"pairs-{b}", {"ctx": ctx[own], "total": total[own], "n1": n1[own].astype(np.uint32), "n2": n2[own].astype(np.uint32), "n3": n3[own].astype(np.uint32), "hi": hi, "lo": lo, **packed("count", c)})
+        word, preceding, seen = summed(w, np.ones(len(w)), raw)
+        stats, triples, sources = counts_of_counts(c).tolist(), triples.tolist(), sorted(sources)
         to = bucket_of_word(word, buckets)
         hot_to = bucket_of_word(ctx[hot], buckets)
         rows = []
         for k in np.union1d(np.unique(to), np.unique(hot_to)):
             part, h = slice(*np.searchsorted(to, [k, k + 1])), np.flatnonzero(hot)[hot_to == k]
-            rows.append((k, block([*narrow(word[part]), *small(preceding[part]), *small(seen[part]), *narrow(ctx[h]), *(x[h].astype(np.uint64) for x in (total, n1, n2, n3)), np.array(stats, np.uint64), np.array([b], np.uint64)])))
-            stats = [0, 0, 0, 0]
+            known = [*narrow(word[part]), *small(preceding[part]), *small(seen[part]), *narrow(ctx[h]), *(x[h].astype(np.uint64) for x in (total, n1, n2, n3))]
+            rows.append((k, block([*known, np.array(stats, np.uint64), np.array([b], np.uint64), np.array(triples, np.uint64), np.array(sources, np.uint64)])))
+            stats, triples, sources = [0] * 4, [0] * 4, []
         return pa.table({"bucket": pa.array([int(r[0]) for r in rows], pa.int64()), "known": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -235,9 +328,10 @@ def word_bucket(folder: str):
         word, preceding, seen = summed(np.concatenate([wide(p[0], p[1]) for p in parts]), np.concatenate([unsmall(p[2], p[3]) for p in parts]), np.concatenate([unsmall(p[4], p[5]) for p in parts]))
         ctx, total, n1, n2, n3 = summed(np.concatenate([wide(p[6], p[7]) for p in parts]), *(np.concatenate([p[8 + i] for p in parts]).astype(np.int64) for i in range(4)))
         arrayfiles.save(folder, f"words-{table['bucket'][0].as_py()}", {"word": word, "preceding": preceding, "seen": seen, "ctx": ctx, "total": total, "n1": n1, "n2": n2, "n3": n3})
-        pairs = sum(p[12].astype(np.int64) for p in parts)
-        sources = sorted({int(p[13][0]) for p in parts})
-        return pa.table({"bucket": [table["bucket"][0].as_py()], "sources": [sources], "v": [len(word)], "n": [int(seen.sum())], "preceding": [int(preceding.sum())], "words": [counts_of_counts(preceding).tolist() + [int((preceding > 2).sum())]], "pairs": [pairs.tolist()]})
+        sums = lambda k: sum(p[k].astype(np.int64) for p in parts).tolist()
+        known = {"sources": sorted({int(p[13][0]) for p in parts}), "triple_sources": sorted({int(x) for p in parts for x in p[15]}), "v": len(word), "n": int(seen.sum()), "preceding": int(preceding.sum())}
+        known |= {"words": counts_of_counts(preceding).tolist() + [int((preceding > 2).sum())], "pairs": sums(12), "triples": sums(14)}
+        return pa.table({"bucket": [table["bucket"][0].as_py()], **{k: [x] for k, x in known.items()}}, schema=pa.schema([("bucket", pa.int64()), *((k, pa.list_(pa.int64()) if isinstance(x, list) else pa.int64()) for k, x in known.items())]))
 
     return run
 
@@ -255,11 +349,11 @@ class Model:
 
     def __init__(self, folder: str, frequent: np.ndarray, buckets: int, rows: list):
         self.folder, self.frequent, self.buckets = folder, frequent, buckets
-        self.word_buckets, self.pair_buckets = {r["bucket"] for r in rows}, {b for r in rows for b in r["sources"]}
+        self.word_buckets, self.pair_buckets, self.triple_buckets = {r["bucket"] for r in rows}, {b for r in rows for b in r["sources"]}, {b for r in rows for b in r["triple_sources"]}
         total = lambda k: np.sum([r[k] for r in rows], axis=0) if rows else np.zeros(5)
         self.vocabulary, self.tokens, self.preceding = (int(sum(r[k] for r in rows)) for k in ("v", "n", "preceding"))
-        words, pairs = total("words"), total("pairs")
-        self.pair_discounts, self.word_discounts = discounts(list(pairs)), discounts(list(words))
+        words, pairs, triples = total("words"), total("pairs"), total("triples")
+        self.triple_discounts, self.pair_discounts, self.word_discounts = discounts(list(triples)), discounts(list(pairs)), discounts(list(words))
         d = self.word_discounts
         self.left = (d[0] * words[0] + d[1] * words[1] + d[2] * words[4]) / self.preceding if self.preceding else 1.0
 
@@ -300,40 +394,58 @@ class Model:
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         return at, keys[at] == x
 
+    @staticmethod
+    def find48(a: dict, names: tuple[str, str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted 48-bit hashes in two arrays of a file, and whether they are there."""
+        his, los = a[names[0]], a[names[1]]
+        hi, lo = narrow(key)
+        at = np.searchsorted(his, hi)
+        there, left = np.zeros(len(key), bool), np.arange(len(key))
+        while len(left):
+            left = left[at[left] < len(his)]
+            left = left[his[at[left]] == hi[left]]
+            same = los[at[left]] == lo[left]
+            there[left[same]] = True
+            left = left[~same]
+            at[left] += 1
+        return at, there
+
+    def by_bucket(self, kind: str, have: set[int], to: np.ndarray, key: np.ndarray) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+        """For each bucket that has a file: its arrays, the places in `key` that belong to it by rising key, and those keys."""
+        order = np.argsort(to.astype(np.uint64) << np.uint64(48) | key)
+        cuts = np.searchsorted(to[order], np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            if int(b) in have:
+                some = order[cuts[b] : cuts[b + 1]]
+                yield arrayfiles.load(self.folder, f"{kind}-{b}"), some, key[some]
+
     def _of_pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Counts of pairs."""
+        """How many words precede each pair."""
         out = np.zeros(len(v), np.int64)
-        to = bucket_of_pair(v, w, self.frequent, self.buckets).astype(np.uint64)
-        key = pair_hash(v, w)
-        order = np.argsort((to << np.uint64(48)) | key)
-        key, to = key[order], to[order].astype(np.int64)
-        cuts = np.searchsorted(to, np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)):
-            if int(b) not in self.pair_buckets:
-                continue
-            a = arrayfiles.load(self.folder, f"pairs-{b}")
-            part = slice(cuts[b], cuts[b + 1])
-            hi, lo = narrow(key[part])
-            at = np.searchsorted(a["hi"], hi)
-            left = np.arange(len(hi))
-            got = np.zeros(len(hi), np.int64)
-            while len(left):
-                left = left[at[left] < len(a["hi"])]
-                left = left[a["hi"][at[left]] == hi[left]]
-                same = a["lo"][at[left]] == lo[left]
-                hit = left[same]
-                got[hit] = a["count"][at[hit]]
-                big = hit[got[hit] == 255]
-                if len(big):
-                    got[big] = a["more"][np.searchsorted(a["more_at"], at[big])]
-                left = left[~same]
-                at[left] += 1
-            out[order[part]] = got
+        for a, some, key in self.by_bucket("pairs", self.pair_buckets, bucket_of_pair(v, w, self.frequent, self.buckets), pair_hash(v, w)):
+            at, there = self.find48(a, ("hi", "lo"), key)
+            out[some[there]] = unpacked(a, "count", at[there])
         return out
 
+    def _of_triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of trigrams; their contexts' totals and the weights that these leave to p(w | v)."""
+        count, total, left = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(v))
+        context, key = pair_hash(u, v), triple_hash(u, v, w)
+        d = self.triple_discounts
+        for a, some, contexts in self.by_bucket("triples", self.triple_buckets, bucket_of_context(u, v, self.frequent, self.buckets), context):
+            at, there = self.find48(a, ("chi", "clo"), contexts)
+            at, some = at[there], some[there]
+            total[some] = unpacked(a, "total", at)
+            left[some] = d[0] * unpacked(a, "n1", at) + d[1] * unpacked(a, "n2", at) + d[2] * unpacked(a, "n3", at)
+            some = some[np.argsort(key[some])]
+            at, there = self.find48(a, ("hi", "lo"), key[some])
+            count[some[there]] = unpacked(a, "count", at[there])
+        return count, total, left
+
     def score(self, t: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """For each row: tokens, known tokens, base score, score."""
         v = before(t, first)
+        u = before(v, first)
         names, ids = np.unique(np.append(t, BEGIN), return_inverse=True)
         seen, p, total, left = self._of_words(names)
         begin = ids[-1]
@@ -341,9 +453,10 @@ class Model:
         of_v = np.empty_like(ids)
         of_v[1:] = ids[:-1]
         of_v[first[:-1]] = begin
-        c = self._of_pairs(v, t)
         known = total[of_v]
-        prob = np.where(known > 0, (self.discounted(c, self.pair_discounts) + left[of_v] * p[ids]) / np.maximum(known, 1), p[ids])
+        prob = np.where(known > 0, (self.discounted(self._of_pairs(v, t), self.pair_discounts) + left[of_v] * p[ids]) / np.maximum(known, 1), p[ids])
+        c, known, rest = self._of_triples(u, v, t)
+        prob = np.where(known > 0, (self.discounted(c, self.triple_discounts) + rest * prob) / np.maximum(known, 1), prob)
         base = np.log10((seen + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))[ids]
         sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every row has its end
         return [np.diff(first), sums((seen[ids] > 0).astype(np.int64)), sums(base), sums(np.log10(prob))]
@@ -352,11 +465,13 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Counts all of docs(doc_id, text) into arrays of the shared folder."""
     spark = docs.sparkSession
-    buckets, folder = partitions(spark), f"{shared_dir(spark)}/quire/lm-{uuid.uuid4().hex}"
+    buckets, folder = buckets_for(docs, BUCKET_BYTES), f"{shared_dir(spark)}/quire/lm-{uuid.uuid4().hex}"
     frequent = frequent_words(docs, buckets)
-    pairs = docs.select("text").mapInArrow(lean(pair_counter(frequent, buckets)), "bucket long, pairs binary")
+    triples = docs.select("text").mapInArrow(lean(triple_counter(frequent, buckets)), "bucket long, triples binary")
+    pairs = triples.groupBy("bucket").applyInArrow(lean_group(triple_bucket(folder, frequent, buckets)), "bucket long, pairs binary")
     known = pairs.groupBy("bucket").applyInArrow(lean_group(pair_bucket(folder, frequent, buckets)), "bucket long, known binary")
-    rows = known.groupBy("bucket").applyInArrow(lean_group(word_bucket(folder)), "bucket long, sources array<long>, v long, n long, preceding long, words array<long>, pairs array<long>").collect()  # one row a bucket
+    lists = ", ".join(f"{n} array<long>" for n in ("words", "pairs", "triples"))
+    rows = known.groupBy("bucket").applyInArrow(lean_group(word_bucket(folder)), f"bucket long, sources array<long>, triple_sources array<long>, v long, n long, preceding long, {lists}").collect()  # one row a bucket
     return Model(folder, frequent, buckets, rows)
 
 

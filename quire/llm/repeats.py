@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import arrayfiles
-from quire.llm.common import Rolling, aside, lean, lean_group, mix, partitions, read, shared_dir, sliced, slices, stored, utf8
+from quire.llm.common import Rolling, aside, buckets_for, lean, lean_group, mix, read, shared_dir, sliced, slices, stored, utf8
 
 LENGTH, GRAM = 100, 36
+#: Bytes of stored documents for each bucket, at most.
+BUCKET_BYTES = 24 << 20
 #: A difference cover: every residue of 31 is the difference of two of these.
 PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 CHUNK_BYTES = 8 << 20
@@ -487,7 +489,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, then: Callable | None =
         raise ValueError("lengths from 68 to 250 bytes are supported")
     docs = docs.drop("cut_spans", "_key")
     spark = docs.sparkSession
-    buckets, folder = partitions(spark), f"{shared_dir(spark)}/quire/repeats-{uuid.uuid4().hex}"
+    buckets, folder = buckets_for(docs, BUCKET_BYTES), f"{shared_dir(spark)}/quire/repeats-{uuid.uuid4().hex}"
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     keyed = docs.select(doc.alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
     taken = lambda rows: {r[0] for r in rows.collect()}  # noqa: E731  one short row a bucket

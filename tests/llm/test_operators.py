@@ -365,37 +365,61 @@ def test_token_files_with_added_tokens_in_texts(spark, tables, documents):
 # 7
 
 
+def kneser_ney_discounts(counts):
+    """D1, D2 and D3+ of Chen and Goodman; where a count of counts is 0, and beyond sensible bounds, the operator's stated fallbacks."""
+    n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    d = [1 - 2 * y * n[1] / n[0] if n[0] else 0.5, 2 - 3 * y * n[2] / n[1] if n[1] else 1.0, 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
+    return [min(max(x, 0.05 * (i + 1)), i + 0.95) for i, x in enumerate(d)]
+
+
 def test_language_model_against_brute_force(spark, tables, documents):
     rows = corpus(8, 150)
     got = {r["doc_id"]: r for r in language_model.op7_language_model(spark, tables(documents=documents(rows))).collect()}
     known = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
     docs = [(d, [*spaced(t), "the end"]) for d, t in rows]
-    uni, bi = Counter(), Counter()
+    start = "the start"
+    uni, tri = Counter(), Counter()
     for d, t in docs:
         if known(d):
             uni.update(t)
-            bi.update(zip(["the start", *t[:-1]], t, strict=True))
+            tri.update(zip([start, start, *t[:-2]][: len(t)], [start, *t[:-1]], t, strict=True))
     n, v = sum(uni.values()), len(uni)
-    context, preceding = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (a, b), c in bi.items():
-        context[a][0] += c
-        context[a][min(c, 3)] += 1
-        preceding[b] += 1
-    of = lambda c: language_model.discounts([Counter(min(x, 5) for x in c)[k] for k in (1, 2, 3, 4)])
-    d2, d1 = of(bi.values()), of(preceding.values())
+    bi = Counter()
+    for (_, b, c), k in tri.items():
+        bi[b, c] += k if b == start else 1
+    levels = {}
+    for name, counts, cut in (("tri", tri, lambda x: x[:2]), ("bi", bi, lambda x: x[:1])):
+        context = defaultdict(lambda: [0, 0, 0, 0])
+        for x, c in counts.items():
+            context[cut(x)][0] += c
+            context[cut(x)][min(c, 3)] += 1
+        levels[name] = context, kneser_ney_discounts(counts.values())
+    preceding = Counter(b for _, b in bi)
+    d1 = kneser_ney_discounts(preceding.values())
     kinds, total = Counter(min(x, 3) for x in preceding.values()), sum(preceding.values())
     left = sum(d1[k] * kinds[k + 1] for k in range(3)) / total
     less = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0
     p1 = lambda w: less(preceding[w], d1) / total + left / (v + 1)
-    p2 = lambda a, w: (less(bi[a, w], d2) + sum(d2[k] * context[a][k + 1] for k in range(3)) * p1(w)) / context[a][0] if a in context else p1(w)
+
+    def higher(name, counts, x, lower):
+        context, d = levels[name]
+        if x[:-1] not in context:
+            return lower
+        own = context[x[:-1]]
+        return (less(counts[x], d) + sum(d[k] * own[k + 1] for k in range(3)) * lower) / own[0]
+
+    p2 = lambda a, w: higher("bi", bi, (a, w), p1(w))
+    p3 = lambda a, b, w: higher("tri", tri, (a, b, w), p2(b, w))
     assert math.isclose(sum(p1(w) for w in uni) + p1("never seen"), 1)
-    for a in list(context)[:20]:
-        assert math.isclose(sum(p2(a, w) for w in uni) + p2(a, "never seen"), 1, rel_tol=1e-9)
+    for a, b in list(levels["tri"][0])[:20]:
+        assert math.isclose(sum(p3(a, b, w) for w in uni) + p3(a, b, "never seen"), 1, rel_tol=1e-9)
     for d, t in docs:
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not known(d), len(t), sum(uni[w] > 0 for w in t), n)
         assert math.isclose(r["base_score"], sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p2(a, w)) for a, w in zip(["the start", *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        want = sum(math.log10(p3(a, b, w)) for a, b, w in zip([start, start, *t[:-2]][: len(t)], [start, *t[:-1]], t, strict=True))
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
 
 
 def test_language_model_beats_its_base_and_has_edges(spark, tables, documents):

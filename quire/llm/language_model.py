@@ -2,7 +2,8 @@
 
 Counting. A worker turns its documents' words into 48-bit hashes and counts runs of three a million tokens at a time;
 what it sends on is a block for each bucket, with a table of the block's words. Buckets are by the middle word's hash:
-there a trigram meets all of its context and all that may stand before its last two words. Middle words so frequent that
+there a trigram meets all of its context and all that may stand before its last two words. They are worked off in some turns
+over the documents, so that one turn's share of the trigrams is on the way at a time. Middle words so frequent that
 one bucket would get too much are found beforehand (on a 64th of the documents, for balance alone) and dealt over all
 buckets by context. A bucket sums its trigrams, writes them as an array of sorted hashes with counts, with its contexts'
 totals, and sends on each pair of words with the number of different words before it. Pairs are dealt by their first word
@@ -24,6 +25,7 @@ Defined results: a null or empty text is the end token alone; an empty training
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,15 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import arrayfiles
-from quire.llm.common import SPACES, buckets_for, crc_rest, lean, lean_group, mix, read, shared_dir, slices, utf8, words
+from quire.llm.common import SPACES, buckets_for, crc_rest, lean, lean_group, mix, read, shared_dir, slices, stored, utf8, words
 
 SPLIT, HELD_OUT = 5, 1
 #: Bytes of stored documents for each bucket, at most.
 BUCKET_BYTES = 24 << 20
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = np.uint64(1), np.uint64(2)
-#: Less than 2**21: so many bits number the words of what is counted at once.
-TOKENS_AT_ONCE = 1_250_000
+#: A third of 2**21, as that many bits number the words of what is counted at once.
+TOKENS_AT_ONCE = 690_000
+#: Turns in which trigrams are counted, each over all documents for its share of the buckets: only one turn's shuffle is on disk.
+PASSES = 4
 WORD_BITS = np.uint64(16)  # what a word's hash loses
 
 
@@ -134,20 +138,49 @@ def unpacked(a: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
 
 
 def block(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of unsigned numbers as compressed bytes, each number's first bytes together, then the second ones, and so on."""
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], np.uint32)
-    return head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    planes = b"".join(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
+    return head.tobytes() + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unblock(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
     head = np.frombuffer(data, np.uint32, 2 * n, 4).reshape(-1, 2).tolist()
-    at, out = 4 + 8 * n, []
+    planes = np.frombuffer(pa.decompress(memoryview(data)[4 + 8 * n :], sum(size * m for size, m in head), "zstd", asbytes=True), np.uint8)
+    at, out = 0, []
     for size, m in head:
-        out.append(np.frombuffer(data, f"<u{size}", m, at))
+        out.append(np.ascontiguousarray(planes[at : at + size * m].reshape(size, m).T).view(f"<u{size}").ravel())
         at += size * m
     return out
 
 
+def least(x: np.ndarray) -> np.ndarray:
+    """In the smallest type that holds the largest."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def indexed(prefix: str, key: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted 48-bit hashes in a file: their last 32 bits, and where each value of the first 16 begins."""
+    return {f"{prefix}low": key.astype(np.uint32), f"{prefix}begin": np.searchsorted(key >> np.uint64(32), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.uint32)}
+
+
+def find48(a: dict, prefix: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of some hashes among a file's, and whether they are there."""
+    low, begin = a[f"{prefix}low"], a[f"{prefix}begin"]
+    top, rest = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
+    at, end = begin[top].astype(np.int64), begin[top + 1].astype(np.int64)
+    last = end.copy()
+    while len(open_ := np.flatnonzero(at < end)):
+        mid = (at[open_] + end[open_]) >> 1
+        less = low[mid] < rest[open_]
+        at[open_[less]] = mid[less] + 1
+        end[open_[~less]] = mid[~less]
+    there = at < last
+    there[there] = low[at[there]] == rest[there]
+    return at, there
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column(0))
@@ -165,17 +198,13 @@ def frequent_words(docs: DataFrame, buckets: int) -> np.ndarray:
     return np.array(sorted({int(BEGIN), *(r["word"] for r in rows if r["word"] > 0 and 8 * buckets * r["n"] >= total)}), np.uint64)
 
 
-def triple_counter(frequent: np.ndarray, buckets: int):
-    """Blocks of trigram counts by bucket: a table of words, the middle words, how many trigrams each has, their first and last words, their counts."""
+def triple_counter(frequent: np.ndarray, buckets: int, turn: int = 0, turns: int = 1):
+    """Blocks of trigram counts by bucket, for the buckets of one turn: a table of words, the middle words, how many trigrams each has, their first and last words, their counts."""
 
-    def counted(t: np.ndarray, v: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+    def counted(t: np.ndarray, v: np.ndarray, u: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
         n = len(t)
-        names, ids = np.unique(np.concatenate([t, v[:1], u[:1], [BEGIN]]), return_inverse=True)
-        of_v, of_u = np.empty(n, np.int64), np.empty(n, np.int64)
-        of_v[0], of_u[0], begin = ids[n], ids[n + 1], ids[n + 2]
-        of_v[1:] = np.where(v[1:] == BEGIN, begin, ids[: n - 1])
-        of_u[1:] = np.where(u[1:] == BEGIN, begin, of_v[:-1])
-        key = of_v.astype(np.uint64) << np.uint64(42) | of_u.astype(np.uint64) << np.uint64(21) | ids[:n].astype(np.uint64)
+        names, ids = np.unique(np.concatenate([v, u, t]), return_inverse=True)
+        key = ids[:n].astype(np.uint64) << np.uint64(42) | ids[n : 2 * n].astype(np.uint64) << np.uint64(21) | ids[2 * n :].astype(np.uint64)
         key.sort()
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         many = np.diff(np.append(at, n))
@@ -192,33 +221,40 @@ def triple_counter(frequent: np.ndarray, buckets: int):
             part = slice(cuts[b], cuts[b + 1])
             pv, pu, pw = of_v[part], of_u[part], of_w[part]
             first = np.flatnonzero(np.concatenate([[True], pv[1:] != pv[:-1]]))
-            used = np.zeros(len(names), bool)
-            used[pv[first]] = used[pu] = used[pw] = True
-            own = np.flatnonzero(used)
+            own, times = np.unique(np.concatenate([pv[first], pu, pw]), return_counts=True)
+            own = own[np.argsort(-times, kind="stable")]  # so that most numbers are small
             number[own] = np.arange(len(own))
             small_number = lambda x, k=len(own): number[x].astype(np.uint16 if k <= 1 << 16 else np.uint32)
             rows.append(block([*narrow(names[own]), small_number(pv[first]), *small(np.diff(np.append(first, len(pv)))), small_number(pu), small_number(pw), *small(many[part])]))
         return pa.record_batch([pa.array(np.flatnonzero(np.diff(cuts)).astype(np.int64)), pa.array(rows, pa.binary())], ["bucket", "triples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
+
+        def send() -> pa.RecordBatch:
+            nonlocal size
+            got = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            size = 0
+            return got
+
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for i, j in slices(offsets, 4 * TOKENS_AT_ONCE):
                 t, first = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 v = before(t, first)
                 u = before(v, first)
-                for a in range(0, len(t), TOKENS_AT_ONCE):
-                    some = slice(a, a + TOKENS_AT_ONCE)
-                    if size + len(t[some]) > TOKENS_AT_ONCE and held:
-                        yield counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                        held.clear()
-                        size = 0
-                    held.append((t[some], v[some], u[some]))
-                    size += len(t[some])
+                to = bucket_of_context(u, v, frequent, buckets)
+                own = np.flatnonzero(to % turns == turn)
+                for a in range(0, len(own), TOKENS_AT_ONCE):
+                    some = own[a : a + TOKENS_AT_ONCE]
+                    if size + len(some) > TOKENS_AT_ONCE:
+                        yield send()
+                    held.append((t[some], v[some], u[some], to[some]))
+                    size += len(some)
         if held:
-            yield counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield send()
 
     return run
 
@@ -244,10 +280,8 @@ def triple_bucket(folder: str, frequent: np.ndarray, buckets: int):
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         c = np.add.reduceat(n[order], at)
         u, v, w, key = u[order[at]], v[order[at]], w[order[at]], key[at]
-        hi, lo = narrow(key)
         ctx, total, n1, n2, n3 = summed(pair_hash(u, v), c, c == 1, c == 2, c > 2)
-        chi, clo = narrow(ctx)
-        arrayfiles.save(folder, f"triples-{b}", {"hi": hi, "lo": lo, **packed("count", c), "chi": chi, "clo": clo, **packed("total", total), **packed("n1", n1), **packed("n2", n2), **packed("n3", n3)})
+        arrayfiles.save(folder, f"triples-{b}", {**indexed("", key), **packed("count", c), **indexed("context_", ctx), **packed("total", total), **packed("n1", n1), **packed("n2", n2), **packed("n3", n3)})
         stats = counts_of_counts(c).tolist()
         order = np.argsort(pair_hash(v, w))
         v, w, c = v[order], w[order], c[order]
@@ -302,11 +336,10 @@ def pair_bucket(folder: str, frequent: np.ndarray, buckets: int):
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         c, raw = np.add.reduceat(n[order], at), np.add.reduceat(raw[order], at)
         v, w, key = v[order[at]], w[order[at]], key[at]
-        hi, lo = narrow(key)
         ctx, total, n1, n2, n3 = summed(v, c, c == 1, c == 2, c > 2)
         hot = np.isin(ctx, frequent, assume_unique=True)
         own = ~hot
-        arrayfiles.save(folder, f"pairs-{b}", {"ctx": ctx[own], "total": total[own], "n1": n1[own].astype(np.uint32), "n2": n2[own].astype(np.uint32), "n3": n3[own].astype(np.uint32), "hi": hi, "lo": lo, **packed("count", c)})
+        arrayfiles.save(folder, f"pairs-{b}", {"ctx": ctx[own], "total": least(total[own]), "n1": least(n1[own]), "n2": least(n2[own]), "n3": least(n3[own]), **indexed("", key), **packed("count", c)})
         word, preceding, seen = summed(w, np.ones(len(w)), raw)
         stats, triples, sources = counts_of_counts(c).tolist(), triples.tolist(), sorted(sources)
         to = bucket_of_word(word, buckets)
@@ -327,7 +360,7 @@ def word_bucket(folder: str):
         parts = [unblock(x.as_py()) for x in table["known"]]
         word, preceding, seen = summed(np.concatenate([wide(p[0], p[1]) for p in parts]), np.concatenate([unsmall(p[2], p[3]) for p in parts]), np.concatenate([unsmall(p[4], p[5]) for p in parts]))
         ctx, total, n1, n2, n3 = summed(np.concatenate([wide(p[6], p[7]) for p in parts]), *(np.concatenate([p[8 + i] for p in parts]).astype(np.int64) for i in range(4)))
-        arrayfiles.save(folder, f"words-{table['bucket'][0].as_py()}", {"word": word, "preceding": preceding, "seen": seen, "ctx": ctx, "total": total, "n1": n1, "n2": n2, "n3": n3})
+        arrayfiles.save(folder, f"words-{table['bucket'][0].as_py()}", {"word": word, "preceding": least(preceding), "seen": least(seen), "ctx": ctx, "total": total, "n1": n1, "n2": n2, "n3": n3})
         sums = lambda k: sum(p[k].astype(np.int64) for p in parts).tolist()
         known = {"sources": sorted({int(p[13][0]) for p in parts}), "triple_sources": sorted({int(x) for p in parts for x in p[15]}), "v": len(word), "n": int(seen.sum()), "preceding": int(preceding.sum())}
         known |= {"words": counts_of_counts(preceding).tolist() + [int((preceding > 2).sum())], "pairs": sums(12), "triples": sums(14)}
@@ -394,22 +427,6 @@ class Model:
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         return at, keys[at] == x
 
-    @staticmethod
-    def find48(a: dict, names: tuple[str, str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of sorted 48-bit hashes in two arrays of a file, and whether they are there."""
-        his, los = a[names[0]], a[names[1]]
-        hi, lo = narrow(key)
-        at = np.searchsorted(his, hi)
-        there, left = np.zeros(len(key), bool), np.arange(len(key))
-        while len(left):
-            left = left[at[left] < len(his)]
-            left = left[his[at[left]] == hi[left]]
-            same = los[at[left]] == lo[left]
-            there[left[same]] = True
-            left = left[~same]
-            at[left] += 1
-        return at, there
-
     def by_bucket(self, kind: str, have: set[int], to: np.ndarray, key: np.ndarray) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
         """For each bucket that has a file: its arrays, the places in `key` that belong to it by rising key, and those keys."""
         order = np.argsort(to.astype(np.uint64) << np.uint64(48) | key)
@@ -423,7 +440,7 @@ class Model:
         """How many words precede each pair."""
         out = np.zeros(len(v), np.int64)
         for a, some, key in self.by_bucket("pairs", self.pair_buckets, bucket_of_pair(v, w, self.frequent, self.buckets), pair_hash(v, w)):
-            at, there = self.find48(a, ("hi", "lo"), key)
+            at, there = find48(a, "", key)
             out[some[there]] = unpacked(a, "count", at[there])
         return out
 
@@ -433,12 +450,12 @@ class Model:
         context, key = pair_hash(u, v), triple_hash(u, v, w)
         d = self.triple_discounts
         for a, some, contexts in self.by_bucket("triples", self.triple_buckets, bucket_of_context(u, v, self.frequent, self.buckets), context):
-            at, there = self.find48(a, ("chi", "clo"), contexts)
+            at, there = find48(a, "context_", contexts)
             at, some = at[there], some[there]
             total[some] = unpacked(a, "total", at)
             left[some] = d[0] * unpacked(a, "n1", at) + d[1] * unpacked(a, "n2", at) + d[2] * unpacked(a, "n3", at)
             some = some[np.argsort(key[some])]
-            at, there = self.find48(a, ("hi", "lo"), key[some])
+            at, there = find48(a, "", key[some])
             count[some[there]] = unpacked(a, "count", at[there])
         return count, total, left
 
@@ -462,13 +479,24 @@ class Model:
         return [np.diff(first), sums((seen[ids] > 0).astype(np.int64)), sums(base), sums(np.log10(prob))]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def train(docs: DataFrame) -> Model:
     """Counts all of docs(doc_id, text) into arrays of the shared folder."""
     spark = docs.sparkSession
     buckets, folder = buckets_for(docs, BUCKET_BYTES), f"{shared_dir(spark)}/quire/lm-{uuid.uuid4().hex}"
     frequent = frequent_words(docs, buckets)
-    triples = docs.select("text").mapInArrow(lean(triple_counter(frequent, buckets)), "bucket long, triples binary")
-    pairs = triples.groupBy("bucket").applyInArrow(lean_group(triple_bucket(folder, frequent, buckets)), "bucket long, pairs binary")
+    pairs = None
+    for turn in range(PASSES):
+        triples = docs.select("text").mapInArrow(lean(triple_counter(frequent, buckets, turn, PASSES)), "bucket long, triples binary")
+        counted = stored(triples.groupBy("bucket").applyInArrow(lean_group(triple_bucket(folder, frequent, buckets)), "bucket long, pairs binary"), "pairs")
+        pairs = counted if pairs is None else pairs.unionByName(counted)
+        del triples, counted
+        free_shuffles(spark)
     known = pairs.groupBy("bucket").applyInArrow(lean_group(pair_bucket(folder, frequent, buckets)), "bucket long, known binary")
     lists = ", ".join(f"{n} array<long>" for n in ("words", "pairs", "triples"))
     rows = known.groupBy("bucket").applyInArrow(lean_group(word_bucket(folder)), f"bucket long, sources array<long>, triple_sources array<long>, v long, n long, preceding long, {lists}").collect()  # one row a bucket

@@ -64,7 +64,7 @@ def printed_labels(pages: DataFrame, observed: DataFrame, numbered: DataFrame) -
     near = nearest(pages.select("book", "page").distinct(), i, "book", "page").join(observed.select("book", "page", F.trim("label").alias("_seen")), ["book", "page"], "left")
     number = F.col("page") + F.col("offset")
     roman = text.roman(number)
-    label = F.when(number < 1, None).when(F.col("script") == "arabic", number.cast("string")).when(F.col("lower"), F.lower(roman)).otherwise(roman)
+    label = F.when(number.isNull() | (number < 1), None).when(F.col("script") == "arabic", number.cast("string")).when(F.col("lower"), F.lower(roman)).otherwise(roman)
     other = F.col("_seen").isNotNull() & (F.lower("_seen") != F.lower("label"))
     out = near.withColumn("label", label)
     return out.select("book", "page", "label", F.when(F.col("label").isNotNull(), (F.col("distance") > 0) | other).alias("estimated"))
@@ -94,11 +94,14 @@ def last_messages(messages: DataFrame, group: str, order: str, n: int = params.L
     return messages.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def heading_density(pages: DataFrame, group: str) -> DataFrame:
-    """Headings for each populated page, and what that says about how to cut."""
+def heading_density(pages: DataFrame, group: str, forced: dict | None = None) -> DataFrame:
+    """Headings for each populated page, and what that says about how to cut; `forced` names the strategy of some groups."""
     full = pages.where(F.trim("text") != "")
     out = full.groupBy(group).agg(F.round(F.avg(F.col("headings").cast("double")), 4).alias("density"))
-    return out.withColumn("strategy", F.when(F.col("density") >= params.HEADINGS_PER_PAGE, "headings").otherwise("packing"))
+    strategy = F.when(F.col("density") >= params.HEADINGS_PER_PAGE, "headings").otherwise("packing")
+    for name, how in (forced or {}).items():
+        strategy = F.when(F.col(group) == name, how).otherwise(strategy)
+    return out.withColumn("strategy", strategy)
 
 
 def edge(heads: DataFrame, group: str) -> DataFrame:

@@ -81,7 +81,7 @@ def roman(number: Column) -> Column:
     for value, letters in ROMAN_PARTS:
         out.append(F.repeat(F.lit(letters), F.floor(left / value).cast("int")))
         left = left % value
-    return F.concat(*out)
+    return F.when(number.isNotNull(), F.concat(*out))
 
 
 #: A line that is a page number alone: digits or roman letters, between dashes or in brackets if at all.

@@ -118,8 +118,27 @@ def chunk_pack(spark, sf):
     return chunking.chunks(book_pages(spark, sf))
 
 
-@query("chunk_verify", "SELECT 0::BIGINT AS wrong_slice, 0::BIGINT AS too_long, 0::BIGINT AS too_many_tokens, 0::BIGINT AS inverted, 0::BIGINT AS gaps")
+SPANS = """p AS (SELECT doc_id // 10 AS book, doc_id AS page, octet_length(encode(text)) AS n, doc_id % 17 = 0 AS lost, trim(regexp_replace(text, '\\s', '', 'g')) <> '' AS solid FROM documents)"""
+
+
+@query("chunk_verify", f"""WITH {SPANS} SELECT count(*) FILTER (NOT lost AND page % 7 = 0)::BIGINT AS wrong_slice, count(*) FILTER (NOT lost AND n + CASE WHEN page % 7 = 0 THEN 1 ELSE 0 END > 1600)::BIGINT AS too_long, count(*) FILTER (NOT lost AND page % 11 = 0)::BIGINT AS too_many_tokens,
+  count(*) FILTER (NOT lost AND page % 13 = 0)::BIGINT AS inverted, (SELECT count(*) FROM (SELECT book FROM p GROUP BY book HAVING bool_or(lost AND solid) AND bool_or(NOT lost)))::BIGINT AS gaps FROM p""")
 def chunk_verify(spark, sf):
+    """Pages as chunks of their book's stream, spoiled by rule: other text, too many tokens, inverted ranges, pages left out."""
+    streams = chunking.streams(book_pages(spark, sf))
+    span = streams.select("book", F.encode("stream", "UTF-8").alias("data"), F.inline("spans")).where("page % 17 <> 0")
+    part = F.decode(F.substring("data", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "UTF-8")
+    k = F.col("page")
+    chunks = span.select(
+        "book", "page", F.when(k % 7 == 0, F.concat(part, F.lit("x"))).otherwise(part).alias("text"), F.col("start").alias("char_start"), F.col("start").alias("content_start"), F.col("end").alias("char_end"), F.when(k % 11 == 0, 9999).otherwise(1).alias("tokens")
+    )
+    backwards = chunks.where("page % 13 = 0").withColumns({"text": F.lit(""), "char_start": F.lit(0).cast("long"), "content_start": F.lit(1).cast("long"), "char_end": F.lit(0).cast("long"), "tokens": F.lit(1)})
+    return chunking.verify(chunks.unionByName(backwards).drop("page"), streams)
+
+
+@query("chunks_sound", "SELECT 0::BIGINT AS wrong_slice, 0::BIGINT AS too_long, 0::BIGINT AS too_many_tokens, 0::BIGINT AS inverted, 0::BIGINT AS gaps")
+def chunks_sound(spark, sf):
+    """The packer's own chunks fulfil every invariant."""
     p = book_pages(spark, sf)
     return chunking.verify(chunking.chunks(p), chunking.streams(p))
 

@@ -22,6 +22,20 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("checksum"))
 
 
+def scan_changed(spark: SparkSession, folder: str, known: DataFrame, pattern: str = "*.pdf") -> DataFrame:
+    """As `scan`, but only files that are not known (name, size, modified, checksum) with this size and time are read and hashed; the others keep their checksum."""
+    path = F.element_at(F.split("path", "/"), -1).alias("name")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(local_folder(folder)).select(path, F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    old = known.select("name", "size", "modified", F.col("checksum").alias("_checksum"))
+    seen = listed.join(old, ["name", "size", "modified"], "left")
+    fresh = [r["path"] for r in seen.where(F.col("_checksum").isNull()).select("path").collect()]  # paths of new files alone, which Spark's reader takes from the driver
+    kept = seen.where(F.col("_checksum").isNotNull()).select("name", "size", "modified", F.col("_checksum").alias("checksum"))
+    if not fresh:
+        return kept
+    read = spark.read.format("binaryFile").load(fresh)
+    return kept.unionByName(read.select(path, F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("checksum")))
+
+
 def natural_order(df: DataFrame, name: str) -> DataFrame:
     """Case does not matter, and numbers sort as numbers."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), 1)

@@ -130,3 +130,72 @@ def test_aliases_keep_all_spellings(spark):
     one = mentions.limit(1).select(F.lit(2).alias("entity"), "spelling", "m1", "m2")
     got = {r["entity"]: (r["canonical"], r["others"]) for r in tally.aliases(mentions.unionByName(one)).collect()}
     assert got == {1: ("s0000", [f"s{i:04d}" for i in range(1, 1500)]), 2: ("s0000", [])}
+
+
+def column(spark, make, *values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[0] for r in rows.orderBy("i").select(make(F.col("v"))).collect()]
+
+
+def test_keys_are_ascii(spark):
+    got = column(spark, tally.folded_key, "Crème de Menthe", "128. Gin Sangaree.", "GIN SANGAREE", "The Bishop’s", "Bishops", "Crème", "L'Été", "El Diablo", "Spaß & Œuf – Ærø", "—", "")
+    assert got == ["cremedementhe", "128ginsangaree", "ginsangaree", "bishops", "bishops", "creme", "lete", "diablo", "spassoeufaero", "", ""]
+    from quire.operators import facets
+
+    assert column(spark, facets.words, "Crème de Menthe", "São Paulo!") == [["creme", "de", "menthe"], ["sao", "paulo"]]
+
+
+def test_labels_are_lifted_inside_the_normalization(spark):
+    pages = ["42\nBody text.", "Body text.\n- xiv -", "26      ROCHESTER PUNCH.\n2 dashes of bitters", "Recipe\nMODERN AMERICAN DRINKS.      39", "2 dashes of bitters\nand ice 7", "[ 108 ]\nx\n9", "", "  \n\n", "12"]
+    got = column(spark, text.normalized_page, *pages)
+    assert [(p["text"], p["label"]) for p in got] == [
+        ("Body text.", "42"), ("Body text.", "xiv"), ("ROCHESTER PUNCH.\n2 dashes of bitters", "26"), ("Recipe\nMODERN AMERICAN DRINKS.", "39"), ("2 dashes of bitters\nand ice 7", None), ("x", "108"), ("", None), ("", None), ("", "12"),
+    ]
+    assert column(spark, text.normalized, "Punch-\nBowl a cur- \n tain ﬁſh") == ["Punch-\nBowl a curtain fish"]
+
+
+def test_hashes_of_rows_with_separators_differ(spark):
+    rows = spark.createDataFrame([("x|=y", "z"), ("x", "y|=z"), ("1:x", ""), ("1:x", None), ("", "1:x"), (None, "~")], "a string, b string")
+    assert rows.select(catalog.record_hash("a", "b").alias("h")).distinct().count() == 6
+
+
+def test_what_must_not_be_stops_the_query(spark):
+    import pytest
+
+    from quire.operators import house
+
+    long = spark.createDataFrame([("a", "x" * 1600), ("b", "x" * 1601)], "id string, text string")
+    assert house.within_ceiling(long.where("id = 'a'"), "id").count() == 1
+    with pytest.raises(Exception, match="passage of b"):
+        house.within_ceiling(long, "id").collect()
+    facts, known = spark.createDataFrame([(1,), (None,), (3,)], "k int"), spark.createDataFrame([(1,), (1,)], "k int")
+    assert house.checked_references(facts.where("k is null or k = 1"), "k", known, "k").count() == 2
+    with pytest.raises(Exception, match="points to nothing: 3"):
+        house.checked_references(facts, "k", known, "k").collect()
+    chunks = spark.createDataFrame([(1, 0, "x", 10), (1, 1, "x", 10_000)], "book long, chunk int, text string, tokens int")
+    with pytest.raises(Exception, match="chunk 1 of book 1"):
+        chunking.within_ceilings(chunks).collect()
+
+
+def test_only_changed_files_are_hashed(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / f"{n}.pdf").write_text(n)
+    known = spark.createDataFrame(files.scan(spark, str(tmp_path)).withColumn("checksum", F.concat(F.lit("kept "), "name")).collect())
+    (tmp_path / "b.pdf").write_text("longer")
+    (tmp_path / "d.pdf").write_text("d")
+    got = {r["name"]: r["checksum"] for r in files.scan_changed(spark, str(tmp_path), known).collect()}
+    want = {r["name"]: r["checksum"] for r in files.scan(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": "kept a.pdf", "b.pdf": want["b.pdf"], "c.pdf": "kept c.pdf", "d.pdf": want["d.pdf"]}
+
+
+def test_forced_strategies(spark):
+    pages = spark.createDataFrame([("a", "x", 3), ("b", "x", 0)], "book string, text string, headings int")
+    assert {r["book"]: r["strategy"] for r in structure.heading_density(pages, "book", {"b": "headings"}).collect()} == {"a": "headings", "b": "headings"}
+
+
+def test_numbering_edges(spark):
+    seen = spark.createDataFrame([(1, 1, "ii"), (1, 2, "iii"), (1, 5, "1"), (1, 6, "2"), (1, 7, "9"), (1, 8, "4"), (1, 9, "5"), (1, 40, "30")], "book long, page long, label string")
+    numbered = structure.numbering(seen)
+    pages = spark.range(1, 30).selectExpr("1L AS book", "id AS page")
+    got = {r["page"]: (r["label"], r["estimated"]) for r in structure.printed_labels(pages, seen, numbered).collect()}
+    assert got[1] == ("ii", False) and got[3] == ("iv", True) and got[5] == ("1", False) and got[7] == ("3", True) and got[9] == ("5", False) and got[19] == ("15", True) and got[20] == (None, None)

@@ -274,7 +274,9 @@ def read_back(files: DataFrame, with_ids: bool = True) -> DataFrame:
     # One row a part, so at most as many as the session has shuffle partitions; then the files of each part on their own.
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", so_far(Window.orderBy("part")).alias("part_base"))
     bases = files.select("part", "seq", so_far(Window.partitionBy("part").orderBy("seq")).alias("in_part")).join(F.broadcast(parts), "part")
-    placed = files.select("part", "seq", "image").join(bases.select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base")), ["part", "seq"])
+    # Written, so that its size is known: sent to all as long as that is below the session's threshold, else shuffled.
+    bases = stored(bases.select("part", "seq", (F.col("part_base") + F.col("in_part")).alias("base")), "bases")
+    placed = files.select("part", "seq", "image").join(bases, ["part", "seq"])
     return placed.select("image", "base").mapInArrow(lean(file_reader(with_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 

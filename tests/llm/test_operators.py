@@ -668,3 +668,17 @@ def test_cut_at_whole_characters():
         for z in range(a, len(b) + 1):
             out = repeats.whole_characters(b, [{"start": a, "end": z}] if z > a else [])
             assert set(out) <= set("aé😀b")
+
+
+def test_a_session_without_a_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, found=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: found), sparkContext=SimpleNamespace(master=master, applicationId=f"app of {master}"))
+
+    assert common.shared_dir(session("spark://x:7077", "hdfs://store/shared/")) == "hdfs://store/shared"
+    own = common.shared_dir(session("local[4]"))
+    assert own.startswith("file://") and common.shared_dir(session("local[4]")) == own != common.shared_dir(session("local"))
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))

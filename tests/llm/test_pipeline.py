@@ -47,7 +47,8 @@ def check(spark, folder):
     group = near_groups(rows, 5, 80)
     rows = [(d, t) for d, t in rows if group[d] == d]
     wanted.append(dict(rows))
-    rows = [(d, t) for d, t in shortened(rows).items() if t]
+    came = dict(rows)
+    rows = [(d, t if came[d] else came[d]) for d, t in shortened(rows).items() if t or not came[d]]  # what came null or empty stays
     wanted.append(dict(rows))
     bad = contaminated(rows, [(r["item_id"], r["text"]) for r in read(spark, folder, "benchmark").collect()])
     rows = [(d, t) for d, t in rows if not bad[d][1]]  # no window of the benchmark is left

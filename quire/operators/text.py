@@ -156,13 +156,24 @@ def token_estimate(c: Column) -> Column:
 
 def words_of(c: Column) -> Column:
     """White-space tokens without what is no letter or digit at their edges; those that hold a letter."""
-    stripped = F.transform(F.split(c, "\\s+"), lambda w: F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
-    return F.filter(stripped, lambda w: w.rlike("\\p{L}"))
+    return F.regexp_extract_all(c, F.lit("(?=[^\\s\\p{L}]*\\p{L})[\\p{L}\\p{N}](?:\\S*[\\p{L}\\p{N}])?"), 0)
 
 
 VOWELS = params.VOWELS
 
 
+def _usual() -> str:
+    """Most words: one pattern that only plausible words match. At most three consonants and two vowels in a row keep the share of vowels from 1/7 to 4/5."""
+    consonants = "".join(x for x in "abcdefghijklmnopqrstuvwxyz" if x not in VOWELS)
+    vowels = "".join(x for x in VOWELS if ord(x) < 256)  # such classes are looked up in a bit set
+    v, k = f"[{vowels}]", f"[{consonants}]"
+    first_v, first_k = f"[{vowels}{''.join(x.upper() for x in vowels if x.isascii())}]", f"[{consonants}{consonants.upper()}]"
+    return f"^(?=.{{1,22}}$)(?:{first_k}{k}{{0,2}}{v}{{1,2}}|{first_v}{v}?)(?:{k}{{1,3}}{v}{{1,2}})*{k}{{0,3}}$"
+
+
+USUAL = _usual()
+
+
 def plausible_part(w: Column) -> Column:
     """A capital roman numeral, or a word in one case (or capitalised) with a usual share of vowels and no long run without one."""
     n, low = F.length(w), F.lower(w)
@@ -173,7 +184,7 @@ def plausible_part(w: Column) -> Column:
 
 def plausible(w: Column) -> Column:
     parts = F.filter(F.split(w, "['’‘-]"), lambda p: p != "")
-    return (F.length(w) <= 22) & ~w.rlike("\\p{N}") & let(parts, lambda x: (F.size(x) > 0) & F.forall(x, plausible_part))
+    return w.rlike(USUAL) | (F.length(w) <= 22) & ~w.rlike("\\p{N}") & let(parts, lambda x: (F.size(x) > 0) & F.forall(x, plausible_part))
 
 
 def quality(c: Column) -> Column:

@@ -22,6 +22,9 @@ STOP = "a an and are as at be but by for from in is it of on or that the this to
 ENDING = "(ing|ed|es|s)$"
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 
+#: Bytes of question vectors that are broadcast, at most.
+SENT_BYTES = 32 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -37,10 +40,29 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
 
 
-def dense(corpus: DataFrame, queries: DataFrame, k: int, min_similarity: float = -1.0) -> DataFrame:
-    """query, id, similarity, rank of each query's nearest rows. corpus: id, vector. queries: query, vector (few: a user's, or a batch)."""
+def paired(corpus: DataFrame, queries: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """Each row of corpus(id, vector) with each of queries(query, vector as _q) of its width.
+
+    Queries of at most `sent_bytes` go to every executor; more are dealt into blocks of about as much, which meet the
+    corpus in cells: a row once for each block, a query once for each part of the corpus.
+    """
+    c = corpus.select("id", "vector", F.size("vector").alias("_width"))
     q = queries.select("query", F.col("vector").alias("_q"), F.size("vector").alias("_width"))
-    near = corpus.withColumn("_width", F.size("vector")).join(F.broadcast(q), "_width").select("query", "id", cosine(F.col("vector"), F.col("_q")).alias("similarity")).where(F.col("similarity") >= min_similarity)
+    size = q.agg(F.coalesce(F.sum(F.greatest("_width", F.lit(0)).cast("long") * 8 + 16), F.lit(0))).first()[0]
+    if size <= sent_bytes:
+        return c.join(F.broadcast(q), "_width").drop("_width")
+    blocks, parts = -(-size // sent_bytes), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = c.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    q = q.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    return c.join(q.hint("shuffle_hash"), ["_width", "_block", "_part"]).drop("_width", "_block", "_part")
+
+
+def dense(corpus: DataFrame, queries: DataFrame, k: int, min_similarity: float = -1.0, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """query, id, similarity, rank of each query's nearest rows. corpus: id, vector. queries: query, vector.
+
+    A task keeps its k best of a query before rows are shuffled by query.
+    """
+    near = paired(corpus, queries, sent_bytes).select("query", "id", cosine(F.col("vector"), F.col("_q")).alias("similarity")).where(F.col("similarity") >= min_similarity)
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -68,6 +68,16 @@ def test_cosine_without_norm_never_matches(spark):
     assert [(r["id"], r["similarity"]) for r in retrieval.dense(c, q, 5).collect()] == [(2, 1.0)]
 
 
+def test_many_queries_meet_the_corpus_in_cells(spark):
+    rows = [(i, [float((i * k) % 7 - 3) for k in range(1, 5)]) for i in range(60)] + [(60, None), (61, [1.0])]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = corpus.where("id % 5 = 0").withColumnRenamed("id", "query")
+    columns = ["query", "id", "similarity", "rank"]
+    few, many = (sorted(map(tuple, retrieval.dense(corpus, queries, 4, sent_bytes=n).select(columns).collect())) for n in (1 << 20, 100))
+    assert few == many and few
+    assert "WindowGroupLimit" in retrieval.dense(corpus, queries, 4)._jdf.queryExecution().toString()
+
+
 def test_blank_question_asks_nothing(spark):
     assert retrieval.hybrid(spark.range(1), spark.range(1), "  ", spark.range(1), None, {}).count() == 0
 

@@ -13,6 +13,9 @@ their first ``length`` bytes. They are dealt into buckets and sorted one bucket
    tie on 32 bytes are told apart by the ranks of the sample places at the offset that their two residues share, and by
    their last 32 bytes, never by walking through long common texts. A bucket's memory is its stretches and ranks.
 
+However common a passage is, no task gets all of its copies: of equal stretches a task sends the first alone, the others
+being repeats of it, and a gram with many different stretches has its strings dealt by their own bytes, equal ones once.
+
 Documents stay where they are read: each pass scans them and asks sorted arrays in the shared folder, memory-mapped, so
 only fingerprints and the differing stretches travel.
 
@@ -44,6 +47,10 @@ PERIOD, COVER = 31, np.array([1, 5, 11, 24, 25, 27])
 CHUNK_BYTES = 8 << 20
 #: Suffixes that are sorted at a time, but for a gram that alone has more.
 STRINGS_AT_ONCE = 200_000
+#: A gram with more different stretches than this has its strings dealt one by one, by their bytes.
+HOT_STRETCHES = 2_000
+#: Places of hot grams that a task deals at a time.
+HOT_AT_ONCE = 1_000
 
 
 def cover_offsets() -> np.ndarray:
@@ -122,7 +129,41 @@ def dealt(to: np.ndarray, record: np.ndarray, column: str, kind: int | None = No
 
 PLACE = np.dtype([("gram", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
 CUT = np.dtype([("key", "<i8"), ("start", "<u4"), ("end", "<u4")])
-OPEN = np.dtype([("key", "<i8"), ("doc", "<i8"), ("gram", "<u8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
+OPEN = np.dtype([("key", "<i8"), ("doc", "<i8"), ("gram", "<u8"), ("at", "<u4"), ("before", "u1"), ("after", "u1"), ("hot", "u1")])
+
+
+def merged(r: np.ndarray) -> np.ndarray:
+    """Cuts as maximal runs, sorted by document and start."""
+    r = r[np.lexsort((r["start"], r["key"]))]
+    if not len(r):
+        return r
+    new_key = np.concatenate([[True], r["key"][1:] != r["key"][:-1]])
+    lift = np.cumsum(new_key).astype(np.int64) << 33  # keeps the running end from reaching into the next document
+    end = np.maximum.accumulate(r["end"].astype(np.int64) + lift)
+    new = new_key | np.concatenate([[True], r["start"][1:] + lift[1:] > end[:-1]])
+    at = np.flatnonzero(new)
+    out = r[at].copy()
+    out["end"] = (end - lift)[np.append(at[1:], len(r)) - 1]
+    return out
+
+
+def settled(r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some places: the cuts of all but the first of equal stretches, the other places, and for each how many stretches its gram has."""
+    r = r[np.lexsort((r["at"], r["doc"], r["stretch"], r["gram"]))]
+    new_gram = np.concatenate([[True], r["gram"][1:] != r["gram"][:-1]])
+    new = new_gram | np.concatenate([[True], r["stretch"][1:] != r["stretch"][:-1]])
+    head = r[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = (r["doc"] != head["doc"]) | (r["at"] != head["at"])
+    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
+    cut = np.empty(int(later.sum()), CUT)
+    c = r[later]
+    cut["key"], cut["start"], cut["end"] = c["key"], c["at"] - c["before"], c["at"] - c["after"] + length
+    return merged(cut), r[~later], kinds[~later]
+
+
+def records(table: pa.Table, kind: int, column: str, dtype: np.dtype) -> np.ndarray:
+    """What the senders dealt as this kind."""
+    return np.concatenate([np.empty(0, dtype), *(np.frombuffer(x.as_py(), dtype) for x, k in zip(table[column], table["kind"], strict=True) if k.as_py() == kind)])
 
 
 def narrow(x: np.ndarray) -> bytes:
@@ -204,17 +245,19 @@ def members(folder: str, have: set[int], g: np.ndarray, buckets: int) -> np.ndar
 
 
 def place_sender(folder: str, have: set[int], buckets: int, length: int):
-    """Pass 2: places of repeated grams, to the gram's bucket."""
+    """Pass 2: places of repeated grams, to the gram's bucket (kind 0). Of equal stretches only the first of a send travels: the others are cut already (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def send() -> pa.RecordBatch:
+        def send() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            r = np.concatenate(held)
+            cut, r, _ = settled(np.concatenate(held), length)
             held.clear()
             size = 0
-            return dealt(bucket_of(r["gram"], buckets), r, "places")
+            yield dealt(bucket_of(r["gram"], buckets), r, "places", 0)
+            if len(cut):
+                yield dealt(bucket_of_key(cut["key"], buckets), cut, "places", 1)
 
         for batch in batches:
             data, offsets = utf8(batch.column(2))
@@ -236,32 +279,27 @@ def place_sender(folder: str, have: set[int], buckets: int, length: int):
                     held.append(r)
                     size += len(r)
                 if size >= 200_000:
-                    yield send()
+                    yield from send()
         if held:
-            yield send()
+            yield from send()
 
     return run
 
 
-def place_bucket(buckets: int, length: int):
+def place_bucket(buckets: int, length: int, hot: int):
     """All but the first of equal stretches are cut (kind 0); firsts of a gram with several stretches stay open (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
-        r = np.concatenate([np.frombuffer(x.as_py(), PLACE) for x in table["places"]])
-        r = r[np.lexsort((r["at"], r["doc"], r["stretch"], r["gram"]))]
-        new_gram = np.concatenate([[True], r["gram"][1:] != r["gram"][:-1]])
-        new = new_gram | np.concatenate([[True], r["stretch"][1:] != r["stretch"][:-1]])
-        head = r[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        later = (r["doc"] != head["doc"]) | (r["at"] != head["at"])
-        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
-        cut = np.empty(int(later.sum()), CUT)
-        c = r[later]
-        cut["key"], cut["start"], cut["end"] = c["key"], c["at"] - c["before"], c["at"] - c["after"] + length
-        o = r[~later & (kinds > 1)]
+        cut, left, kinds = records(table, 1, "places", CUT), records(table, 0, "places", PLACE), np.empty(0, np.int64)
+        if len(left):
+            more, left, kinds = settled(left, length)
+            cut = np.concatenate([cut, more])
+        o, kinds = left[kinds > 1], kinds[kinds > 1]
         open_ = np.empty(len(o), OPEN)
-        for f in OPEN.names:
+        for f in OPEN.names[:-1]:
             open_[f] = o[f]
-        return pa.Table.from_batches([dealt(bucket_of_key(x["key"], buckets), x, "records", kind) for kind, x in enumerate((cut, open_))])
+        open_["hot"] = kinds > hot
+        return pa.Table.from_batches([dealt(bucket_of_key(x["key"], buckets), x, "records", kind) for kind, x in enumerate((merged(cut), open_))])
 
     return run
 
@@ -292,8 +330,39 @@ def of_documents(folder: str, name: str, have: set[int], key: np.ndarray, bucket
             yield r, a, x, y
 
 
+def singled(r: np.ndarray, text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of some places, whose stretches begin at `start` of text: places of one string each, their bytes, hashes, and cuts.
+
+    Strings with the same bytes around a gram travel once; the others repeat the first.
+    """
+    n = r["before"].astype(np.int64) - r["after"] + 1
+    out = np.repeat(r, n)
+    out["before"] = out["after"] = ragged(r["after"].astype(np.int64), n)
+    begin = np.repeat(start + r["before"], n) - out["before"]
+    data = text[ragged(begin, np.full(len(out), length))]
+    own = np.arange(len(out)) * length
+    h = mix(Rolling(data).span(own, own + length) + mix(out["gram"] + out["before"].astype(np.uint64)))
+    order = np.lexsort((out["at"], out["doc"], h))
+    out, h, data = out[order], h[order], data.reshape(-1, length)[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    same = (data == data[head]).all(axis=1) & (out["gram"] == out["gram"][head]) & (out["before"] == out["before"][head])
+    later = same & ((out["doc"] != out["doc"][head]) | (out["at"] != out["at"][head]))
+    cut = np.empty(int(later.sum()), CUT)
+    c = out[later]
+    cut["key"], cut["start"], cut["end"] = c["key"], c["at"] - c["before"], c["at"] - c["before"] + np.uint32(length)
+    return out[~later], data[~later], h[~later], merged(cut)
+
+
 def stretch_sender(folder: str, have: set[int], buckets: int, length: int):
-    """Pass 3: the open places' stretches as text, to the gram's bucket."""
+    """Pass 3: the open places' stretches as text, to the gram's bucket; those of hot grams string by string, to the string's (kind 0). Cuts that show on the way are kind 1."""
+
+    def sent(to: np.ndarray, r: np.ndarray, text: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            some = order[cuts[b] : cuts[b + 1]]
+            yield pa.record_batch([pa.array([int(b)], pa.int64()), pa.array([r[some].tobytes()], pa.binary()), pa.array([text(some).tobytes()], pa.binary()), pa.array([0], pa.int32())], ["bucket", "places", "text", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,15 +377,18 @@ def stretch_sender(folder: str, have: set[int], buckets: int, length: int):
             if not parts:
                 continue
             r, start = np.concatenate(parts), np.concatenate(starts)
-            to = bucket_of(r["gram"], buckets)
-            order = np.argsort(to, kind="stable")
-            r, start, to = r[order], start[order], to[order]
+            hot = np.flatnonzero(r["hot"])
+            for at in range(0, len(hot), HOT_AT_ONCE):
+                some = hot[at : at + HOT_AT_ONCE]
+                one, text, h, cut = singled(r[some], data, start[some], length)
+                yield from sent(bucket_of(h >> np.uint64(16), buckets), one, text.__getitem__)
+                if len(cut):
+                    for got in dealt(bucket_of_key(cut["key"], buckets), cut, "places").to_pylist():
+                        yield pa.record_batch([pa.array([got["bucket"]], pa.int64()), pa.array([got["places"]], pa.binary()), pa.array([b""], pa.binary()), pa.array([1], pa.int32())], ["bucket", "places", "text", "kind"])
+            plain = r["hot"] == 0
+            r, start = r[plain], start[plain]
             size = r["before"].astype(np.int64) - r["after"] + length
-            cuts = np.searchsorted(to, np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[b], cuts[b + 1])
-                text = data[ragged(start[part], size[part])]
-                yield pa.record_batch([pa.array([int(b)], pa.int64()), pa.array([r[part].tobytes()], pa.binary()), pa.array([text.tobytes()], pa.binary())], ["bucket", "places", "text"])
+            yield from sent(bucket_of(r["gram"], buckets), r, lambda some, start=start, size=size: data[ragged(start[some], size[some])])
 
     return run
 
@@ -418,14 +490,15 @@ def stretch_bucket(buckets: int, length: int):
     """A bucket's suffixes, some grams at a time."""
 
     def run(table: pa.Table) -> pa.Table:
-        r = np.concatenate([np.frombuffer(x.as_py(), OPEN) for x in table["places"]])
+        cut = records(table, 1, "places", CUT)
+        r = records(table, 0, "places", OPEN)
         text = np.frombuffer(b"".join(x.as_py() for x in table["text"]), np.uint8)
         n = r["before"].astype(np.int64) - r["after"] + 1
         base = np.cumsum(n + length - 1) - (n + length - 1)
         order = np.argsort(r["gram"], kind="stable")
         gram, strings = r["gram"][order], np.cumsum(n[order])
         ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))  # of each gram's places
-        cuts, a = [], 0
+        cuts, a = [cut], 0
         while a < len(order):
             most = np.searchsorted(strings, (strings[a - 1] if a else 0) + STRINGS_AT_ONCE, "right")
             k = np.searchsorted(ends, a, "right")
@@ -433,7 +506,7 @@ def stretch_bucket(buckets: int, length: int):
             some = order[a:z]
             cuts.append(repeats_of(r[some], text[ragged(base[some], n[some] + length - 1)], length))
             a = int(z)
-        cut = np.concatenate(cuts)
+        cut = merged(np.concatenate(cuts))
         return pa.Table.from_batches([dealt(bucket_of_key(cut["key"], buckets), cut, "records")])
 
     return run
@@ -443,18 +516,8 @@ def cut_bucket(folder: str):
     """A document bucket's cuts, merged to maximal runs."""
 
     def run(table: pa.Table) -> pa.Table:
-        r = np.concatenate([np.frombuffer(x.as_py(), CUT) for x in table["records"]])
+        r = merged(np.concatenate([np.frombuffer(x.as_py(), CUT) for x in table["records"]]))
         b = table["bucket"][0].as_py()
-        r = r[np.lexsort((r["start"], r["key"]))]
-        if len(r):
-            new_key = np.concatenate([[True], r["key"][1:] != r["key"][:-1]])
-            lift = np.cumsum(new_key).astype(np.int64) << 33  # keeps the running end from reaching into the next document
-            end = np.maximum.accumulate(r["end"].astype(np.int64) + lift)
-            new = new_key | np.concatenate([[True], r["start"][1:] + lift[1:] > end[:-1]])
-            at = np.flatnonzero(new)
-            out = r[at].copy()
-            out["end"] = (end - lift)[np.append(at[1:], len(r)) - 1]
-            r = out
         arrayfiles.save(folder, f"cuts-{b}", {f: r[f] for f in CUT.names})
         return pa.table({"bucket": [b]})
 
@@ -480,10 +543,11 @@ def cut_finder(folder: str, have: set[int], buckets: int, then: Callable[[Iterat
     return run if then is None else lambda batches: then(run(batches))
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, then: Callable | None = None, schema: str | None = None, hot: int = HOT_STRETCHES) -> DataFrame:
     """docs (doc_id, text and others) with cut_spans: the maximal runs of bytes that lie in a string of `length` bytes that also starts earlier.
 
-    then, schema: a function of such batches for the last step, and the columns that it gives.
+    then, schema: a function of such batches for the last step, and the columns that it gives. hot: a gram with more
+    stretches than this is split; it changes where strings are compared, not what is found.
     """
     if not 68 <= length <= 250:
         raise ValueError("lengths from 68 to 250 bytes are supported")
@@ -496,10 +560,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, then: Callable | None =
 
     grams = docs.select("text").mapInArrow(lean(gram_sender(buckets, length)), "bucket long, grams binary")
     have = taken(grams.groupBy("bucket").applyInArrow(lean_group(gram_bucket(folder)), "bucket long"))
-    places = keyed.mapInArrow(lean(place_sender(folder, have, buckets, length)), "bucket long, places binary")
-    told = stored(places.groupBy("bucket").applyInArrow(lean_group(place_bucket(buckets, length)), "bucket long, records binary, kind int"), "places")
+    places = keyed.mapInArrow(lean(place_sender(folder, have, buckets, length)), "bucket long, places binary, kind int")
+    told = stored(places.groupBy("bucket").applyInArrow(lean_group(place_bucket(buckets, length, hot)), "bucket long, records binary, kind int"), "places")
     have = taken(told.where("kind = 1").groupBy("bucket").applyInArrow(lean_group(key_sorted(folder, "open", OPEN)), "bucket long"))
-    stretches = keyed.select("key", "text").mapInArrow(lean(stretch_sender(folder, have, buckets, length)), "bucket long, places binary, text binary")
+    stretches = keyed.select("key", "text").mapInArrow(lean(stretch_sender(folder, have, buckets, length)), "bucket long, places binary, text binary, kind int")
     more = stretches.groupBy("bucket").applyInArrow(lean_group(stretch_bucket(buckets, length)), "bucket long, records binary")
     cuts = told.where("kind = 0").select("bucket", "records").unionByName(more)
     have = taken(cuts.groupBy("bucket").applyInArrow(lean_group(cut_bucket(folder)), "bucket long"))

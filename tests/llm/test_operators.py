@@ -628,7 +628,10 @@ def without_repeats(rows, length=100):
     return out
 
 
-def test_repeats_against_brute_force(spark, tables, documents):
+@pytest.mark.parametrize("hot", [repeats.HOT_STRETCHES, 1])
+def test_repeats_against_brute_force(spark, tables, documents, monkeypatch, hot):
+    find = repeats.find_repeats
+    monkeypatch.setattr(repeats, "find_repeats", lambda *a: find(*a, hot=hot))
     rows = corpus(12, 140)
     r = random.Random(12)
     passage = "".join(r.choice("xyz w") for _ in range(260))
@@ -643,6 +646,18 @@ def test_repeats_against_brute_force(spark, tables, documents):
     assert repeats.op10_repeated_text(spark, tables(documents=documents([]))).count() == 0
 
 
+def test_strings_of_hot_grams_travel_once():
+    text = np.frombuffer(b"".join(bytes([65 + i]) + b"x" * 30 + b"GRAM" * 9 + b"y" * 70 + bytes([97 + i]) for i in range(20)), np.uint8)
+    size = len(text) // 20
+    r = np.zeros(20, repeats.OPEN)
+    r["key"] = r["doc"] = np.arange(20)
+    r["gram"], r["at"], r["before"], r["after"] = 7, 31, 31, 0
+    one, data, h, cut = repeats.singled(r, text, np.arange(20) * size, 100)
+    # 32 strings a row: those that hold the row's own first letter differ, the others travel once.
+    assert len(one) == len(data) == len(h) == 20 + 31 and (one["doc"][one["before"] < 31] == 0).all()
+    assert cut["key"].tolist() == list(range(1, 20)) and (cut["start"] == 1).all() and (cut["end"] == 131).all()
+
+
 def test_suffix_kernel_against_brute_force():
     r = np.random.default_rng(2)
     assert all(((np.isin((a + d) % 31, repeats.COVER)) & np.isin((b + d) % 31, repeats.COVER)).any() for a in range(31) for b in range(31) for d in [np.arange(31)])

@@ -91,7 +91,8 @@ class Places:
         turn = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (row[start[1:]] != row[start[:-1]])])) if len(start) else np.empty(0, np.int64)
         self.at, self.first = picked[turn], start[turn]
         self.last = start[np.append(turn[1:], len(start)) - 1] if len(start) else turn
-        self.gram = h[self.at] >> np.uint64(16)
+        # Mixed once more: a picked hash is the least of many, so that buckets by its own leading bits would fill from below.
+        self.gram = mix(h[self.at]) >> np.uint64(16)
         self.row = row[self.first] if len(start) else turn
 
     def stretch(self, some: np.ndarray, length: int = LENGTH) -> np.ndarray:

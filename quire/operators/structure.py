@@ -39,14 +39,15 @@ def nearest(points: DataFrame, intervals: DataFrame, group: str, at: str, tolera
     return near.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_g")
 
 
-def numbering(observed: DataFrame, least: int = params.SERIES_MIN_RUN) -> DataFrame:
+def numbering(observed: DataFrame, least: int = params.SERIES_MIN_RUN, others: Column | None = None) -> DataFrame:
     """book, series, script, offset, lower, page_from, page_to: where the printed numbers of observed(book, page, label) run on evenly.
 
-    What is no number and no roman numeral is not read. lower: whether the book has small roman numerals.
+    What is no number of at most four digits and no roman numeral is not read, or is a roman numeral for the number that
+    `others` gives. lower: whether the book has small roman numerals.
     """
     label = F.trim("label")
     arabic, roman = F.when(label.rlike("^[0-9]{1,4}$"), label.cast("int")), text.roman_value(label)
-    read = observed.select("book", "page", F.coalesce(arabic, roman).alias("_number"), F.when(arabic.isNotNull(), "arabic").otherwise("roman").alias("script"), (arabic.isNull() & (label == F.lower(label))).alias("_lower")).where(F.col("_number").isNotNull())
+    read = observed.select("book", "page", F.coalesce(arabic, roman, *([] if others is None else [others])).alias("_number"), F.when(arabic.isNotNull(), "arabic").otherwise("roman").alias("script"), (arabic.isNull() & (label == F.lower(label))).alias("_lower")).where(F.col("_number").isNotNull())
     read = read.withColumn("_value", F.struct("script", (F.col("_number") - F.col("page")).alias("offset"))).withColumn("_place", F.row_number().over(Window.partitionBy("book").orderBy("page")))
     found = series(read.withColumnRenamed("_place", "_at"), ["book"], ["page"], "_value", least)
     place = lambda name, page: read.select("book", F.col("_place").alias(name), F.col("page").cast("long").alias(page))

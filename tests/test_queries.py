@@ -51,3 +51,21 @@ def test_normalizer_is_not_vacuous(spark):
     done = registry.QUERIES["normalize_page"](spark, FOLDER).toPandas().set_index("page")["text"]
     assert (raw != done.reindex(raw.index)).sum() > len(raw) // 2
     assert not done.str.contains("[ ​­ﬁ]|  |-\nly").any()
+
+
+#: Books of so many pages that their labels have five digits; the last pages stand apart.
+LONG_BOOKS = "SELECT page * 20 + book AS p_partkey FROM range(3) b(book), (SELECT unnest(range(0, 30)) AS page UNION ALL SELECT unnest(range(9950, 11200)) UNION ALL SELECT unnest(range(12000, 12040))) p"
+
+
+def same_on_long_books(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY ({LONG_BOOKS}) TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    got = con.execute(registry.SQL[name])
+    names = [d[0] for d in got.description]
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(got.fetchall(), names)
+
+
+def test_numbering_of_long_books(spark, tmp_path):
+    same_on_long_books(spark, tmp_path, "numbering_series")

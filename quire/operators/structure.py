@@ -56,15 +56,15 @@ def numbering(observed: DataFrame, least: int = params.SERIES_MIN_RUN, others: C
     return out.select("book", "series", "_value.script", "_value.offset", "lower", "page_from", "page_to")
 
 
-def printed_labels(pages: DataFrame, observed: DataFrame, numbered: DataFrame) -> DataFrame:
+def printed_labels(pages: DataFrame, observed: DataFrame, numbered: DataFrame, most_roman: int | None = None) -> DataFrame:
     """book, page, label, estimated of pages(book, page): the number that the series over it implies, or the nearest one within some pages.
 
-    Estimated: beyond the series, or where the page's own label says otherwise.
+    Estimated: beyond the series, or where the page's own label says otherwise. A roman numeral beyond `most_roman` is no label.
     """
     i = numbered.select("book", "script", "offset", "lower", F.col("page_from").alias("first"), F.col("page_to").alias("last"))
     near = nearest(pages.select("book", "page").distinct(), i, "book", "page").join(observed.select("book", "page", F.trim("label").alias("_seen")), ["book", "page"], "left")
     number = F.col("page") + F.col("offset")
-    roman = text.roman(number)
+    roman = text.roman(number) if most_roman is None else F.when(number <= most_roman, text.roman(number))
     label = F.when(number.isNull() | (number < 1), None).when(F.col("script") == "arabic", number.cast("string")).when(F.col("lower"), F.lower(roman)).otherwise(roman)
     other = F.col("_seen").isNotNull() & (F.lower("_seen") != F.lower("label"))
     out = near.withColumn("label", label)

@@ -69,3 +69,7 @@ def same_on_long_books(spark, tmp_path, name):
 
 def test_numbering_of_long_books(spark, tmp_path):
     same_on_long_books(spark, tmp_path, "numbering_series")
+
+
+def test_labels_of_long_books(spark, tmp_path):
+    same_on_long_books(spark, tmp_path, "printed_labels")

@@ -1,6 +1,6 @@
 """Dense and lexical retrieval, fused by rank.
 
-Dense: exact cosine over an array column; vectors without a norm never match. Lexical: own tokens (Unicode lower case,
+Dense: exact cosine over an array column, a block of questions at a time; vectors without a norm never match. Lexical: own tokens (Unicode lower case,
 split at what is no letter or digit, short words that carry nothing left out, common English endings cut), all words
 required, phrases, exclusions, fields of different weight. Fusion is by rank alone, so the channels' scores need no common scale.
 """
@@ -11,9 +11,14 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.params import RRF_K, Corpus
 
@@ -24,6 +29,10 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 
 #: Bytes of question vectors that are broadcast, at most.
 SENT_BYTES = 32 << 20
+#: Rows of the corpus in a cell, at most about; queries that are compared at a time.
+ROWS_A_CELL, QUERIES_AT_ONCE = 8192, 128
+#: More than what rounding may change in the inner product of unit vectors.
+SLACK = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,31 +49,121 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
 
 
-def paired(corpus: DataFrame, queries: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """Each row of corpus(id, vector) with each of queries(query, vector as _q) of its width.
+def summed(products: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """The sum in order, as `dot` adds up."""
+    out = np.zeros(n)
+    for p in products:
+        out = out + p
+    return out
 
-    Queries of at most `sent_bytes` go to every executor; more are dealt into blocks of about as much, which meet the
-    corpus in cells: a row once for each block, a query once for each part of the corpus.
+
+class Vectors:
+    """Vectors of one width: x, their norms, and unit vectors of those whose norm is neither lost nor infinite (plain)."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        with np.errstate(all="ignore"):
+            squares = summed((x[:, j] * x[:, j] for j in range(x.shape[1])), len(x))
+            self.norm = np.sqrt(squares)
+            self.plain = (squares > 1e-200) & (squares < 1e200)
+            self.unit = np.where(self.plain[:, None], x / np.where(self.plain, self.norm, 1.0)[:, None], 0.0)
+
+
+def similarities(a: Vectors, i: np.ndarray, b: Vectors, j: np.ndarray) -> np.ndarray:
+    """What `cosine` gives for rows i of a and j of b, to the last bit; -2 for its null."""
+    with np.errstate(all="ignore"):
+        size = a.norm[i] * b.norm[j]
+        out = summed((a.x[i, d] * b.x[j, d] for d in range(a.x.shape[1])), len(i)) / size
+    return np.where((size > 0) | np.isnan(size), out, -2.0)
+
+
+def nearest(c: Vectors, q: Vectors, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of c and similarities of the k rows of c that are nearest to each of q, ties to the earlier row; NaN is largest.
+
+    One matrix product tells which rows may be among them, ties included; those are scored like `cosine`.
     """
-    c = corpus.select("id", "vector", F.size("vector").alias("_width"))
-    q = queries.select("query", F.col("vector").alias("_q"), F.size("vector").alias("_width"))
-    size = q.agg(F.coalesce(F.sum(F.greatest("_width", F.lit(0)).cast("long") * 8 + 16), F.lit(0))).first()[0]
-    if size <= sent_bytes:
-        return c.join(F.broadcast(q), "_width").drop("_width")
-    blocks, parts = -(-size // sent_bytes), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    c = c.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    q = q.withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    return c.join(q.hint("shuffle_hash"), ["_width", "_block", "_part"]).drop("_width", "_block", "_part")
+    found = []
+    for at in range(0, len(q.x), QUERIES_AT_ONCE):
+        some = slice(at, at + QUERIES_AT_ONCE)
+        about = q.unit[some] @ c.unit.T
+        about[:, ~c.plain] = -np.inf
+        if about.shape[1] > k:
+            may = about >= np.partition(about, about.shape[1] - k, axis=1)[:, -k, None] - SLACK
+        else:
+            may = np.ones(about.shape, bool)
+        may[:, ~c.plain] = True
+        may[~q.plain[some]] = True
+        i, j = np.nonzero(may)
+        sim = similarities(c, j, q, i + at)
+        order = np.lexsort((j, -sim, ~np.isnan(sim), i))
+        i, j, sim = i[order], j[order], sim[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[first] + at, j[first], sim[first]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def by_width(keys: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, pa.Array, Vectors]]:
+    """Width, keys and vectors of rows of each width, by key."""
+    order = pc.array_sort_indices(keys, null_placement="at_start")
+    keys, vectors = keys.take(order), vectors.take(order)
+    widths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for w in np.unique(widths):
+        at = pa.array(np.flatnonzero(widths == w))
+        yield int(w), keys.take(at), Vectors(vectors.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, w))
+
+
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def search(corpus: pa.Table, queries: list[tuple[int, pa.Array, Vectors]], k: int) -> Iterator[pa.RecordBatch]:
+    """query, id and similarity of each query's k nearest rows of corpus(id, vector) of its width."""
+    rows = {w: (ids, c) for w, ids, c in by_width(whole(corpus["id"]), whole(corpus["vector"]))}
+    for w, keys, q in queries:
+        if w in rows:
+            ids, c = rows[w]
+            i, j, sim = nearest(c, q, k)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), ids.take(pa.array(j)), pa.array(sim)], ["query", "id", "similarity"])
 
 
 def dense(corpus: DataFrame, queries: DataFrame, k: int, min_similarity: float = -1.0, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """query, id, similarity, rank of each query's nearest rows. corpus: id, vector. queries: query, vector.
 
-    A task keeps its k best of a query before rows are shuffled by query.
+    Queries of at most `sent_bytes` go to every executor; more are dealt into blocks of about as much, which meet the
+    corpus in cells: a row once for each block, a query once for each part of the corpus. A task gives its k best of a
+    query before rows are shuffled by query.
     """
-    near = paired(corpus, queries, sent_bytes).select("query", "id", cosine(F.col("vector"), F.col("_q")).alias("similarity")).where(F.col("similarity") >= min_similarity)
+    spark, v = corpus.sparkSession, F.col("vector")
+    usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())  # the others are like nothing
+    c = corpus.where(usable).select("id", v.cast("array<double>").alias("vector"))
+    q = queries.where(usable).select("query", v.cast("array<double>").alias("vector"))
+    asked, size = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("long") * 8 + 16), F.lit(0))).first()
+    schema = T.StructType([T.StructField("query", q.schema["query"].dataType), T.StructField("id", c.schema["id"].dataType), T.StructField("similarity", T.DoubleType())])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size <= sent_bytes:
+        if asked > QUERIES_AT_ONCE // 8:  # a small file is one task's, but its pairs are many
+            c = c.repartition(parts, "id")
+        table = q.toArrow()
+        sent = spark.sparkContext.broadcast((whole(table["query"]), whole(table["vector"])))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = list(by_width(*sent.value))
+            for b in batches:
+                yield from search(pa.Table.from_batches([b]), block, k)
+
+        near = c.mapInArrow(run, schema)
+    else:
+        blocks, parts = -(-size // sent_bytes), max(parts, -(-c.count() // ROWS_A_CELL))
+        c = c.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("_block"))
+        q = q.select("query", "vector", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("_part"))
+
+        def meet(rows: pa.Table, block: pa.Table) -> pa.Table:
+            found = search(rows, by_width(whole(block["query"]), whole(block["vector"])), k) if rows.num_rows and block.num_rows else ()
+            return pa.Table.from_batches(found, to_arrow_schema(schema))
+
+        near = c.groupBy("_block", "_part").cogroup(q.groupBy("_block", "_part")).applyInArrow(meet, schema)
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.where((F.col("similarity") >= min_similarity) & (F.col("similarity") > -2)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def tokens(text: Column) -> Column:

@@ -6,6 +6,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators import catalog, chunking, retrieval, structure, tally, text
@@ -78,6 +79,28 @@ def test_many_queries_meet_the_corpus_in_cells(spark):
     assert "WindowGroupLimit" in retrieval.dense(corpus, queries, 4)._jdf.queryExecution().toString()
 
 
+def test_nearest_rows_are_those_of_all_pairs(spark):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    x = g.standard_normal((150, 6)).astype("float32").astype(float)
+    x[10:40], x[40], x[41:44] = x[1], 0, x[2] * 2
+    odd = [[float("nan")] * 6, [float("inf")] + [1.0] * 5, [1e-170] * 6, [1e170] * 6, [1e-120, 0.0] * 3, [], None, [1.0, None, 1.0, 1.0, 1.0, 1.0], [3.0], [-2.0]]
+    rows = [(i if i != 20 else None, v) for i, v in enumerate(x.tolist() + odd)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    queries = corpus.where("id % 3 = 0 or id > 140").withColumnRenamed("id", "query")
+    pairs = corpus.crossJoin(queries.withColumnRenamed("vector", "_q")).select("query", "id", retrieval.cosine(F.col("vector"), F.col("_q")).alias("similarity")).where("similarity >= -0.5")
+    order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
+    want = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 7")
+    said = lambda df: sorted(repr(tuple(r)) for r in df.select("query", "id", "similarity", "rank").collect())
+    for n in (1 << 20, 500):
+        got = retrieval.dense(corpus, queries, 7, -0.5, n)
+        assert said(got) == said(want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "InArrow" in plan  # no row for each pair
+    assert retrieval.dense(corpus, queries.limit(0), 7).count() == retrieval.dense(corpus.limit(0), queries, 7).count() == 0
+
+
 def test_blank_question_asks_nothing(spark):
     assert retrieval.hybrid(spark.range(1), spark.range(1), "  ", spark.range(1), None, {}).count() == 0
 
